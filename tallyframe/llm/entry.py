@@ -30,6 +30,13 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the blocks of lines that an earlier one has."""
+    from tallyframe.llm.line_dedup import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets and linked weak parts of every document."""
     from tallyframe.llm.secrets import scan
