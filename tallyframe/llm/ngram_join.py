@@ -5,10 +5,14 @@
    on classes, so exact copies cost nothing.
 2. A table of fixed size counts all shingles of all documents by a part of their hash.
    It only orders shingles from rare to frequent (any order gives the same links).
-3. Two sets that link share one of their rarest ``n - ceil(t n) + 1`` shingles.  Each
-   class lists those; classes of a shingle are tied to the smallest of a run of sizes
-   close enough to link.  A shingle with very many classes is dealt into salted
-   groups first.  The components of these ties are small sets of candidates.
+3. Two sets that link share three of their rarest ``n - ceil(t n) + 3`` shingles (all
+   of the needed overlap, if that is less).  Each class lists those.  In a short list a
+   class meets the few before it, and a pair that meets in three lists is a tie.  In a
+   long list all classes of a run of sizes close enough to link are tied to the
+   smallest.  So a pair that links is tied either way, the ties grow with the lists and
+   not with their squares, and a chance meeting in one list ties nothing.  A shingle
+   with very many classes is dealt into salted groups first.  The components of the
+   ties are small sets of candidates.
 4. Within them a T-occurrence search decides: inverted lists of the group, the longest
    ones set aside, the short ones merged, and what is met often enough there looked up
    in the long ones (DivideSkip).  Members of one component so far need no search among
@@ -49,28 +53,30 @@ class Settings:
     words: int = 4  # in a shingle
     percent: int = 85  # least Jaccard similarity
     sketch_bits: int = 20  # counters: 2 ** bits
-    hot: int = 10_000  # classes of one shingle that stay together
+    meetings: int = 3  # shared shingles of the short lists that tie a pair
+    short: int = 16  # classes in a short list
+    hot: int = 100_000  # classes of one shingle that stay together
     group_docs: int = 4096
-    group_shingles: int = 2_000_000
+    group_shingles: int = 1_000_000
 
 
-def prefix_size(n: np.ndarray | int, percent: int):
-    return n + (-percent * n) // 100 + 1
+def prefix_size(n: int, cfg: Settings) -> int:
+    return min(n, n + (-cfg.percent * n) // 100 + cfg.meetings)
 
 
-def _reduced(rows: DataFrame, dtype: type, combine: Callable) -> np.ndarray:
+def _reduced(rows: DataFrame, raw: type, dtype: type, combine: Callable) -> np.ndarray:
     """Combines vectors that come in ``_PARTS`` numbered parts: within tasks, then by part."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], raw: type) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, values in zip(batch.column("part").to_pylist(), batch.column("counts")):
-                x = np.frombuffer(values.as_buffer(), dtype)
-                held[part] = combine(held[part], x) if part in held else x.copy()
+                x = np.frombuffer(values.as_buffer(), raw).astype(dtype)
+                held[part] = combine(held[part], x) if part in held else x
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
-    parts = rows.select("part", "counts").mapInArrow(run, schema).repartition(_PARTS, "part").mapInArrow(run, schema).collect()
+    parts = rows.select("part", "counts").mapInArrow(lambda x: run(x, raw), schema).repartition(_PARTS, "part").mapInArrow(lambda x: run(x, dtype), schema).collect()
     return np.concatenate([np.frombuffer(r.counts, dtype) for r in sorted(parts, key=lambda r: r.part)]) if parts else np.zeros(0, dtype)
 
 
@@ -97,7 +103,7 @@ def profiles(docs: DataFrame, cfg: Settings) -> DataFrame:
                     counts += np.bincount((np.concatenate(full) >> shift).astype(np.int64), minlength=len(counts))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(_PARTS, pa.int64()), pa.nulls(_PARTS, pa.int64()), pa.nulls(_PARTS, pa.binary()), pa.array(range(_PARTS), pa.int32()), pa.array(_in_parts(counts), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(_PARTS, pa.int64()), pa.nulls(_PARTS, pa.int64()), pa.nulls(_PARTS, pa.binary()), pa.array(range(_PARTS), pa.int32()), pa.array(_in_parts(counts.astype(np.int32)), pa.binary())], names)
 
     return docs.mapInArrow(run, "doc_id bigint, n bigint, class binary, part int, counts binary")
 
@@ -115,7 +121,7 @@ def _ties(docs: DataFrame, counts: np.ndarray, cfg: Settings) -> DataFrame:
                 tokens, often = [], []
                 for s in classes.values():
                     c = counts[(s >> shift).astype(np.int64)]
-                    p = prefix_size(len(s), cfg.percent)
+                    p = prefix_size(len(s), cfg)
                     first = np.lexsort((s, c))[:p]
                     tokens.append(s[first])
                     often.append(c[first])
@@ -134,12 +140,20 @@ def _ties(docs: DataFrame, counts: np.ndarray, cfg: Settings) -> DataFrame:
 
     schema = "token bigint, salt int, class binary, n int"
     rows = docs.select("text").mapInArrow(lambda batches: rows_of(batches, False), schema)
-    # the smallest set of each run of sizes stands for the run
-    order = Window.partitionBy("token", "salt").orderBy("n", "class")
-    rows = rows.withColumn("last_n", F.lag("n").over(order))
+    group = Window.partitionBy("token", "salt")
+    order = group.orderBy("n", "class")
+    rows = rows.withColumn("many", F.count("*").over(group)).where("many > 1")
+    # long lists: the smallest set of each run of sizes stands for the run
+    long = rows.where(F.col("many") > cfg.short).withColumn("last_n", F.lag("n").over(order))
     begins = F.col("last_n").isNull() | (100 * F.col("last_n") < cfg.percent * F.col("n"))
-    rows = rows.withColumn("hub", F.last(F.when(begins, F.col("class")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    ties = written(rows.where(F.col("hub") != F.col("class")).select(F.col("class").alias("u"), F.col("hub").alias("v")).distinct(), "ties")
+    long = long.withColumn("hub", F.last(F.when(begins, F.col("class")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    long = long.where(F.col("hub") != F.col("class")).select(F.col("class").alias("u"), F.col("hub").alias("v")).distinct()
+    # short lists: meetings with those before, counted over all lists
+    met = F.collect_list(F.struct(F.col("class").alias("v"), F.col("n").alias("m"))).over(order.rowsBetween(1 - cfg.short, -1))
+    short = rows.where(F.col("many") <= cfg.short).withColumn("met", met).select(F.col("class").alias("u"), "n", F.explode("met").alias("x")).select("u", "n", "x.v", "x.m")
+    need = F.least(F.lit(cfg.meetings), F.ceil(cfg.percent * (F.col("n") + F.col("m")) / F.lit(100 + cfg.percent)))
+    short = short.where((F.col("u") != F.col("v")) & (100 * F.col("m") >= cfg.percent * F.col("n"))).groupBy("u", "v", "n", "m").agg(F.count("*").alias("times")).where(F.col("times") >= need).select("u", "v")
+    ties = written(long.unionByName(short), "ties")
     if int(counts.max(initial=0)) < cfg.hot:
         return ties
     # groups of one salted shingle meet in their smallest members
@@ -339,24 +353,23 @@ def _filter_of(nodes: DataFrame) -> np.ndarray:
         if bits.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(_in_parts(bits), pa.binary())], ["part", "counts"])
 
-    return _reduced(nodes.select("node").mapInArrow(run, "part int, counts binary"), np.uint8, np.bitwise_or)
+    return _reduced(nodes.select("node").mapInArrow(run, "part int, counts binary"), np.uint8, np.uint8, np.bitwise_or)
 
 
 def _links(docs: DataFrame, candidates: DataFrame, cfg: Settings) -> DataFrame:
-    """Links between classes, enough of them for the components. candidates: (node, root)."""
-    shingles = _shingles_of(docs, _filter_of(candidates), cfg)
-    members = candidates.join(shingles, candidates["node"] == shingles["class"]).groupBy("class").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles"))
-    members = written(members, "members")
+    """Links between classes, enough of them for the components.  candidates: (node, root, n)."""
+    sizes = candidates.groupBy("root").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
     # large sets of candidates are dealt into blocks
-    weight = members.groupBy("root").agg(F.count("*").alias("docs"), F.sum(F.length("shingles") / 8).alias("total"))
-    weight = weight.withColumn("blocks", F.ceil(F.greatest(F.col("docs") / cfg.group_docs, F.col("total") / cfg.group_shingles)).cast("int"))
-    placed = members.join(weight.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    sizes = sizes.select("root", F.ceil(F.greatest(F.col("docs") / cfg.group_docs, F.col("total") / cfg.group_shingles)).cast("int").alias("blocks"))
+    places = written(candidates.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("node", "root", "blocks", "block"), "places")
+    shingles = _shingles_of(docs, _filter_of(candidates), cfg)
+    placed = places.join(shingles, places["node"] == shingles["class"]).select("class", "root", "blocks", "block", "shingles")
     local = placed.select(F.concat("root", F.lit(b"/"), F.col("block").cast("string").cast("binary")).alias("key"), "class", "shingles")
     found = written(_searched(local, cfg.percent, False), "links")
-    if weight.where("blocks > 1").isEmpty():
+    if places.where("blocks > 1").isEmpty():
         return found
     # those outside the largest component of a dealt set ask all blocks
-    large = placed.where("blocks > 1")
+    large = placed.where("blocks > 1").dropDuplicates(["class"])
     so_far = components(found)
     large = written(large.join(so_far.withColumnsRenamed({"node": "class", "root": "found"}), "class", "left").withColumn("label", F.coalesce("found", "class")).drop("found"), "large")
     sizes = large.groupBy("root", "label").agg(F.count("*").alias("k"))
@@ -377,14 +390,15 @@ def join(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): size of its set and the smallest doc_id of its component."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(profiles(docs, cfg), "profiles")
-    counts = np.minimum(_reduced(rows.where("part is not null"), np.int64, np.add), 2**31 - 1).astype(np.int32)
+    counts = np.minimum(_reduced(rows.where("part is not null"), np.int32, np.int64, np.add), 2**31 - 1).astype(np.int32)
     of_docs = rows.where("part is null").select("doc_id", "n", "class")
-    candidates = written(components(_ties(docs, counts, cfg)), "candidates") if len(counts) else None
-    least = of_docs.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    if candidates is not None:
+    least = of_docs.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    if len(counts):
+        sized = least.select(F.col("class").alias("node"), "n")
+        candidates = written(components(_ties(docs, counts, cfg)).join(sized, "node"), "candidates")
         roots = written(components(_links(docs, candidates, cfg)), "roots")
         joined = least.join(roots, least["class"] == roots["node"], "left").select("class", "least", "root")
         tops = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("top"))
         least = joined.join(tops, "root", "left").select("class", F.coalesce("top", "least").alias("least"))
-    out = of_docs.where("n > 0").join(least, "class").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    out = of_docs.where("n > 0").join(least.select("class", "least"), "class").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return out.unionByName(of_docs.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
