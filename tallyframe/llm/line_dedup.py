@@ -195,22 +195,24 @@ def apply(docs: DataFrame, least_words: int = LEAST_WORDS, rare: int = RARE) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lines, words = [], [], []
-            for text, blocks in zip(batch.column("text"), batch.column(spare)):
-                text, n, w = text.as_py(), 0, 0
-                if blocks.is_valid:
-                    dead = {k for x in blocks.as_py() for k in range(x["s"], x["e"])}
-                    rows = text.split("\n")
-                    w = sum(_words(rows[k]) for k in dead)
-                    n, text = len(dead), "\n".join(r for k, r in enumerate(rows) if k not in dead)
-                texts.append(text)
-                lines.append(n)
-                words.append(w)
-            columns = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int32()), pa.array(words, pa.int64())], [*names, "lines_deleted", "words_deleted"])
-
+            for part in textnum.slices(batch):
+                texts, lines, words = [], [], []
+                for text, blocks in zip(part.column("text"), part.column(spare)):
+                    text, n, w = text.as_py(), 0, 0
+                    if blocks.is_valid:
+                        dead = {k for x in blocks.as_py() for k in range(x["s"], x["e"])}
+                        rows = text.split("\n")
+                        w = sum(_words(rows[k]) for k in dead)
+                        n, text = len(dead), "\n".join(r for k, r in enumerate(rows) if k not in dead)
+                    texts.append(text)
+                    lines.append(n)
+                    words.append(w)
+                columns = [pa.array(texts, part.schema.field("text").type) if c == "text" else part.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int32()), pa.array(words, pa.int64())], [*names, "lines_deleted", "words_deleted"])
+
+    # the same plan at every size: what is deleted grows with the input, so it's never broadcast
     keyed = docs.mapInArrow(with_id, _fields(schema, f"{spare} binary"))
-    joined = keyed.join(gone.select(F.col("id").alias(spare), F.col("blocks").alias("_line_dedup_blocks")), spare, "left").select(*names, F.col("_line_dedup_blocks").alias(spare))
+    joined = keyed.hint("merge").join(gone.select(F.col("id").alias(spare), F.col("blocks").alias("_line_dedup_blocks")), spare, "left").select(*names, F.col("_line_dedup_blocks").alias(spare))
     return joined.mapInArrow(cut, _fields(schema, "lines_deleted int", "words_deleted bigint"))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 #: Bytes of text handled at once; bounds the memory of every function below.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_000_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
