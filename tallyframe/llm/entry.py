@@ -37,6 +37,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages say of each page."""
+    from tallyframe.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the blocks of lines that an earlier one has."""
     from tallyframe.llm.line_dedup import report
