@@ -47,7 +47,7 @@ BATCH = 1024
 class Settings:
     toxic: int = 3000  # most labelled documents of either label that are used
     clean: int = 6000
-    steps: int = 300
+    steps: int = 400
     batch: int = 48  # documents in a step
     windows: int = 4  # of a training document, those with the highest log odds
     rate: float = 0.03
@@ -67,33 +67,34 @@ class Words:
         distinct, first, self.number = np.unique(hashes, return_index=True, return_inverse=True)
         self.row = (distinct & np.uint64(WORD_ROWS - 1)).astype(np.int64)
         self.counts = np.bincount(self.doc, minlength=texts.n)
-        a, b = a[first], b[first]
-        sizes = b - a + 2  # with a mark at either end
-        self.n = len(a)
-        begin = np.cumsum(sizes) - sizes
-        place = np.repeat(a - 1 - begin, sizes) + np.arange(int(sizes.sum()))
-        data = np.zeros(len(place) + max(GRAMS), np.uint64)
-        inner = np.ones(len(place), bool)
-        inner[begin] = inner[begin + sizes - 1] = False
-        data[: len(place)][inner] = textnum.LOWER[texts.data[place[inner]]].astype(np.uint64) + np.uint64(3)
-        data[begin], data[begin + sizes - 1] = 1, 2
-        grams, owner = [], []
-        word = np.repeat(np.arange(self.n), sizes)
-        left = np.repeat(begin + sizes, sizes) - np.arange(len(place))  # bytes from here to the word's end
-        for k in GRAMS:
-            h = np.zeros(len(place), np.uint64)
-            for j in range(k):
-                h = h * np.uint64(0x100000001B3) + data[j : j + len(place)]
-            ok = left >= k
-            grams.append((textnum.mix(h[ok] + np.uint64(k)) & np.uint64(GRAM_ROWS - 1)).astype(np.int64))
-            owner.append(word[ok])
-        if self.n:
-            # three bytes with marks at least, so each word has an n-gram
-            order = np.argsort(np.concatenate(owner), kind="stable")
-            self.grams = np.concatenate(grams)[order]
-            self.gram_begin = np.searchsorted(np.concatenate(owner)[order], np.arange(self.n))
-        else:
-            self.grams = self.gram_begin = np.zeros(0, np.int64)
+        self.n = len(first)
+        parts = [_grams(texts.data, a[first[k : k + 20_000]], b[first[k : k + 20_000]]) for k in range(0, self.n, 20_000)]
+        # two marks and a byte at least, so each word has an n-gram
+        self.grams = np.concatenate([g for g, _ in parts] or [np.zeros(0, np.int32)])
+        many = np.concatenate([m for _, m in parts] or [np.zeros(0, np.int64)])
+        self.gram_begin = np.cumsum(many) - many
+
+    @classmethod
+    def gathered(cls, texts: list[str]) -> Words:
+        """The same, slice by slice: only distinct words are held as bytes."""
+        hashes, seen, number, doc, counts, known, first = [], [], [], [], [], 0, 0
+        for part in textnum.slices(pa.record_batch([pa.array(texts, pa.large_string())], ["text"])):
+            t = textnum.Texts(part.column("text"))
+            a, b, d = t.spans(textnum.ALNUM)
+            distinct, at, inverse = np.unique(t.hashes(a, b), return_index=True, return_inverse=True)
+            hashes.append(distinct)
+            seen += [t.data[x:y].tobytes() for x, y in zip(a[at].tolist(), b[at].tolist())]
+            number.append(inverse + known)
+            doc.append(d + first)
+            counts.append(np.bincount(d, minlength=t.n))
+            known, first = known + len(distinct), first + t.n
+        distinct, at, inverse = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
+        # words as texts: numbered by hash again, so in the same order
+        out = cls(textnum.Texts(pa.array([seen[k] for k in at], pa.large_binary())))
+        out.number = inverse[np.concatenate([*number, np.zeros(0, np.int64)])]
+        out.doc = np.concatenate([*doc, np.zeros(0, np.int64)])
+        out.counts = np.concatenate([*counts, np.zeros(0, np.int64)])
+        return out
 
     def inputs(self, words: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """A row per distinct word."""
@@ -149,6 +150,30 @@ class Words:
         return start, np.minimum(WINDOW, n[doc] - STRIDE * k), doc
 
 
+def _grams(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of the n-grams of some byte spans, in the order of the spans, and how many each has."""
+    sizes = b - a + 2  # with a mark at either end
+    begin = np.cumsum(sizes) - sizes
+    word = np.repeat(np.arange(len(a), dtype=np.int32), sizes)
+    place = np.repeat(a - 1 - begin, sizes) + np.arange(int(sizes.sum()))
+    inner = np.ones(len(place), bool)
+    inner[begin] = inner[begin + sizes - 1] = False
+    code = np.zeros(len(place) + max(GRAMS), np.uint64)
+    code[: len(place)][inner] = textnum.LOWER[data[place[inner]]].astype(np.uint64) + np.uint64(3)
+    code[begin], code[begin + sizes - 1] = 1, 2
+    left = np.repeat(begin + sizes, sizes) - np.arange(len(place))  # bytes from here to the word's end
+    grams, owner = [], []
+    for k in GRAMS:
+        h = np.zeros(len(place), np.uint64)
+        for j in range(k):
+            h = h * np.uint64(0x100000001B3) + code[j : j + len(place)]
+        ok = left >= k
+        grams.append((textnum.mix(h[ok] + np.uint64(k)) & np.uint64(GRAM_ROWS - 1)).astype(np.int32))
+        owner.append(word[ok])
+    owner = np.concatenate(owner)
+    return np.concatenate(grams)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(a))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -258,12 +283,14 @@ def _log_odds(w: Words, label: np.ndarray, rows: int, of_word: np.ndarray, word_
     counts = np.zeros((2, rows))
     totals = np.bincount(label, minlength=2)
     pair = np.unique(w.doc * np.int64(w.n) + w.number)
-    doc, word = pair // max(w.n, 1), pair % max(w.n, 1)
     begin = np.searchsorted(word_of, np.arange(w.n + 1))
-    many = (begin[1:] - begin[:-1])[word]
-    at = np.repeat(begin[word] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-    both = np.unique(np.repeat(doc, many) * np.int64(rows) + of_word[at])
-    np.add.at(counts, (label[both // rows], both % rows), 1)
+    cuts = np.append(np.searchsorted(pair // max(w.n, 1), np.arange(0, len(w.counts), 50)), len(pair))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):  # some documents at a time
+        doc, word = pair[lo:hi] // w.n, pair[lo:hi] % w.n
+        many = (begin[1:] - begin[:-1])[word]
+        at = np.repeat(begin[word] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        both = np.unique(np.repeat(doc, many) * np.int64(rows) + of_word[at].astype(np.int64))
+        np.add.at(counts, (label[both // rows], both % rows), 1)
     out = []
     for less in ((1, 0), (0, 1), (0, 0)):
         clean, toxic = np.maximum(counts[0] - less[0], 0), np.maximum(counts[1] - less[1], 0)
@@ -286,7 +313,7 @@ def train(texts: list[str], labels: np.ndarray, cfg: Settings = Settings()) -> M
     if min(map(len, by_label)) < 4:  # nothing to tell apart
         net["o"][:] = 0
         return model
-    w = Words(textnum.Texts(pa.array(texts, pa.large_string())))
+    w = Words.gathered(texts)
     label = labels.astype(np.float32)
     if not w.n:
         net["o"][:] = 0
