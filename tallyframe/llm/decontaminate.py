@@ -121,16 +121,28 @@ def find_in(texts: textnum.Texts, block: Windows, every: int) -> tuple[np.ndarra
     return counts, found
 
 
+class Blocks:
+    """The windows of a benchmark, to be taken in blocks of bounded size."""
+
+    def __init__(self, bench: DataFrame, width: int, most: int):
+        self.windows = written(windows_of(bench, width), "windows")
+        self.count = max(1, -(-self.windows.count() // most))
+
+    def rows(self, k: int) -> list[tuple[str, bytes]]:
+        return [(r.item, r.window) for r in self.windows.where(F.pmod(F.xxhash64("window"), F.lit(self.count)) == k).toLocalIterator()]
+
+
 def occurrences(docs: DataFrame, bench: DataFrame, width: int = WINDOW, block_windows: int = BLOCK_WINDOWS, every: int = 16) -> DataFrame:
     """One row per row of ``docs``: words, items that occur, removal spans in words (end exclusive)."""
+    return _occurrences(docs, Blocks(bench, width, block_windows), every)
+
+
+def _occurrences(docs: DataFrame, windows: Blocks, every: int) -> DataFrame:
     spark = docs.sparkSession
-    windows = written(windows_of(bench, width), "windows")
-    blocks = max(1, -(-windows.count() // block_windows))
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def one(k: int) -> DataFrame:
-        rows = [(r.item, r.window) for r in windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).toLocalIterator()]
-        held = spark.sparkContext.broadcast(rows)
+        held = spark.sparkContext.broadcast(windows.rows(k))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = Windows(held.value)
@@ -146,11 +158,11 @@ def occurrences(docs: DataFrame, bench: DataFrame, width: int = WINDOW, block_wi
 
         return docs.mapInArrow(run, f"row bigint, {FOUND}")
 
-    if blocks == 1:
+    if windows.count == 1:
         return one(0).drop("row")
     # with more blocks than one, a document's spans come from several passes
     parts = written(one(0), "hits")
-    for k in range(1, blocks):
+    for k in range(1, windows.count):
         parts = parts.unionByName(written(one(k).where(F.size("items") > 0), "hits"))
     merged = F.expr("""aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) ->
         case when size(a) > 0 and element_at(a, -1).end >= x.start
@@ -160,10 +172,37 @@ def occurrences(docs: DataFrame, bench: DataFrame, width: int = WINDOW, block_wi
     return out.drop("row")
 
 
+HIT = "aggregate(spans, 0L, (n, x) -> n + x.end - x.start)"
+
+
+def clean(docs: DataFrame, bench: DataFrame, width: int = WINDOW, block_windows: int = BLOCK_WINDOWS, every: int = 16) -> DataFrame:
+    """``docs`` without those that ``judged`` calls contaminated; the others are left as they are."""
+    windows = Blocks(bench, width, block_windows)
+    if windows.count == 1:
+        held = docs.sparkSession.sparkContext.broadcast(windows.rows(0))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = Windows(held.value)
+            for batch in batches:
+                for part in textnum.slices(batch):
+                    counts, found = find_in(textnum.Texts(part.column("text")), block, every)
+                    bad = {d for d, (_, spans) in found.items() if 20 * sum(e - s for s, e in spans) >= counts[d]}
+                    yield part.filter(pa.array([d not in bad for d in range(part.num_rows)], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+    # with more blocks than one the verdict needs all passes, so rows are numbered in a table
+    spare = "_decontaminate_row"
+    docs = written(docs.withColumn(spare, F.monotonically_increasing_id()), "rows")
+    found = _occurrences(docs.select(F.col(spare).alias("doc_id"), "text"), windows, every)
+    hit = F.expr(HIT)
+    bad = found.where((hit > 0) & (20 * hit >= F.col("n_words"))).select(F.col("doc_id").alias(spare))
+    return docs.hint("merge").join(bad, spare, "left_anti").drop(spare)
+
+
 def judged(docs: DataFrame, bench: DataFrame, **settings) -> DataFrame:
     """``occurrences`` with counts, the digest of the items and the verdict: at least one word in twenty is hit."""
     found = occurrences(docs, bench, **settings)
-    hit = F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)")
+    hit = F.expr(HIT)
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),

@@ -386,19 +386,52 @@ def _links(docs: DataFrame, candidates: DataFrame, cfg: Settings) -> DataFrame:
     return found.unionByName(written(_searched(both, cfg.percent, True), "links"))
 
 
-def join(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): size of its set and the smallest doc_id of its component."""
+def _classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, n, class), and of each class its component: (class, n, least doc_id of the class, root or null)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(profiles(docs, cfg), "profiles")
     counts = np.minimum(_reduced(rows.where("part is not null"), np.int32, np.int64, np.add), 2**31 - 1).astype(np.int32)
     of_docs = rows.where("part is null").select("doc_id", "n", "class")
     least = of_docs.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
-    if len(counts):
-        sized = least.select(F.col("class").alias("node"), "n")
-        candidates = written(components(_ties(docs, counts, cfg)).join(sized, "node"), "candidates")
-        roots = written(components(_links(docs, candidates, cfg)), "roots")
-        joined = least.join(roots, least["class"] == roots["node"], "left").select("class", "least", "root")
-        tops = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("top"))
-        least = joined.join(tops, "root", "left").select("class", F.coalesce("top", "least").alias("least"))
-    out = of_docs.where("n > 0").join(least.select("class", "least"), "class").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    if not len(counts):
+        return of_docs, least.withColumn("root", F.lit(None).cast("binary"))
+    sized = least.select(F.col("class").alias("node"), "n")
+    candidates = written(components(_ties(docs, counts, cfg)).join(sized, "node"), "candidates")
+    roots = written(components(_links(docs, candidates, cfg)), "roots")
+    return of_docs, least.join(roots, least["class"] == roots["node"], "left").select("class", "n", "least", "root")
+
+
+def join(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): size of its set and the smallest doc_id of its component."""
+    of_docs, classes = _classes(docs, cfg)
+    tops = classes.where("root is not null").groupBy("root").agg(F.min("least").alias("top"))
+    known = classes.select("class", "least", "root").join(tops, "root", "left").select("class", F.coalesce("top", "least").alias("least"))
+    out = of_docs.where("n > 0").join(known, "class").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return out.unionByName(of_docs.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def distinct(docs: DataFrame, cfg: Settings = Settings(words=5, percent=80)) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id; rows without words all stay.
+
+    Of several rows with that doc_id and set of shingles, the one with the least text stays.
+    """
+    _, classes = _classes(docs, cfg)
+    alone = classes.where("root is null").select("class", "least")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "class")).alias("x")
+    chosen = alone.unionByName(classes.where("root is not null").groupBy("root").agg(first).select("x.class", "x.least"))
+    names, spare = docs.columns, "_ngram_join_class"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textnum.slices(batch):
+                sets, _ = textnum.shingle_sets(textnum.Texts(part.column("text")), cfg.words)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())], [*part.schema.names, spare])
+
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{spare} binary"])
+    keyed = docs.mapInArrow(run, fields)
+    # the same plan at every size: the chosen rows grow with the input, so they're never broadcast
+    same = (keyed[spare] == chosen["class"]) & keyed["doc_id"].cast("bigint").eqNullSafe(chosen["least"])
+    kept = keyed.hint("merge").join(chosen, same, "left_semi")
+    rank = F.row_number().over(Window.partitionBy(spare, "doc_id").orderBy("text"))
+    kept = kept.withColumn("_ngram_join_rank", rank).where("_ngram_join_rank = 1").select(*names)
+    return kept.unionByName(keyed.where(F.col(spare).isNull()).select(*names))

@@ -94,3 +94,13 @@ def test_empty_tables(spark):
     got = decontaminate.judged(spark.createDataFrame(docs, "doc_id long, text string"), none).collect()
     assert len(got) == len(docs) and not any(r.n_hit for r in got)
     assert decontaminate.judged(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_clean_keeps_all_columns_and_all_clean_documents(spark):
+    docs, items = corpus()
+    frame = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(docs)], "doc_id long, text string, spans string, number int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = [k for k, (_, t) in enumerate(docs) if not brute(t, items)[4]]
+    for settings in ({}, {"block_windows": 40}):
+        kept = decontaminate.clean(frame, bench, **settings)
+        assert kept.columns == frame.columns and sorted(r.number for r in kept.collect()) == want
