@@ -37,6 +37,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and word pieces of every document."""
+    from tallyframe.llm.token_counts import count
+
+    return count(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives of all pages say of each page."""
     from tallyframe.llm.warc import archived
