@@ -32,7 +32,7 @@ from tallyframe.llm import textnum
 BLOCK = 512
 #: Frames from one seek point to the next.
 SEEK_FRAMES = 8
-LANES = 4096
+LANES = 1024
 ORDER, PRECISION = 4, 12
 PAD = 64
 #: Coefficients of the fixed predictors.
@@ -304,6 +304,18 @@ def frames_of(s: Stream, first: int = 0, offset: int = 0, most: int | None = Non
     return out
 
 
+def _zeros(data: np.ndarray, at: int) -> int:
+    """Zero bits from a bit on."""
+    first = int(data[at >> 3]) & (0xFF >> (at & 7))
+    if first:
+        return 8 - first.bit_length() - (at & 7)
+    rest = np.flatnonzero(data[(at >> 3) + 1 :])
+    if not len(rest):
+        raise ValueError("a residual without an end")
+    byte = int(rest[0])
+    return 8 - (at & 7) + 8 * byte + 8 - int(data[(at >> 3) + 1 + byte]).bit_length()
+
+
 def decode_frames(data: np.ndarray, begin: np.ndarray, end: np.ndarray, size: np.ndarray, head: np.ndarray) -> np.ndarray:
     """Samples of frames, a row each (padded behind its size)."""
     check = crc16(data, begin, end - begin - 2)
@@ -325,9 +337,6 @@ def decode_frames(data: np.ndarray, begin: np.ndarray, end: np.ndarray, size: np
         top = np.int64(1) << (np.asarray(width, np.int64) - 1)
         return (v ^ top) - top
 
-    flags = np.unpackbits(data)
-    ones = np.flatnonzero(flags)
-    after = np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])  # ones before a bit: the index of the next one
     at = 8 * (begin + head)
     kind = bits(at, 8) >> 1
     at = at + 8
@@ -357,39 +366,57 @@ def decode_frames(data: np.ndarray, begin: np.ndarray, end: np.ndarray, size: np
             some = linear & (order > j)
             coefficients[j, some] = signed(at[some] + 9 + precision[some] * j, precision[some])
         at = at + np.where(linear, 9 + precision * order, 0)
-    # Rice residuals, then predictions, in step over all frames
+    # Rice residuals, then predictions, in step over all frames; longer ones first, so those in play are a prefix
     rows = np.flatnonzero(fixed | linear)
+    rows = rows[np.argsort(-size[rows], kind="stable")]
     if len(rows):
         if bits(at[rows], 2).any():
             raise ValueError("a residual of an unknown kind")
-        each = size[rows] >> bits(at[rows] + 2, 4)
-        pos, k, done = at[rows] + 6, np.zeros(len(rows), np.int64), order[rows]
-        turn = np.zeros(len(rows), np.int64)  # where the next partition begins
-        some_size = size[rows]
+        sizes, orders = size[rows], order[rows]
+        y = x[:, rows]
+        each = sizes >> bits(at[rows] + 2, 4)
+        pos, k, turn = at[rows] + 6, np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        turns = 0  # the least of turn: where a next partition begins
+        in_play = np.searchsorted(-sizes, -np.arange(width), side="left")
         for n in range(width):
-            fresh = (n >= turn) & (n < some_size)
-            if fresh.any():
-                turn = np.where(fresh, turn + each, turn)
-                k = np.where(fresh, bits(pos, 4), k)
-                if (k[fresh] == 15).any():
+            m = int(in_play[n])
+            if n >= turns:
+                fresh = turn[:m] <= n
+                k[:m] = np.where(fresh, bits(pos[:m], 4), k[:m])
+                if (k[:m] == 15).any():
                     raise ValueError("an escaped partition")
-                pos = np.where(fresh, pos + 4, pos)
-            live = (n >= done) & (n < some_size)
-            if not live.any():
-                continue
-            stop = ones[np.minimum(after[pos], len(ones) - 1)]
-            u = ((stop - pos) << k) | np.where(k > 0, bits(stop + 1, np.maximum(k, 1)), 0)
-            pos = np.where(live, stop + 1 + k, pos)
-            x[n, rows] = np.where(live, (u >> 1) ^ -(u & 1), x[n, rows])
-        predicted = np.flatnonzero(order > 0)
-        if len(predicted):
-            y, c, s, o = x[:, predicted], coefficients[:, predicted], shift[predicted], order[predicted]
+                pos[:m] += 4 * fresh
+                turn[:m] += each[:m] * fresh
+                turns = int(turn[:m].min())
+            q_at, kk = pos[:m], k[:m]
+            w = words[q_at >> 3] << (q_at & 7).astype(np.uint64)
+            q = 32 - np.frexp((w >> np.uint64(32)).astype(np.float64))[1].astype(np.int64)
+            if q.max() >= 32:  # a run of zeros longer than a look shows
+                for lane in np.flatnonzero(q >= 32).tolist():
+                    q[lane] = _zeros(data, int(q_at[lane]))
+            stop = q_at + q + 1
+            u = (q << kk) | bits(stop, kk)
+            v = (u >> 1) ^ -(u & 1)
+            if n < top:
+                live = orders[:m] <= n
+                y[n, :m] = np.where(live, v, y[n, :m])
+                pos[:m] = np.where(live, stop + kk, q_at)
+            else:
+                y[n, :m] = v
+                pos[:m] = stop + kk
+        some = np.flatnonzero(orders > 0)
+        if len(some):
+            z, c, s, o = y[:, some], coefficients[:, rows[some]], shift[rows[some]], orders[some]
+            in_play = np.searchsorted(-sizes[some], -np.arange(width), side="left")
             for n in range(1, width):
-                total = np.zeros(len(predicted), np.int64)
-                for j in range(min(n, top)):
-                    total += c[j] * y[n - 1 - j]
-                y[n] += np.where(n >= o, total >> s, 0)
-            x[:, predicted] = y
+                m = int(in_play[n])
+                total = c[0, :m] * z[n - 1, :m]
+                for j in range(1, min(n, top)):
+                    total += c[j, :m] * z[n - 1 - j, :m]
+                total >>= s[:m]
+                z[n, :m] += np.where(o[:m] <= n, total, 0) if n < top else total
+            y[:, some] = z
+        x[:, rows] = y
     return x.T
 
 
