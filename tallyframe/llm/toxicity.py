@@ -21,6 +21,7 @@ doc_id isn't held out; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,25 +76,30 @@ class Words:
         self.gram_begin = np.cumsum(many) - many
 
     @classmethod
-    def gathered(cls, texts: list[str]) -> Words:
+    def gathered(cls, texts: pa.Array) -> Words:
         """The same, slice by slice: only distinct words are held as bytes."""
-        hashes, seen, number, doc, counts, known, first = [], [], [], [], [], 0, 0
-        for part in textnum.slices(pa.record_batch([pa.array(texts, pa.large_string())], ["text"])):
+        place: dict[int, int] = {}
+        seen: list[bytes] = []
+        number, doc, counts, first = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        for part in textnum.slices(pa.record_batch([texts], ["text"])):
             t = textnum.Texts(part.column("text"))
             a, b, d = t.spans(textnum.ALNUM)
             distinct, at, inverse = np.unique(t.hashes(a, b), return_index=True, return_inverse=True)
-            hashes.append(distinct)
-            seen += [t.data[x:y].tobytes() for x, y in zip(a[at].tolist(), b[at].tolist())]
-            number.append(inverse + known)
-            doc.append(d + first)
+            local = np.empty(len(distinct), np.int32)
+            for k, (h, x, y) in enumerate(zip(distinct.tolist(), a[at].tolist(), b[at].tolist())):
+                local[k] = n = place.setdefault(h, len(place))
+                if n == len(seen):
+                    seen.append(t.data[x:y].tobytes())
+            number.append(local[inverse])
+            doc.append((d + first).astype(np.int32))
             counts.append(np.bincount(d, minlength=t.n))
-            known, first = known + len(distinct), first + t.n
-        distinct, at, inverse = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
-        # words as texts: numbered by hash again, so in the same order
-        out = cls(textnum.Texts(pa.array([seen[k] for k in at], pa.large_binary())))
-        out.number = inverse[np.concatenate([*number, np.zeros(0, np.int64)])]
-        out.doc = np.concatenate([*doc, np.zeros(0, np.int64)])
-        out.counts = np.concatenate([*counts, np.zeros(0, np.int64)])
+            first += t.n
+        # words as texts are numbered by their hashes
+        order = np.argsort(np.fromiter(place, np.uint64, len(place)))
+        out = cls(textnum.Texts(pa.array([seen[k] for k in order], pa.large_binary())))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        out.number, out.doc, out.counts = rank[np.concatenate(number)], np.concatenate(doc), np.concatenate(counts)
         return out
 
     def inputs(self, words: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -282,7 +288,7 @@ def _log_odds(w: Words, label: np.ndarray, rows: int, of_word: np.ndarray, word_
     """
     counts = np.zeros((2, rows))
     totals = np.bincount(label, minlength=2)
-    pair = np.unique(w.doc * np.int64(w.n) + w.number)
+    pair = np.unique(w.doc.astype(np.int64) * w.n + w.number)
     begin = np.searchsorted(word_of, np.arange(w.n + 1))
     cuts = np.append(np.searchsorted(pair // max(w.n, 1), np.arange(0, len(w.counts), 50)), len(pair))
     for lo, hi in zip(cuts[:-1], cuts[1:]):  # some documents at a time
@@ -300,8 +306,8 @@ def _log_odds(w: Words, label: np.ndarray, rows: int, of_word: np.ndarray, word_
     return np.array(out, np.float32)
 
 
-def train(texts: list[str], labels: np.ndarray, cfg: Settings = Settings()) -> Model:
-    """A model of labelled texts (labels 0 and 1)."""
+def train(w: Words, labels: np.ndarray, cfg: Settings = Settings()) -> Model:
+    """A model of labelled texts (labels 0 and 1), given by their words."""
     rng = np.random.default_rng(cfg.seed)
     net = fresh(rng)
     words = (rng.standard_normal((WORD_ROWS, WORD_DIMS)) * 0.05).astype(np.float32)
@@ -313,7 +319,6 @@ def train(texts: list[str], labels: np.ndarray, cfg: Settings = Settings()) -> M
     if min(map(len, by_label)) < 4:  # nothing to tell apart
         net["o"][:] = 0
         return model
-    w = Words.gathered(texts)
     label = labels.astype(np.float32)
     if not w.n:
         net["o"][:] = 0
@@ -324,19 +329,19 @@ def train(texts: list[str], labels: np.ndarray, cfg: Settings = Settings()) -> M
     odds = np.array([[word_odds[k][w.row], np.maximum.reduceat(gram_odds[k][w.grams], w.gram_begin)] for k in (0, 1)])
     words[:, -1], grams[:, -1] = word_odds[2], gram_odds[2]
     start, size, doc = w.windows()
-    number = w.number + w.n * labels[w.doc]
+    number = w.number + w.n * labels.astype(np.int32)[w.doc]
     worth = np.concatenate([[0], np.cumsum(np.maximum(odds.max(1).reshape(-1)[number], 0))])
     rank = worth[start + np.maximum(size, 0)] - worth[start]
     order = np.lexsort((-rank, doc))
     place = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
     used = np.sort(order[place < cfg.windows])
     start, size, doc = start[used], size[used], doc[used]
-    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    bounds = np.searchsorted(doc, np.arange(len(labels) + 1))
     memory = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in net.items()}
     squares = [np.full(WORD_ROWS, 0.1, np.float32), np.full(GRAM_ROWS, 0.1, np.float32)]
     step = 0
     while step < cfg.steps:
-        docs = rng.permutation(len(texts))
+        docs = rng.permutation(len(labels))
         for k in range(0, len(docs), cfg.batch):
             batch = docs[k : k + cfg.batch]
             at = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in batch])
@@ -368,16 +373,29 @@ def train(texts: list[str], labels: np.ndarray, cfg: Settings = Settings()) -> M
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, cfg: Settings) -> tuple[list[str], np.ndarray]:
-    """The labelled texts that train: of each label those with the least hashes of doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, cfg: Settings) -> DataFrame:
+    """(doc_id, text, toxic): the labelled texts that train, of each label those with the least hashes of doc_id."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     mark = F.xxhash64(F.col("doc_id"), F.lit(cfg.seed))
     chosen = known.where("toxic = 1").orderBy(mark, "doc_id").limit(cfg.toxic).unionByName(known.where("toxic = 0").orderBy(mark, "doc_id").limit(cfg.clean))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # of bounded size: cfg.toxic + cfg.clean ids
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toLocalIterator()
-    found = sorted(((r.doc_id, r.text or "", r.toxic) for r in rows))
-    return [t for _, t, _ in found], np.array([x for _, _, x in found], np.int64)
+    return texts.join(F.broadcast(chosen), "doc_id")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Model:
+    """A model of the labelled documents; one task trains it on the bounded sample, and a lost one starts again with the same rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
+        model = train(Words.gathered(rows.column("text").cast(pa.large_string()).combine_chunks()), rows.column("toxic").to_numpy().astype(np.int64), cfg)
+        yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = sample(docs, labels, cfg).select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else train(Words.gathered(pa.array([], pa.large_string())), np.zeros(0, np.int64), cfg)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -398,6 +416,6 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score, predicted, n_windows of every row of ``docs``."""
-    model = train(*sample(docs, labels, cfg), cfg)
+    model = fitted(docs, labels, cfg)
     rows = scored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_windows")
