@@ -54,7 +54,7 @@ def windows_of(items: DataFrame, width: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("item").take(pa.array(item, pa.int64())), pa.array(window, pa.binary())], ["item", "window"])
 
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "item string, window binary").distinct()
+    return rows.mapInArrow(textnum.lean(run), "item string, window binary").distinct()
 
 
 class Windows:
@@ -156,7 +156,7 @@ def _occurrences(docs: DataFrame, windows: Blocks, every: int) -> DataFrame:
                         ["row", "doc_id", "n_words", "items", "spans"],
                     )
 
-        return docs.mapInArrow(run, f"row bigint, {FOUND}")
+        return docs.mapInArrow(textnum.lean(run), f"row bigint, {FOUND}")
 
     if windows.count == 1:
         return one(0).drop("row")
@@ -189,7 +189,7 @@ def clean(docs: DataFrame, bench: DataFrame, width: int = WINDOW, block_windows:
                     bad = {d for d, (_, spans) in found.items() if 20 * sum(e - s for s, e in spans) >= counts[d]}
                     yield part.filter(pa.array([d not in bad for d in range(part.num_rows)], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(textnum.lean(run), docs.schema)
     # with more blocks than one the verdict needs all passes, so rows are numbered in a table
     spare = "_decontaminate_row"
     docs = written(docs.withColumn(spare, F.monotonically_increasing_id()), "rows")

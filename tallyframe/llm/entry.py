@@ -27,7 +27,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     """Words of benchmark windows in every document, and the verdict."""
     from tallyframe.llm.decontaminate import judged
 
-    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": f"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_SPACED} AS ws FROM documents),
+  s AS (SELECT DISTINCT r, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+  n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+  c AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+  l AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+  reach AS (SELECT r, r AS m FROM w UNION SELECT reach.r, l.b FROM reach JOIN l ON l.a = reach.m)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id FROM w LEFT JOIN n ON n.r = w.r JOIN reach ON reach.r = w.r JOIN w o ON o.r = reach.m GROUP BY w.r, w.doc_id""",
+    "op3_benchmark_decontamination": f"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS ws FROM documents),
+  i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_ALNUM} AS ws FROM benchmark),
+  iw AS (SELECT DISTINCT item, least(13, len(ws)) AS n, array_to_string(ws[s:s + least(13, len(ws)) - 1], ' ') AS g FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS s FROM i WHERE len(ws) > 0)),
+  dw AS (SELECT r, n, s, array_to_string(ws[s:s + n - 1], ' ') AS g FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM w, (SELECT DISTINCT n FROM iw) WHERE len(ws) >= n)),
+  hits AS (SELECT r, n, s, item FROM dw JOIN iw USING (n, g)),
+  h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT r, s, n FROM hits)) GROUP BY r),
+  t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN h USING (r) LEFT JOIN t USING (r)""",
+    "op6_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+  m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS original FROM p)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, (i // 4) * 5 + 1, 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1) for i in range(0, 32)], '') AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to FROM m""",
+}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -480,7 +480,7 @@ def stored(docs: DataFrame) -> DataFrame:
             for part in textnum.slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(encode([payload_of(t) for t in _texts(part)]), pa.binary())], ["doc_id", "media"])
 
-    return _rows(docs).mapInArrow(run, "doc_id bigint, media binary")
+    return _rows(docs).mapInArrow(textnum.lean(run), "doc_id bigint, media binary")
 
 
 def pcm_blocks(media: DataFrame, samples: int = BLOCK * SEEK_FRAMES) -> DataFrame:
@@ -499,7 +499,7 @@ def pcm_blocks(media: DataFrame, samples: int = BLOCK * SEEK_FRAMES) -> DataFram
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id bigint, block int, first_sample bigint, n_samples int, media_offset bigint, pcm binary")
+    return media.select("doc_id", "media").mapInArrow(textnum.lean(run), "doc_id bigint, block int, first_sample bigint, n_samples int, media_offset bigint, pcm binary")
 
 
 def features(x: np.ndarray) -> str:
@@ -524,4 +524,4 @@ def digests(docs: DataFrame) -> DataFrame:
                     rows.append((len(t), len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(b[-64:]), len(m), hashlib.sha256(m).hexdigest(), features(x)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
 
-    return _rows(docs).mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return _rows(docs).mapInArrow(textnum.lean(run), "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

@@ -216,4 +216,4 @@ def extract(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.mapInArrow(textnum.lean(run), "page_id bigint, url string, text string, n_chars bigint")

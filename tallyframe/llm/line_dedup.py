@@ -60,7 +60,7 @@ def sequences(docs: DataFrame) -> DataFrame:
                 words = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(counts, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_keys(part.column("doc_id"), texts), pa.binary()), hashes, words], ["doc_id", "id", "lines", "words"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, id binary, lines array<bigint>, words array<int>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textnum.lean(run), "doc_id bigint, id binary, lines array<bigint>, words array<int>")
 
 
 def _lines(texts: textnum.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,7 +174,7 @@ def deletions(docs: DataFrame, least_words: int = LEAST_WORDS, rare: int = RARE)
     seqs = written(sequences(docs).dropDuplicates(["id"]), "lines")
     pairs = written(pairs_of(seqs, rare), "pairs")
     both = pairs.join(seqs.select(F.col("id").alias("later"), F.col("lines").alias("a"), "words"), "later").join(seqs.select(F.col("id").alias("earlier"), F.col("lines").alias("b")), "earlier")
-    found = both.select("later", "a", "words", "b").mapInArrow(run, "id binary, s int, e int")
+    found = both.select("later", "a", "words", "b").mapInArrow(textnum.lean(run), "id binary, s int, e int")
     return written(found.groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("blocks")), "blocks")
 
 
@@ -211,9 +211,9 @@ def apply(docs: DataFrame, least_words: int = LEAST_WORDS, rare: int = RARE) ->
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int32()), pa.array(words, pa.int64())], [*names, "lines_deleted", "words_deleted"])
 
     # the same plan at every size: what is deleted grows with the input, so it's never broadcast
-    keyed = docs.mapInArrow(with_id, _fields(schema, f"{spare} binary"))
+    keyed = docs.mapInArrow(textnum.lean(with_id), _fields(schema, f"{spare} binary"))
     joined = keyed.hint("merge").join(gone.select(F.col("id").alias(spare), F.col("blocks").alias("_line_dedup_blocks")), spare, "left").select(*names, F.col("_line_dedup_blocks").alias(spare))
-    return joined.mapInArrow(cut, _fields(schema, "lines_deleted int", "words_deleted bigint"))
+    return joined.mapInArrow(textnum.lean(cut), _fields(schema, "lines_deleted int", "words_deleted bigint"))
 
 
 _SPACES = {c: " " for c in range(9, 14)}

@@ -105,7 +105,7 @@ def profiles(docs: DataFrame, cfg: Settings) -> DataFrame:
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(_PARTS, pa.int64()), pa.nulls(_PARTS, pa.int64()), pa.nulls(_PARTS, pa.binary()), pa.array(range(_PARTS), pa.int32()), pa.array(_in_parts(counts.astype(np.int32)), pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, class binary, part int, counts binary")
+    return docs.mapInArrow(textnum.lean(run), "doc_id bigint, n bigint, class binary, part int, counts binary")
 
 
 def _ties(docs: DataFrame, counts: np.ndarray, cfg: Settings) -> DataFrame:
@@ -139,7 +139,7 @@ def _ties(docs: DataFrame, counts: np.ndarray, cfg: Settings) -> DataFrame:
                 yield out.filter(pa.array(groups > 1)) if hot_only else out
 
     schema = "token bigint, salt int, class binary, n int"
-    rows = docs.select("text").mapInArrow(lambda batches: rows_of(batches, False), schema)
+    rows = docs.select("text").mapInArrow(textnum.lean(lambda batches: rows_of(batches, False)), schema)
     group = Window.partitionBy("token", "salt")
     order = group.orderBy("n", "class")
     rows = rows.withColumn("many", F.count("*").over(group)).where("many > 1")
@@ -157,7 +157,7 @@ def _ties(docs: DataFrame, counts: np.ndarray, cfg: Settings) -> DataFrame:
     if int(counts.max(initial=0)) < cfg.hot:
         return ties
     # groups of one salted shingle meet in their smallest members
-    salted = written(docs.select("text").mapInArrow(lambda batches: rows_of(batches, True), schema).select("token", "salt", "class").distinct(), "salted")
+    salted = written(docs.select("text").mapInArrow(textnum.lean(lambda batches: rows_of(batches, True)), schema).select("token", "salt", "class").distinct(), "salted")
     heads = salted.groupBy("token", "salt").agg(F.min("class").alias("class"))
     tops = heads.groupBy("token").agg(F.min("class").alias("top"), F.count("*").alias("k")).where("k > 1")
     across = heads.join(tops, "token").where("class <> top").select(F.col("class").alias("u"), F.col("top").alias("v"))
@@ -314,7 +314,7 @@ def _searched(rows: DataFrame, percent: int, deep: bool) -> DataFrame:
         if (out := flush()) is not None:
             yield out
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u binary, v binary")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(textnum.lean(run), "u binary, v binary")
 
 
 def _shingles_of(docs: DataFrame, wanted: np.ndarray, cfg: Settings) -> DataFrame:
@@ -329,7 +329,7 @@ def _shingles_of(docs: DataFrame, wanted: np.ndarray, cfg: Settings) -> DataFram
                 kept = {c: s for c, s in classes.items() if _may_hold(held.value, c)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.binary()), pa.array([s.tobytes() for s in kept.values()], pa.binary())], ["class", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "class binary, shingles binary")
+    return docs.select("text").mapInArrow(textnum.lean(run), "class binary, shingles binary")
 
 
 _FILTER_BYTES = 1 << 22
@@ -353,7 +353,7 @@ def _filter_of(nodes: DataFrame) -> np.ndarray:
         if bits.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(_in_parts(bits), pa.binary())], ["part", "counts"])
 
-    return _reduced(nodes.select("node").mapInArrow(run, "part int, counts binary"), np.uint8, np.uint8, np.bitwise_or)
+    return _reduced(nodes.select("node").mapInArrow(textnum.lean(run), "part int, counts binary"), np.uint8, np.uint8, np.bitwise_or)
 
 
 def _links(docs: DataFrame, candidates: DataFrame, cfg: Settings) -> DataFrame:
@@ -428,7 +428,7 @@ def distinct(docs: DataFrame, cfg: Settings = Settings(words=5, percent=80)) ->
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())], [*part.schema.names, spare])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{spare} binary"])
-    keyed = docs.mapInArrow(run, fields)
+    keyed = docs.mapInArrow(textnum.lean(run), fields)
     # the same plan at every size: the chosen rows grow with the input, so they're never broadcast
     same = (keyed[spare] == chosen["class"]) & keyed["doc_id"].cast("bigint").eqNullSafe(chosen["least"])
     kept = keyed.hint("merge").join(chosen, same, "left_semi")

@@ -131,4 +131,4 @@ def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, cost: Cost = Cost(),
         if held:
             yield block(held, bins)[0]
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(textnum.lean(run), SCHEMA)

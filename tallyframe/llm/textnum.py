@@ -9,7 +9,8 @@ above 0x7F is a word byte, so working on bytes equals working on code points.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,18 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives free memory back: workers outlive their tasks, and the next operator finds them large."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
+
+    return wrapped
+
+
 class Texts:
     """The bytes of some texts and where each begins and ends (null: empty)."""
 

@@ -170,4 +170,4 @@ def count(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.bincount(doc, minlength=t.n)), sums(np.abs(tokens)), sums(tokens < 0)], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_tokens bigint, n_unknown bigint")
+    return rows.mapInArrow(textnum.lean(run), "doc_id bigint, n_words bigint, n_tokens bigint, n_unknown bigint")

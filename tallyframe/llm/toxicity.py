@@ -394,7 +394,7 @@ def fitted(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Mo
         model = train(Words.gathered(rows.column("text").cast(pa.large_string()).combine_chunks()), rows.column("toxic").to_numpy().astype(np.int64), cfg)
         yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    found = sample(docs, labels, cfg).select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "model binary").collect()
+    found = sample(docs, labels, cfg).select("doc_id", "text", "toxic").repartition(1).mapInArrow(textnum.lean(run), "model binary").collect()
     return pickle.loads(found[0].model) if found else train(Words.gathered(pa.array([], pa.large_string())), np.zeros(0, np.int64), cfg)
 
 
@@ -411,7 +411,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     docs = docs.select(*names)
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double", "n_windows bigint"])
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(textnum.lean(run), fields)
 
 
 def classify(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> DataFrame:

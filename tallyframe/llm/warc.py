@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm import textnum
 from tallyframe.llm.store import fresh_path, written
 
 #: Names of the format.
@@ -151,7 +152,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                     yield _batch(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, RECORD)
+    return files.mapInArrow(textnum.lean(run), RECORD)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
