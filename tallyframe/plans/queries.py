@@ -569,6 +569,13 @@ def health(spark, sf_dir):
     return files.health(spark)
 
 
+@query("SELECT 'doc_' || doc_id AS document, CAST(p AS INTEGER) AS page_number, printf('doc_%d/%05d', doc_id, p) AS key FROM (SELECT doc_id, unnest(range(1, n_chars // 2000 + 2)) AS p FROM documents)")
+def page_list(spark, sf_dir):
+    """Documents as files with a page for every 2,000 characters."""
+    rows = fixture.table(spark, sf_dir, "documents")
+    return files.page_list(rows.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document"), (F.floor(F.col("n_chars") / 2000) + 1).alias("n_pages")))
+
+
 @query("SELECT l_orderkey AS doc_id, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WHERE l_linenumber - 1 < 4 GROUP BY 1")
 def truncating_zip(spark, sf_dir):
     """Pages meet replies by position; with four replies a document the rest is lost."""

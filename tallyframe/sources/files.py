@@ -20,6 +20,12 @@ def documents(spark: SparkSession, path: str, pattern: str = "*", most: int = MO
     return files.select("path", "length", suffix(F.col("path"), F.col("content")).alias("suffix"), large.alias("too_large"), F.when(~large, F.col("content")).alias("content"))
 
 
+def page_list(documents: DataFrame) -> DataFrame:
+    """(document, page_number, key): every page of documents (document, n_pages), pages from 1; ordered by key, documents come by name and not by number."""
+    rows = documents.select("document", F.explode(F.sequence(F.lit(1), F.col("n_pages").cast("int"))).alias("page_number"))
+    return rows.withColumn("key", F.format_string("%s/%05d", "document", "page_number"))
+
+
 def pages_of(files: DataFrame, render: Callable[[bytes, str], list[bytes]], schema_: str = "path string, page_pos int, image binary") -> DataFrame:
     """One row per page of each file, by a renderer of the caller; a file that can't be rendered has no pages."""
 
