@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(seen) == mark or not seen[0]:
             break
         mark = tuple(seen)
-        after = written(_small_star(_large_star(now)), "edges")
+        after = written(_small_star(_large_star(now)), "edges")  # one round a table: plans double with each
         drop(now.sparkSession, now)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

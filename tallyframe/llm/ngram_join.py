@@ -153,7 +153,7 @@ def _ties(docs: DataFrame, counts: np.ndarray, cfg: Settings) -> DataFrame:
     short = rows.where(F.col("many") <= cfg.short).withColumn("met", met).select(F.col("class").alias("u"), "n", F.explode("met").alias("x")).select("u", "n", "x.v", "x.m")
     need = F.least(F.lit(cfg.meetings), F.ceil(cfg.percent * (F.col("n") + F.col("m")) / F.lit(100 + cfg.percent)))
     short = short.where((F.col("u") != F.col("v")) & (100 * F.col("m") >= cfg.percent * F.col("n"))).groupBy("u", "v", "n", "m").agg(F.count("*").alias("times")).where(F.col("times") >= need).select("u", "v")
-    ties = written(long.unionByName(short), "ties")
+    ties = long.unionByName(short)
     if int(counts.max(initial=0)) < cfg.hot:
         return ties
     # groups of one salted shingle meet in their smallest members
@@ -293,13 +293,12 @@ def _searched(rows: DataFrame, percent: int, deep: bool) -> DataFrame:
     """Runs ``search_group`` on each value of ``key``; rows of a key are in one task, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held = None, {}
 
         def flush() -> pa.RecordBatch | None:
-            kept = {(r[0]): r for r in held}
-            if len(kept) < 2:
+            if len(held) < 2:
                 return None
-            rows_ = list(kept.values())
+            rows_ = list(held.values())
             found = search_group([r[0] for r in rows_], [np.frombuffer(r[1], np.uint64) for r in rows_], percent, *([[r[2] for r in rows_], [r[3] for r in rows_]] if deep else []))
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["u", "v"]) if found else None
 
@@ -309,8 +308,8 @@ def _searched(rows: DataFrame, percent: int, deep: bool) -> DataFrame:
                 if k != key:
                     if (out := flush()) is not None:
                         yield out
-                    key, held = k, []
-                held.append(row)
+                    key, held = k, {}
+                held.setdefault(row[0], row)  # a class may come from several tasks
         if (out := flush()) is not None:
             yield out
 
@@ -322,11 +321,13 @@ def _shingles_of(docs: DataFrame, wanted: np.ndarray, cfg: Settings) -> DataFram
     held = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()  # of this task
         for batch in batches:
             for part in textnum.slices(batch):
                 sets, _ = textnum.shingle_sets(textnum.Texts(part.column("text")), cfg.words)
                 classes = {_digest(s): s for s in sets if len(s)}
-                kept = {c: s for c, s in classes.items() if _may_hold(held.value, c)}
+                kept = {c: s for c, s in classes.items() if c not in done and _may_hold(held.value, c)}
+                done.update(kept)
                 yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.binary()), pa.array([s.tobytes() for s in kept.values()], pa.binary())], ["class", "shingles"])
 
     return docs.select("text").mapInArrow(textnum.lean(run), "class binary, shingles binary")
@@ -365,9 +366,10 @@ def _links(docs: DataFrame, candidates: DataFrame, cfg: Settings) -> DataFrame:
     shingles = _shingles_of(docs, _filter_of(candidates), cfg)
     placed = places.join(shingles, places["node"] == shingles["class"]).select("class", "root", "blocks", "block", "shingles")
     local = placed.select(F.concat("root", F.lit(b"/"), F.col("block").cast("string").cast("binary")).alias("key"), "class", "shingles")
-    found = written(_searched(local, cfg.percent, False), "links")
+    found = _searched(local, cfg.percent, False)
     if places.where("blocks > 1").isEmpty():
         return found
+    found = written(found, "links")
     # those outside the largest component of a dealt set ask all blocks
     large = placed.where("blocks > 1").dropDuplicates(["class"])
     so_far = components(found)
