@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,20 +41,26 @@ def candidates(gold: DataFrame, pred: DataFrame, threshold: float = NAME_THRESHO
 def greedy(pairs: DataFrame) -> DataFrame:
     """(doc_id, gi, pi, similarity): the best pair first, ties to the highest gi, then pi; no item twice.
 
-    The choice within a document is sequential; documents are independent.
+    The choice within a document is sequential, so pairs come to Python by document, best
+    first, many documents to a batch; what is kept from batch to batch is one document's.
     """
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        gold, pred, keep = set(), set(), []
-        rows = rows.sort_values(["similarity", "gi", "pi"], ascending=False)
-        for k, (g, p) in enumerate(zip(rows["gi"], rows["pi"])):
-            if g not in gold and p not in pred:
-                gold.add(g)
-                pred.add(p)
-                keep.append(k)
-        return rows.iloc[keep]
-
-    return pairs.groupBy("doc_id").applyInPandas(choose, pairs.select("doc_id", "gi", "pi", "similarity").schema)
+    names = ["doc_id", "gi", "pi", "similarity"]
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, gold, pred = None, set(), set()
+        for rows in batches:
+            keep = []
+            for k, (d, g, p) in enumerate(zip(rows["doc_id"].tolist(), rows["gi"].tolist(), rows["pi"].tolist())):
+                if d != doc:
+                    doc, gold, pred = d, set(), set()
+                if g not in gold and p not in pred:
+                    gold.add(g)
+                    pred.add(p)
+                    keep.append(k)
+            yield rows.iloc[keep]
+
+    best = [F.col("doc_id"), F.desc("similarity"), F.desc("gi"), F.desc("pi")]
+    return pairs.select(*names).repartition("doc_id").sortWithinPartitions(*best).mapInPandas(choose, pairs.select(*names).schema)
 
 
 def missed(gold: DataFrame, matches: DataFrame) -> DataFrame:
