@@ -27,9 +27,12 @@ def parsed(text: Column) -> Column:
     """A reply as VARIANT; null if it isn't JSON from its first to its last character."""
     clean = without_fences(text)
     v = F.try_parse_json(clean)
-    # the lenient parser takes trailing text: objects and arrays must end with their bracket
-    ends = F.when(_kind(v).startswith("OBJECT"), clean.endswith("}")).when(_kind(v).startswith("ARRAY"), clean.endswith("]")).otherwise(F.lit(True))
-    return F.when(ends, v)
+    return _ended(v, _kind(v), clean)
+
+
+def _ended(v: Column, kind: Column, clean: Column) -> Column:
+    """The lenient parser takes trailing text: objects and arrays must end with their bracket."""
+    return F.when(F.when(kind.startswith("OBJECT"), clean.endswith("}")).when(kind.startswith("ARRAY"), clean.endswith("]")).otherwise(F.lit(True)), v)
 
 
 def spelled(v: Column) -> Column:
@@ -60,7 +63,9 @@ def pages(replies: DataFrame) -> DataFrame:
     ``items`` stays VARIANT; ``items_of`` takes it apart.  A reply that isn't JSON is an
     empty page of type Other.
     """
-    rows = replies.withColumn("value", parsed(F.col("raw"))).withColumn("kind", _kind(F.col("value")))
+    # step by step, so that each is computed once a reply
+    rows = replies.withColumn("clean", without_fences(F.col("raw"))).withColumn("any", F.try_parse_json("clean")).withColumn("any_kind", _kind(F.col("any")))
+    rows = rows.withColumn("value", _ended(F.col("any"), F.col("any_kind"), F.col("clean"))).withColumn("kind", F.when(F.col("value").isNotNull(), F.col("any_kind")))
     field = lambda k: F.try_variant_get("value", f"$.{k}", "variant")
     ok = F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False))
     items_kind = _kind(field("bill_items"))
@@ -76,11 +81,13 @@ def pages(replies: DataFrame) -> DataFrame:
 
 def items_of(pages: DataFrame) -> DataFrame:
     """Typed items of ``pages``; an element that can't be coerced goes alone."""
-    rows = pages.select("doc_id", "page_pos", F.posexplode("items").alias("item_pos", "v"))
-    field = lambda k: F.try_variant_get("v", f"$.{k}", "variant")
-    typed = rows.select(
-        "doc_id", "page_pos", "item_pos", F.coalesce(spelled(field("item_name")), F.lit("Unknown")).alias("item_name"), amount(field("item_amount")).alias("item_amount"),
-        number(field("item_rate")).alias("item_rate"), number(field("item_quantity")).alias("item_quantity"), _kind(F.col("v")).startswith("OBJECT").alias("is_object"),
+    # the outer form: from the inner one Spark infers a filter that parses every reply again
+    rows = pages.select("doc_id", "page_pos", F.posexplode_outer("items").alias("item_pos", "v")).where("v is not null")
+    fields = {k: F.try_variant_get("v", f"$.{k}", "variant").alias(k) for k in ("item_name", "item_amount", "item_rate", "item_quantity")}
+    parts = rows.select("doc_id", "page_pos", "item_pos", _kind(F.col("v")).alias("kind"), *fields.values())
+    typed = parts.select(
+        "doc_id", "page_pos", "item_pos", F.coalesce(spelled(F.col("item_name")), F.lit("Unknown")).alias("item_name"), amount(F.col("item_amount")).alias("item_amount"),
+        number(F.col("item_rate")).alias("item_rate"), number(F.col("item_quantity")).alias("item_quantity"), F.col("kind").startswith("OBJECT").alias("is_object"),
     )
     return typed.where(F.col("is_object") & F.col("item_amount").isNotNull()).drop("is_object")
 
@@ -92,9 +99,18 @@ def split_batch(raw: Column, expected: Column) -> Column:
     other object is the first page and the rest is empty; text that isn't JSON gives up
     the objects that can be found in it.
     """
-    clean = without_fences(raw)
     v = parsed(raw)
-    kind = _kind(v)
+    return _split(v, _kind(v), without_fences(raw), expected)
+
+
+def split_batches(batches: DataFrame) -> DataFrame:
+    """``batches`` (raw, expected) with ``pages``, the array of ``split_batch``; each reply is parsed once."""
+    rows = batches.withColumn("_clean", without_fences(F.col("raw"))).withColumn("_any", F.try_parse_json("_clean")).withColumn("_kind", _kind(F.col("_any")))
+    rows = rows.withColumn("_value", _ended(F.col("_any"), F.col("_kind"), F.col("_clean"))).withColumn("_kind", F.when(F.col("_value").isNotNull(), F.col("_kind")))
+    return rows.withColumn("pages", _split(F.col("_value"), F.col("_kind"), F.col("_clean"), F.col("expected"))).drop("_clean", "_any", "_kind", "_value")
+
+
+def _split(v: Column, kind: Column, clean: Column, expected: Column) -> Column:
     texts = lambda a: F.transform(a, lambda x: F.to_json(x))
     lists = F.filter(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), lambda x: _kind(x).startswith("ARRAY"))
     inner = F.try_variant_get(F.get(lists, F.lit(0)), "$", "array<variant>")

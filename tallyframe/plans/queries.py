@@ -195,7 +195,7 @@ _BATCH_REPLY = "CASE event_id % 5 WHEN 0 THEN concat('[{\"a\":', user_id, '},{\"
 def split_batch_reply(spark, sf_dir):
     """Batches of three: a list (one short), an envelope, a single page, text around objects, and nothing."""
     rows = fixture.table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.expr(_BATCH_REPLY).alias("raw"))
-    return rows.select("doc_id", F.posexplode(ingest.split_batch(F.col("raw"), F.lit(3))).alias("pos", "page"))
+    return ingest.split_batches(rows.withColumn("expected", F.lit(3))).select("doc_id", F.posexplode_outer("pages").alias("pos", "page")).where("page is not null")
 
 
 @query("SELECT n_nationkey AS page_pos, CAST(n_nationkey % 3 + 1 AS VARCHAR) AS page_no, 'Mock Item ' || (n_nationkey % 3 + 1) AS item_name, CAST(100 * (n_nationkey % 3 + 1) AS DOUBLE) AS item_amount, CAST(100 AS DOUBLE) AS item_rate, CAST(n_nationkey % 3 + 1 AS DOUBLE) AS item_quantity FROM nation")

@@ -90,7 +90,8 @@ def test_split_batches(spark):
     from pyspark.sql import functions as F
 
     cases = ['[{"a":1},{"a":2},{"a":3}]', '[{"a":1}]', '{"pages":[{"a":1},{"a":2}]}', '{"a":1}', 'x {"a":1} y {"b":{"c":2}}', "none", "5"]
-    df = spark.createDataFrame([(c,) for c in cases], "raw string").select(ingest.split_batch(F.col("raw"), F.lit(2)).alias("x"))
+    df = spark.createDataFrame([(c,) for c in cases], "raw string").select("raw", ingest.split_batch(F.col("raw"), F.lit(2)).alias("x"))
+    assert [r.pages for r in ingest.split_batches(df.withColumn("expected", F.lit(2))).collect()] == [r.x for r in df.collect()]
     assert [r.x for r in df.collect()] == [['{"a":1}', '{"a":2}', '{"a":3}'], ['{"a":1}'], ['{"a":1}', '{"a":2}'], ['{"a":1}', "{}"], ['{"a":1}', '{"b":{"c":2}}'], ["{}", "{}"], ["{}", "{}"]]
 
 
