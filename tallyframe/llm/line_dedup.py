@@ -210,9 +210,9 @@ def apply(docs: DataFrame, least_words: int = LEAST_WORDS, rare: int = RARE) ->
                 columns = [pa.array(texts, part.schema.field("text").type) if c == "text" else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int32()), pa.array(words, pa.int64())], [*names, "lines_deleted", "words_deleted"])
 
-    # the same plan at every size: what is deleted grows with the input, so it's never broadcast
+    # the same plan at every size: what is deleted grows with the input, so it is never broadcast; texts are never sorted
     keyed = docs.mapInArrow(textnum.lean(with_id), _fields(schema, f"{spare} binary"))
-    joined = keyed.hint("merge").join(gone.select(F.col("id").alias(spare), F.col("blocks").alias("_line_dedup_blocks")), spare, "left").select(*names, F.col("_line_dedup_blocks").alias(spare))
+    joined = keyed.join(gone.select(F.col("id").alias(spare), F.col("blocks").alias("_line_dedup_blocks")).hint("shuffle_hash"), spare, "left").select(*names, F.col("_line_dedup_blocks").alias(spare))
     return joined.mapInArrow(textnum.lean(cut), _fields(schema, "lines_deleted int", "words_deleted bigint"))
 
 
