@@ -433,7 +433,7 @@ def distinct(docs: DataFrame, cfg: Settings = Settings(words=5, percent=80)) ->
     keyed = docs.mapInArrow(textnum.lean(run), fields)
     # the same plan at every size: the chosen rows grow with the input, so they're never broadcast
     same = (keyed[spare] == chosen["class"]) & keyed["doc_id"].cast("bigint").eqNullSafe(chosen["least"])
-    kept = keyed.hint("merge").join(chosen, same, "left_semi")
+    kept = keyed.join(chosen.hint("shuffle_hash"), same, "left_semi")
     rank = F.row_number().over(Window.partitionBy(spare, "doc_id").orderBy("text"))
     kept = kept.withColumn("_ngram_join_rank", rank).where("_ngram_join_rank = 1").select(*names)
     return kept.unionByName(keyed.where(F.col(spare).isNull()).select(*names))
