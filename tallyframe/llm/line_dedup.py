@@ -1,10 +1,13 @@
 """Deletes passages that an earlier document has, by aligning pairs of documents.
 
 1. Each text becomes the sequence of its line hashes.
-2. Documents overlap if they share a line.  For each line, every later holder is
-   paired with the first one, and for a rare line (at most ``rare`` holders) also with
-   the holder just before it, whose surroundings are likelier the same.  So pairs grow
-   with the number of repeated lines, not with the square of a line's holders.
+2. Documents overlap if they share a block of ``least_words`` words.  The keys of a
+   document are its least blocks: from each line on, and up to each line, the fewest
+   lines with that many words.  For each key, every later holder is paired with the
+   first one, however many there are.  Each line of a block that two documents share is
+   in a least block inside it, so a first holder of all that must go is always a
+   partner, and pairs grow with the number of repeated keys, not with the square of a
+   key's holders.
 3. Each pair is aligned by patience diff: lines unique on both sides are anchors, their
    longest increasing run is kept, and what lies between anchors is aligned again.
 4. Runs of aligned lines with at least ``least_words`` words are deleted from the later
@@ -28,14 +31,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm import textnum
 from tallyframe.llm.store import written
 
 LEAST_WORDS = 30
-RARE = 16
 
 
 def _keys(ids: pa.Array, texts: textnum.Texts) -> list[bytes]:
@@ -44,8 +46,22 @@ def _keys(ids: pa.Array, texts: textnum.Texts) -> list[bytes]:
     return [xxhash.xxh3_128_digest(repr(i).encode() + b"\n" + data[a:b].tobytes()) for i, a, b in zip(ids.to_pylist(), texts.starts.tolist(), texts.ends.tolist())]
 
 
-def sequences(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, lines, words): hashes and word counts of the lines of each document."""
+def least_blocks(words: np.ndarray, bounds: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of lines (end exclusive): from each line on, and up to each line, the fewest with ``least_words`` words.
+
+    ``bounds`` are the first lines of the documents and the end of the last.
+    """
+    sums = np.concatenate([[0], np.cumsum(words)])
+    line = np.arange(len(words))
+    doc = np.searchsorted(bounds, line, side="right")
+    ends = np.searchsorted(sums, sums[:-1] + least_words)
+    starts = np.searchsorted(sums, sums[1:] - least_words, side="right") - 1
+    on, up = ends <= bounds[doc], starts >= bounds[doc - 1]
+    return np.concatenate([line[on], starts[up]]), np.concatenate([ends[on], line[up] + 1])
+
+
+def sequences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, id, lines, words, keys): hashes and word counts of the lines of each document, and hashes of its least blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,9 +74,12 @@ def sequences(docs: DataFrame) -> DataFrame:
                 bounds = np.searchsorted(at, np.arange(texts.n + 1))
                 hashes = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
                 words = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(counts, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_keys(part.column("doc_id"), texts), pa.binary()), hashes, words], ["doc_id", "id", "lines", "words"])
+                first, end = least_blocks(counts, bounds, least_words)
+                doc, key = np.unique(np.stack([at[first], textnum.runs(values.view(np.uint64), first, end).view(np.int64)]), axis=1)
+                keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(texts.n + 1)), pa.int32()), pa.array(key))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_keys(part.column("doc_id"), texts), pa.binary()), hashes, words, keys], ["doc_id", "id", "lines", "words", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textnum.lean(run), "doc_id bigint, id binary, lines array<bigint>, words array<int>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textnum.lean(run), "doc_id bigint, id binary, lines array<bigint>, words array<int>, keys array<bigint>")
 
 
 def _lines(texts: textnum.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,19 +165,15 @@ def common_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], leas
     return out
 
 
-def pairs_of(seqs: DataFrame, rare: int = RARE) -> DataFrame:
-    """(later, earlier): ids of documents that share a line."""
+def pairs_of(seqs: DataFrame) -> DataFrame:
+    """(later, earlier): ids of documents that share a least block, with the first holder of each."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id").alias("place")
-    held = seqs.select(F.explode(F.array_distinct(F.expr("filter(lines, (x, i) -> words[i] > 0)"))).alias("line"), place)
-    of_line = held.groupBy("line").agg(F.min("place").alias("first"), F.count("*").alias("holders")).where("holders > 1")
-    repeated = held.join(of_line, "line")
-    to_first = repeated.where(F.col("place") != F.col("first")).select(F.col("place.id").alias("later"), F.col("first.id").alias("earlier"))
-    before = F.lag("place").over(Window.partitionBy("line").orderBy("place"))
-    to_last = repeated.where(F.col("holders") <= rare).withColumn("before", before).where("before is not null").select(F.col("place.id").alias("later"), F.col("before.id").alias("earlier"))
-    return to_first.unionByName(to_last).where("later <> earlier").distinct()
+    held = seqs.select(F.explode("keys").alias("key"), place)
+    of_key = held.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("holders")).where("holders > 1")
+    return held.join(of_key, "key").where(F.col("place") != F.col("first")).select(F.col("place.id").alias("later"), F.col("first.id").alias("earlier")).distinct()
 
 
-def deletions(docs: DataFrame, least_words: int = LEAST_WORDS, rare: int = RARE) -> DataFrame:
+def deletions(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, blocks) of the documents that lose lines: ranges of lines, end exclusive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,16 +186,16 @@ def deletions(docs: DataFrame, least_words: int = LEAST_WORDS, rare: int = RARE)
                     ends.append(e)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["id", "s", "e"])
 
-    seqs = written(sequences(docs).dropDuplicates(["id"]), "lines")
-    pairs = written(pairs_of(seqs, rare), "pairs")
+    seqs = written(sequences(docs, least_words).dropDuplicates(["id"]), "lines")
+    pairs = written(pairs_of(seqs), "pairs")
     both = pairs.join(seqs.select(F.col("id").alias("later"), F.col("lines").alias("a"), "words"), "later").join(seqs.select(F.col("id").alias("earlier"), F.col("lines").alias("b")), "earlier")
     found = both.select("later", "a", "words", "b").mapInArrow(textnum.lean(run), "id binary, s int, e int")
     return written(found.groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("blocks")), "blocks")
 
 
-def apply(docs: DataFrame, least_words: int = LEAST_WORDS, rare: int = RARE) -> DataFrame:
+def apply(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the deleted lines taken out of ``text``, and their numbers in ``lines_deleted`` and ``words_deleted``."""
-    gone = deletions(docs, least_words, rare)
+    gone = deletions(docs, least_words)
     names = [c for c in docs.columns if c not in ("lines_deleted", "words_deleted")]
     docs = docs.select(*names)
     spare = "_line_dedup_id"
@@ -228,6 +243,6 @@ def _fields(schema, *more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *more])
 
 
-def report(docs: DataFrame, least_words: int = LEAST_WORDS, rare: int = RARE) -> DataFrame:
+def report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``apply``, with a row per document: doc_id, lines and words deleted, and the text that stays."""
-    return apply(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), least_words, rare)
+    return apply(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), least_words)

@@ -127,6 +127,13 @@ class Texts:
         return mix((sums[b] - sums[a]) * _powers(_BINV, len(data) + 1)[a] + (b - a).astype(np.uint64) * _STEPS[0])
 
 
+def runs(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of hashes; equal runs of different places have equal hashes."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes + _STEPS[1]) * _powers(_B, len(hashes)), out=sums[1:])
+    return mix((sums[b] - sums[a]) * _powers(_BINV, len(hashes) + 1)[a] + (b - a).astype(np.uint64) * _STEPS[0])
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a record batch of at most ``most`` bytes of text; a longer text comes alone and whole."""
     col = batch.column(column)

@@ -79,3 +79,26 @@ def test_every_deleted_line_is_in_an_earlier_document(spark):
 
 def test_empty_table(spark):
     assert line_dedup.apply(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def by_all_pairs(docs, least_words=30):
+    """Texts after every block of lines that any earlier document has went, by comparing all pairs of blocks."""
+    out = {}
+    for n, (i, text) in enumerate(docs):
+        rows, dead = text.split("\n"), set()
+        earlier = {tuple(o[s:e]) for _, t in docs[:n] for o in [t.split("\n")] for s in range(len(o)) for e in range(s + 1, len(o) + 1)}
+        for s in range(len(rows)):
+            for e in range(s + 1, len(rows) + 1):
+                if sum(len(x.split()) for x in rows[s:e]) >= least_words and tuple(rows[s:e]) in earlier:
+                    dead |= set(range(s, e))
+        out[i] = "\n".join(r for k, r in enumerate(rows) if k not in dead)
+    return out
+
+
+def test_a_passage_whose_lines_begin_in_different_documents_goes_at_any_number_of_holders(spark):
+    rng = random.Random(4)
+    a, b = line(rng, 26), line(rng, 26)
+    docs = [(1, a + "\n" + line(rng, 9)), (2, line(rng, 9) + "\n" + b)] + [(i, "\n".join([line(rng, 7), a, b, line(rng, 8)])) for i in range(3, 31)]
+    rows = line_dedup.report(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.text for r in rows} == by_all_pairs(docs)
+    assert sorted(r.doc_id for r in rows if r.words_deleted == 52) == list(range(4, 31))
