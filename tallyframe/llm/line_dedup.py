@@ -11,7 +11,8 @@
 3. Each pair is aligned by patience diff: lines unique on both sides are anchors, their
    longest increasing run is kept, and what lies between anchors is aligned again.
 4. Runs of aligned lines with at least ``least_words`` words are deleted from the later
-   document.
+   document, and so are the least blocks of both that the alignment leaves: moved or
+   repeated passages.  So every block of lines that any earlier document has goes.
 
 An earlier document holds every deleted line, so of all holders of a line the first
 never loses it.  Order is by doc_id, then by a digest of the row.
@@ -152,7 +153,11 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], least_words: int) -> list[tuple[int, int]]:
-    """Ranges of lines of ``a`` (end exclusive) that stand in ``b`` as one block, too, and have enough words."""
+    """Ranges of lines of ``a`` (end exclusive) that stand in ``b`` as one block, too, and have enough words.
+
+    Together they hold every line of every such block: what the alignment leaves, since it
+    is moved, repeated or on another side of an anchor, is looked up by its least blocks.
+    """
     out = []
     pairs = align(a, b)
     first = 0
@@ -162,9 +167,25 @@ def common_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], leas
             if sum(words[i:k]) >= least_words:
                 out.append((i, k))
             first = n
+    left = np.ones(len(a) + 1, np.int64)
+    for i, k in out:
+        left[i:k] = 0
+    left = np.cumsum(left) - left
+    starts, ends = least_blocks(np.array(words, np.int64), np.array([0, len(a)]), least_words)
+    some = left[ends] > left[starts]
+    starts, ends = starts[some], ends[some]
+    if len(starts):
+        known = dict(zip(a, words))  # a line that ``a`` lacks is in no block of both, whatever its words
+        of_b = least_blocks(np.array([known.get(x, least_words) for x in b], np.int64), np.array([0, len(b)]), least_words)
+        held = np.isin(_run_hashes(a, starts, ends), _run_hashes(b, *of_b))
+        out += zip(starts[held].tolist(), ends[held].tolist())
     return out
 
 
+def _run_hashes(lines: Sequence[int], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return textnum.runs(np.array(lines, np.int64).view(np.uint64), starts, ends)
+
+
 def pairs_of(seqs: DataFrame) -> DataFrame:
     """(later, earlier): ids of documents that share a least block, with the first holder of each."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id").alias("place")

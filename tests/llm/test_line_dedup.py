@@ -102,3 +102,28 @@ def test_a_passage_whose_lines_begin_in_different_documents_goes_at_any_number_o
     rows = line_dedup.report(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id: r.text for r in rows} == by_all_pairs(docs)
     assert sorted(r.doc_id for r in rows if r.words_deleted == 52) == list(range(4, 31))
+
+
+def test_moved_and_repeated_passages_go(spark):
+    rng = random.Random(5)
+    p, q = [line(rng, 20) for _ in range(3)], [line(rng, 15) for _ in range(4)]
+    docs = [(1, "\n".join([*p, line(rng, 5), *q])), (2, "\n".join([*q, line(rng, 6), *p])), (3, "\n".join([line(rng, 6), *p, line(rng, 6), *p, line(rng, 6)]))]
+    got = {r.doc_id: r.text for r in line_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == by_all_pairs(docs) and [len(got[i].split("\n")) for i in (1, 2, 3)] == [8, 1, 3]
+
+
+def test_equals_the_comparison_of_all_pairs(spark):
+    rng = random.Random(6)
+    pool = ["", *(line(rng, rng.choice([1, 4, 9, 15, 31])) for _ in range(12))]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.choice([1, 4, 12])))) for i in range(60)]
+    got = {r.doc_id: r.text for r in line_dedup.report(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == by_all_pairs(docs)
+
+
+@given(st.lists(st.integers(0, 5), max_size=14), st.lists(st.integers(0, 7), max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_common_blocks_of_a_pair_are_whole(a, b):
+    words = [0, 3, 5, 9, 12, 30]
+    held = {tuple(b[s:e]) for s in range(len(b)) for e in range(s + 1, len(b) + 1)}
+    want = {k for s in range(len(a)) for e in range(s + 1, len(a) + 1) if sum(words[x] for x in a[s:e]) >= 20 and tuple(a[s:e]) in held for k in range(s, e)}
+    assert {k for s, e in line_dedup.common_blocks(a, b, [words[x] for x in a], 20) for k in range(s, e)} == want
