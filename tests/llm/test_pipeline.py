@@ -67,3 +67,22 @@ def test_an_empty_corpus(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the small tables")
+def test_line_stage_deletes_every_block_that_an_earlier_document_has(spark):
+    docs = table(spark, SF, "documents").where("size(split(text, '\\n')) <= 60")
+    earlier, want = set(), {}
+    for r in sorted(docs.collect(), key=lambda r: (r.doc_id, r.text)):
+        rows, own, dead = r.text.split("\n"), set(), set()
+        for s in range(len(rows)):
+            for e in range(s + 1, len(rows) + 1):
+                own.add(tuple(rows[s:e]))
+                if tuple(rows[s:e]) in earlier and sum(len(x.split()) for x in rows[s:e]) >= 30:
+                    dead |= set(range(s, e))
+        earlier |= own
+        text = "\n".join(x for k, x in enumerate(rows) if k not in dead)
+        if text.split() or not dead:
+            want[r.doc_id] = text
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
+    assert got == want and sum(map(len, want.values())) < sum(len(r.text) for r in docs.collect())
