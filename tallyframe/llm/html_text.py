@@ -51,8 +51,9 @@ MARKS = frozenset(
 COMMENTS = frozenset("comment comments respond reply replies disqus discussion".split())
 
 _RAW = "|".join(RAW)
+_ATTRIBUTES = r"""(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+"""  # only a quote after = opens a value
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^>"']++|"[^"]{{0,4000}}+"|'[^']{{0,4000}}+'|["'])*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>"']++|"[^"]{{0,4000}}+"|'[^']{{0,4000}}+'|["'])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
+    rf"""<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>]){_ATTRIBUTES}(?<=/)>|<(?P<raw>{_RAW})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>{_ATTRIBUTES})(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
 _MARKED = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)

@@ -46,3 +46,9 @@ def test_awkward_pages_take_linear_time():
         main_text("".join(rng.choice(["<p>", "</div>", "<article>", "<nav", ">", '"', "'", " the ", "<div class=ad>", "</article>", "&", "<!--", "-->", "<script>", "word"]) for _ in range(60)))
     words = " ".join(["the word"] * 200_000)
     assert main_text(f"<article><p>{words}</p></article>") == words
+
+
+@pytest.mark.parametrize("before", ["<svg width=1/>", "<math/>", "<video-player src=a></video-player>", "<button-group>", "<p title='" + "x>" * 3000 + "'>", '<p data-x="' + "x>" * 3000 + '">', "<p title=it's>"])
+def test_what_stands_before_an_article_leaves_it_whole(before):
+    text = f"{LONG} It isn't cut."
+    assert main_text(f"{before}<article><p>{text}</p></article>") == text
