@@ -113,5 +113,29 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes,
 }
 
 
+
+
+def _secrets_sql() -> str:
+    """Spans from gaps and matches, and a plain join of weak candidates with all parts in scope."""
+    from tallyframe.llm import secrets as m
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    number = lambda kind: m.KINDS.index(kind)
+    rows = lambda kind, pattern, group: f"SELECT r, {number(kind)} AS k, unnest(range(1, len(hit) + 1)) AS i, hit, gap, grp FROM (SELECT r, regexp_extract_all(text, {quoted(pattern)}, 0) AS hit, regexp_extract_all(text, {quoted(pattern)}, {group}) AS grp, string_split_regex(text, {quoted(pattern)}) AS gap FROM t)"
+    found = " UNION ALL ".join(rows(kind, *m._SCANNED[kind]) for kind in m._SCANNED)
+    side = {"id": ("access", "weak_id"), "secret": ("assign", "hex", "weak_secret")}
+    near = lambda which: f"EXISTS (SELECT 1 FROM s o WHERE o.r = s.r AND o.k IN ({', '.join(str(number(x)) for x in side[which])}) AND abs(o.s - s.s) <= {m.SCOPE})"
+    kept = " OR ".join([f"k <= {number('hex')}", *(f"(k = {number(kind)} AND {' AND '.join(map(near, needs))})" for kind, needs in m.NEEDS.items())])
+    names = ", ".join(f"'{x}'" for x in m.KINDS)
+    listed = lambda where: f"coalesce(string_agg([{names}][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (WHERE {where}), '')"
+    return f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+  f AS ({found}),
+  p AS (SELECT r, k, length(grp[i]) AS n, length(hit[i]) AS w, CAST(sum(length(gap[i]) + length(hit[i])) OVER (PARTITION BY r, k ORDER BY i) AS BIGINT) AS e FROM f),
+  s AS (SELECT r, CASE WHEN k = 0 AND n < {m.LEAST_SECRET} THEN {number("weak_secret")} ELSE k END AS k, e - w AS s, e FROM p WHERE k <> 0 OR n >= {m.WEAK_SECRET}),
+  x AS (SELECT r, k, s, e FROM s WHERE {kept}),
+  a AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, {listed("k <= 2")} AS base, {listed("TRUE")} AS spans FROM x GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN a USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {"op9_secret_scans": _secrets_sql()}

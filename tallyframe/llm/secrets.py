@@ -32,10 +32,11 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 LEAST_SECRET = 12
-#: Weak parts: a named identifier, a secret of 4 to 11 characters, an address.
+#: Weak parts: a named identifier, a secret of 4 to 11 characters, an address.  No pattern repeats a group: the JVM
+#: would recurse for each repetition, and a long run of them would overflow its stack.
 NAMED_ID = r"""(?i)(access_key_id|client_id|account|username|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})"""
 WEAK_SECRET = 4
-ENDPOINT = r"""(?i)(https?://|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?)([a-z0-9-]+(?:\.[a-z0-9-]+)+[^\s"'<>]*)"""
+ENDPOINT = r"""(?i)(https?://|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?)([a-z0-9-]+\.[a-z0-9-][^\s"'<>]*)"""
 SCOPE = 256
 
 #: Kinds in the order of the list, each with its pattern and the group whose length decides.
@@ -43,11 +44,27 @@ KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 _SCANNED = {"assign": (ASSIGN, 2), "access": (ACCESS, 0), "hex": (HEX, 0), "weak_id": (NAMED_ID, 0), "endpoint": (ENDPOINT, 0)}
 #: What a weak candidate of each kind needs in scope.
 NEEDS = {"weak_id": ("secret",), "weak_secret": ("id",), "endpoint": ("id", "secret")}
-#: Spans by array; the running totals below are taken in chunks, so that they cost linear time.
-_CHUNK = 256
+#: The running totals below are taken in chunks of chunks, so that a span costs a few dozen additions in any text.
+_CHUNK = 32
 _SPAN = "array<struct<s:bigint,e:bigint,n:int>>"
 
 
+def _total(values: str, first: str, many: str) -> str:
+    """The sum of some elements, each taken by its index: ``slice`` would copy the whole array first."""
+    return f"if({many} = 0, 0L, aggregate(sequence({first}, {first} + {many} - 1), 0L, (x, j) -> x + {values}[j]))"
+
+
+def _chunk_sums(values: str) -> str:
+    return f"transform(sequence(0, cast((size({values}) - 1) div {_CHUNK} as int)), c -> {_total(values, f'c * {_CHUNK}', f'least({_CHUNK}, size({values}) - c * {_CHUNK})')})"
+
+
+def _running(levels: list[str]) -> str:
+    """Totals up to each element of the first level, from the sums of chunks that the others hold."""
+    at = [f"cast((i + 1) div {_CHUNK**n} as int)" for n in range(len(levels) + 1)]  # whole chunks of each level up to here
+    parts = [_total(values, f"{at[n + 1]} * {_CHUNK}", f"({at[n]} - {at[n + 1]} * {_CHUNK})") for n, values in enumerate(levels[:-1])]
+    return f"transform({levels[0]}, (g, i) -> {' + '.join([*parts, _total(levels[-1], '0', at[len(levels) - 1])])})"
+
+
 def _all_spans(df: DataFrame) -> DataFrame:
     """Adds an array of (s, e, n) for each scanned kind: start, end, and length of the deciding group."""
     each = lambda f: {f"{k}{suffix}": x for k in _SCANNED for suffix, x in f(k).items()}
@@ -61,9 +78,10 @@ def _all_spans(df: DataFrame) -> DataFrame:
 
     df = df.withColumns(each(lengths))
     df = df.withColumns(each(lambda k: {"_step": F.expr(f"zip_with(slice({k}_gap, 1, size({k}_len)), {k}_len, (g, h) -> cast(g + h as bigint))")}))
-    df = df.withColumns(each(lambda k: {"_sums": F.expr(f"transform(sequence(0, cast((size({k}_step) - 1) div {_CHUNK} as int)), c -> aggregate(slice({k}_step, c * {_CHUNK} + 1, {_CHUNK}), 0L, (x, y) -> x + y))")}))
-    df = df.withColumns(each(lambda k: {"_before": F.expr(f"transform({k}_sums, (x, c) -> aggregate(slice({k}_sums, 1, c), 0L, (x, y) -> x + y))")}))
-    df = df.withColumns(each(lambda k: {"_ends": F.expr(f"transform({k}_step, (x, i) -> {k}_before[cast(i div {_CHUNK} as int)] + aggregate(slice({k}_step, cast(i div {_CHUNK} as int) * {_CHUNK} + 1, i % {_CHUNK} + 1), 0L, (x, y) -> x + y))")}))
+    # sums of chunks, of chunks of chunks and so on, and from these the running total at each span
+    for above, below in (("_sums1", "_step"), ("_sums2", "_sums1"), ("_sums3", "_sums2")):
+        df = df.withColumns(each(lambda k: {above: F.expr(_chunk_sums(f"{k}{below}"))}))
+    df = df.withColumns(each(lambda k: {"_ends": F.expr(_running([f"{k}{x}" for x in ("_step", "_sums1", "_sums2", "_sums3")]))}))
     return df.withColumns({k: F.expr(f"cast(coalesce(transform({k}_ends, (e, i) -> struct(e - {k}_len[i] as s, e as e, {k}_{'n' if _SCANNED[k][1] else 'len'}[i] as n)), array()) as {_SPAN})") for k in _SCANNED})
 
 

@@ -31,9 +31,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "4MB")
 
 
-#: On file:// a file costs its writer several process launches, most of them for the checksum file beside it; tables
-#: that are read once or twice go without. Other file systems aren't touched by this.
-_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Every page of a table carries a checksum that its readers verify, on any file system.  The checksum file that
+#: file:// would add beside each costs its writer several process launches, so it is left out.
+_WRITES = {"parquet.page.write-checksum.enabled": "true", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+_READS = {"parquet.page.verify-checksum.enabled": "true"}
+
+
+def spare(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it as long as a column has that name (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
@@ -44,8 +53,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, whatever is lost later."""
     small_batches(df.sparkSession)
     path = fresh_path(df.sparkSession, tag)
-    df.write.options(**_PLAIN_FILES).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**_WRITES).parquet(path)
+    return df.sparkSession.read.options(**_READS).schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, *frames: DataFrame) -> None:

@@ -1,9 +1,9 @@
 """Words, lines and shingles of Arrow text columns, as numpy arrays.
 
 Texts are never turned into Python strings here: the UTF-8 bytes of a record
-batch are classified through 256-entry tables, words become 64-bit hashes by one
-prefix sum over the batch, and shingles are combinations of neighbouring word
-hashes.  The classes used by the operators are ASCII rules in which every byte
+batch are classified through 256-entry tables, words become 64-bit hashes eight
+bytes a step for all words at once, and shingles are combinations of neighbouring
+word hashes.  The classes used by the operators are ASCII rules in which every byte
 above 0x7F is a word byte, so working on bytes equals working on code points.
 """
 
@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 
 #: Bytes of text handled at once; bounds the memory of every function below.
 SLICE_BYTES = 1_000_000
@@ -38,10 +39,9 @@ ALNUM = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 #: Lines: all but the line feed.
 IN_LINE = ~byte_class((0x0A, 0x0A))
 
-_B = 0x9E3779B97F4A7C15 | 1
-_BINV = pow(_B, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Values of a sequence that are hashed in step with those of all others.
+_STEPWISE = 16
 _STEPS = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -52,16 +52,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.ones(size, np.uint64)
-        have[1:] = np.uint64(base)
-        have = np.multiply.accumulate(have)
-        if size <= 4 * SLICE_BYTES:
-            _POWERS[base] = have
-    return have[:n]
+def _folded(many: np.ndarray, value: Callable[[np.ndarray, int], np.ndarray], whole: Callable[[int], int], seed: int) -> np.ndarray:
+    """A 64-bit hash of each sequence of 64-bit values, of which ``many`` has the lengths.
+
+    value(k, j): the j-th value of the sequences k.  Sequences of over ``_STEPWISE``
+    values are hashed one by one by ``whole``.
+    """
+    h = mix(many.astype(np.uint64) * _STEPS[0] + np.uint64(seed))
+    live = np.flatnonzero(many <= _STEPWISE)
+    for j in range(_STEPWISE):
+        live = live[many[live] > j]
+        if not len(live):
+            break
+        h[live] = mix((h[live] ^ value(live, j)) * _STEPS[1] + _STEPS[2])
+    for k in np.flatnonzero(many > _STEPWISE).tolist():
+        h[k] ^= np.uint64(whole(k))
+    return h
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -117,21 +123,23 @@ class Texts:
         a, b = np.flatnonzero(begin), np.flatnonzero(end) + 1
         return a, b, np.searchsorted(self.ends, a, side="right")
 
-    def hashes(self, a: np.ndarray, b: np.ndarray, lower: bool = True) -> np.ndarray:
-        """A 64-bit hash of each byte span; equal spans of different places have equal hashes."""
-        data = (LOWER[self.data] if lower else self.data).astype(np.uint64)
-        data += np.uint64(1)
-        data *= _powers(_B, len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(data, out=sums[1:])
-        return mix((sums[b] - sums[a]) * _powers(_BINV, len(data) + 1)[a] + (b - a).astype(np.uint64) * _STEPS[0])
+    def hashes(self, a: np.ndarray, b: np.ndarray, lower: bool = True, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each byte span; equal spans of different places have equal hashes, other seeds give independent ones."""
+        data = np.zeros(len(self.data) + 8, np.uint8)
+        data[: len(self.data)] = LOWER[self.data] if lower else self.data
+        eight = np.ndarray((len(self.data) + 1,), "<u8", data, strides=(1,))  # the eight bytes from each place on
+        size = b - a
+
+        def value(k: np.ndarray, j: int) -> np.ndarray:
+            spare = np.maximum(8 * (j + 1) - size[k], 0).astype(np.uint64) << np.uint64(3)
+            return eight[a[k] + 8 * j] << spare  # bytes behind the span go
+
+        return mix(_folded(-(-size // 8), value, lambda k: xxhash.xxh3_64_intdigest(data[a[k] : b[k]].tobytes(), seed), seed) ^ size.astype(np.uint64))
 
 
 def runs(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run of hashes; equal runs of different places have equal hashes."""
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(mix(hashes + _STEPS[1]) * _powers(_B, len(hashes)), out=sums[1:])
-    return mix((sums[b] - sums[a]) * _powers(_BINV, len(hashes) + 1)[a] + (b - a).astype(np.uint64) * _STEPS[0])
+    return _folded(b - a, lambda k, j: hashes[a[k] + j], lambda k: xxhash.xxh3_64_intdigest(hashes[a[k] : b[k]].tobytes()), 1)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
