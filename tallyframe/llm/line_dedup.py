@@ -7,7 +7,8 @@
    first one, however many there are.  Each line of a block that two documents share is
    in a least block inside it, so a first holder of all that must go is always a
    partner, and pairs grow with the number of repeated keys, not with the square of a
-   key's holders.
+   key's holders.  Keys and lines are hashed independently, so a line goes only if two
+   hashes of 64 bits agree.
 3. Each pair is aligned by patience diff: lines unique on both sides are anchors, their
    longest increasing run is kept, and what lies between anchors is aligned again.
 4. Runs of aligned lines with at least ``least_words`` words are deleted from the later
@@ -70,13 +71,14 @@ def sequences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 texts = textnum.Texts(part.column("text"))
                 starts, ends, at = _lines(texts)
                 values = texts.hashes(starts, ends, lower=False).view(np.int64)
+                others = texts.hashes(starts, ends, lower=False, seed=1)  # text goes only where both hashes agree
                 begins = texts.spans(textnum.SPACED)[0]
                 counts = np.searchsorted(begins, ends) - np.searchsorted(begins, starts)
                 bounds = np.searchsorted(at, np.arange(texts.n + 1))
                 hashes = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
                 words = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(counts, pa.int32()))
                 first, end = least_blocks(counts, bounds, least_words)
-                doc, key = np.unique(np.stack([at[first], textnum.runs(values.view(np.uint64), first, end).view(np.int64)]), axis=1)
+                doc, key = np.unique(np.stack([at[first], textnum.runs(others, first, end).view(np.int64)]), axis=1)
                 keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(texts.n + 1)), pa.int32()), pa.array(key))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_keys(part.column("doc_id"), texts), pa.binary()), hashes, words, keys], ["doc_id", "id", "lines", "words", "keys"])
 
