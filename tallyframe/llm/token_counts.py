@@ -31,6 +31,8 @@ VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END = 256
 MOST_PIECES = 2_000_000
 _SYMBOLS = 257
+#: Fewer words than this are walked one by one: a step of all costs as much as some dozens of single ones.
+_IN_STEP = 64
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,6 +123,22 @@ class Automaton:
             left, key, slot = left[on], key[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return out
 
+    def _walk(self, node: int, total: int, symbols: list[int]) -> tuple[int, int, bool]:
+        """Tokens, node and whether no piece fits, after the symbols."""
+        if not hasattr(self, "_children"):
+            used = self.keys >= 0
+            self._children = dict(zip(self.keys[used].tolist(), self.targets[used].tolist()))
+            self._back = list(zip(self.fail.tolist(), self.popped.tolist()))
+        children, back = self._children, self._back
+        for s in symbols:
+            while (after := children.get(node * _SYMBOLS + s)) is None:
+                up, popped = back[node]
+                if up < 0:
+                    return total, node, True
+                total, node = total + popped, up
+            node = after
+        return total, node, False
+
     def counts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Tokens of each byte span, which is one word; -1 for a word that pieces can't cover."""
         order = np.argsort(start - end, kind="stable")  # longer words first: those in play are a prefix
@@ -128,7 +146,9 @@ class Automaton:
         total, node = np.zeros(len(a), np.int64), np.zeros(len(a), np.int32)
         dead = np.zeros(len(a), bool)
         in_play = np.searchsorted(-size, -np.arange(int(size.max(initial=0)) + 1), side="right")  # with the mark
-        for k, m in enumerate(in_play.tolist()):
+        # in step as long as that pays; the few longest words go on one by one
+        alone = int(np.searchsorted(-in_play, -_IN_STEP, side="right"))
+        for k, m in enumerate(in_play[:alone].tolist()):
             at = a[:m] + k
             symbol = np.where(size[:m] > k, data[np.minimum(at, len(data) - 1)].astype(np.int64), END)
             lanes = np.flatnonzero(~dead[:m])
@@ -142,6 +162,10 @@ class Automaton:
                 lanes, back = lanes[back >= 0], back[back >= 0]
                 total[lanes] += self.popped[node[lanes]]
                 node[lanes] = back
+        for lane in range(int(in_play[alone]) if alone < len(in_play) else 0):
+            if not dead[lane]:
+                rest = data[a[lane] + alone : a[lane] + size[lane]].tolist()
+                total[lane], node[lane], dead[lane] = self._walk(int(node[lane]), int(total[lane]), [*rest, END])
         lanes = np.flatnonzero(~dead & (node != 0))
         while len(lanes):  # what is left over after the mark
             back = self.fail[node[lanes]]
