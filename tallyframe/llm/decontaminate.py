@@ -5,9 +5,8 @@ symbols of the benchmark's vocabulary (any other word, and each end of a documen
 separates) and get an FM-index.  The windows of the benchmark are searched
 backward, all at once, through ranks of a wavelet tree; their occurrences are
 located by sampled suffix positions, and overlapping ones are merged into removal
-spans.  Documents are never shuffled.  The windows are taken in blocks of bounded
-size, each of which is one pass over the documents, so that what is broadcast
-doesn't grow with the benchmark.
+spans.  Documents are read once and never shuffled.  The windows come in blocks of
+bounded size, each a broadcast of its own; a task holds one of them at a time.
 
 Defined cases: a null or empty text has no words and is never contaminated; an item
 without words has no window; a null item_id counts as the id ``null``; repeated
@@ -29,8 +28,10 @@ from tallyframe.llm.fmindex import FMIndex
 from tallyframe.llm.store import written
 
 WINDOW = 13
-#: Windows that are broadcast at once: 13 words of 8 bytes and an id each.
+#: Windows in a block: 13 words of 8 bytes and an id each.
 BLOCK_WINDOWS = 200_000
+#: Text whose shards are searched between two loads of a block.
+SHARDS_BYTES = 4_000_000
 FOUND = "doc_id bigint, n_words bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
 
 
@@ -122,54 +123,69 @@ def find_in(texts: textnum.Texts, block: Windows, every: int) -> tuple[np.ndarra
 
 
 class Blocks:
-    """The windows of a benchmark, to be taken in blocks of bounded size."""
+    """The windows of a benchmark in blocks of bounded size, each a broadcast that tasks hold one at a time."""
 
     def __init__(self, bench: DataFrame, width: int, most: int):
-        self.windows = written(windows_of(bench, width), "windows")
-        self.count = max(1, -(-self.windows.count() // most))
-
-    def rows(self, k: int) -> list[tuple[str, bytes]]:
-        return [(r.item, r.window) for r in self.windows.where(F.pmod(F.xxhash64("window"), F.lit(self.count)) == k).toLocalIterator()]
+        windows = written(windows_of(bench, width), "windows")
+        self.count = max(1, -(-windows.count() // most))
+        # dealt by window and item, so a window of very many items is spread over the blocks, too
+        mine = lambda k: windows.where(F.pmod(F.xxhash64("window", "item"), F.lit(self.count)) == k).toLocalIterator()
+        self.held = [bench.sparkSession.sparkContext.broadcast(Windows([(r.item, r.window) for r in mine(k)])) for k in range(self.count)]
+
+    def find(self, parts: list[textnum.Texts], every: int) -> list[tuple[np.ndarray, dict[int, tuple[set[str], list[tuple[int, int]]]]]]:
+        """``find_in`` of some shards over all blocks."""
+        out: list = [None] * len(parts)
+        for held in self.held:
+            block = held.value
+            for k, texts in enumerate(parts):
+                counts, found = find_in(texts, block, every)
+                if out[k] is None:
+                    out[k] = counts, found
+                    continue
+                for d, (items, spans) in found.items():
+                    if d in out[k][1]:
+                        more, others = out[k][1][d]
+                        items, spans = items | more, _joined(spans, others)
+                    out[k][1][d] = items, spans
+            if self.count > 1:  # one block in memory, whatever their number
+                held.__dict__.pop("_value", None)
+                block = None
+        return out
+
+    def shards(self, batches: Iterator[pa.RecordBatch], every: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, dict]]:
+        """Each part of the documents with its word counts and hits; some parts share a load of each block."""
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+        for part in (p for batch in batches for p in textnum.slices(batch)):
+            waiting.append(part)
+            size += part.nbytes
+            if size >= SHARDS_BYTES:
+                yield from self._done(waiting, every)
+                waiting, size = [], 0
+        yield from self._done(waiting, every)
+
+    def _done(self, parts: list[pa.RecordBatch], every: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, dict]]:
+        for part, (counts, found) in zip(parts, self.find([textnum.Texts(p.column("text")) for p in parts], every)):
+            yield part, counts, found
+
+
+def _joined(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return _merged(*(np.array(x, np.int64) for x in zip(*a, *b)))
 
 
 def occurrences(docs: DataFrame, bench: DataFrame, width: int = WINDOW, block_windows: int = BLOCK_WINDOWS, every: int = 16) -> DataFrame:
     """One row per row of ``docs``: words, items that occur, removal spans in words (end exclusive)."""
-    return _occurrences(docs, Blocks(bench, width, block_windows), every)
-
-
-def _occurrences(docs: DataFrame, windows: Blocks, every: int) -> DataFrame:
-    spark = docs.sparkSession
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def one(k: int) -> DataFrame:
-        held = spark.sparkContext.broadcast(windows.rows(k))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Windows(held.value)
-            for batch in batches:
-                for part in textnum.slices(batch):
-                    counts, found = find_in(textnum.Texts(part.column("text")), block, every)
-                    items = [sorted(found[d][0]) if d in found else [] for d in range(len(counts))]
-                    spans = [[{"start": s, "end": e} for s, e in found[d][1]] if d in found else [] for d in range(len(counts))]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("row"), part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                        ["row", "doc_id", "n_words", "items", "spans"],
-                    )
-
-        return docs.mapInArrow(textnum.lean(run), f"row bigint, {FOUND}")
-
-    if windows.count == 1:
-        return one(0).drop("row")
-    # with more blocks than one, a document's spans come from several passes
-    parts = written(one(0), "hits")
-    for k in range(1, windows.count):
-        parts = parts.unionByName(written(one(k).where(F.size("items") > 0), "hits"))
-    merged = F.expr("""aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) ->
-        case when size(a) > 0 and element_at(a, -1).end >= x.start
-             then concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(element_at(a, -1).end, x.end) as end)))
-             else concat(a, array(x)) end)""")
-    out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged.alias("spans"))
-    return out.drop("row")
+    windows = Blocks(bench, width, block_windows)
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, counts, found in windows.shards(batches, every):
+            items = [sorted(found[d][0]) if d in found else [] for d in range(len(counts))]
+            spans = [[{"start": s, "end": e} for s, e in found[d][1]] if d in found else [] for d in range(len(counts))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, spans_type)], ["doc_id", "n_words", "items", "spans"])
+
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(textnum.lean(run), FOUND)
 
 
 HIT = "aggregate(spans, 0L, (n, x) -> n + x.end - x.start)"
@@ -178,25 +194,13 @@ HIT = "aggregate(spans, 0L, (n, x) -> n + x.end - x.start)"
 def clean(docs: DataFrame, bench: DataFrame, width: int = WINDOW, block_windows: int = BLOCK_WINDOWS, every: int = 16) -> DataFrame:
     """``docs`` without those that ``judged`` calls contaminated; the others are left as they are."""
     windows = Blocks(bench, width, block_windows)
-    if windows.count == 1:
-        held = docs.sparkSession.sparkContext.broadcast(windows.rows(0))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Windows(held.value)
-            for batch in batches:
-                for part in textnum.slices(batch):
-                    counts, found = find_in(textnum.Texts(part.column("text")), block, every)
-                    bad = {d for d, (_, spans) in found.items() if 20 * sum(e - s for s, e in spans) >= counts[d]}
-                    yield part.filter(pa.array([d not in bad for d in range(part.num_rows)], pa.bool_()))
-
-        return docs.mapInArrow(textnum.lean(run), docs.schema)
-    # with more blocks than one the verdict needs all passes, so rows are numbered in a table
-    spare = "_decontaminate_row"
-    docs = written(docs.withColumn(spare, F.monotonically_increasing_id()), "rows")
-    found = _occurrences(docs.select(F.col(spare).alias("doc_id"), "text"), windows, every)
-    hit = F.expr(HIT)
-    bad = found.where((hit > 0) & (20 * hit >= F.col("n_words"))).select(F.col("doc_id").alias(spare))
-    return docs.hint("merge").join(bad, spare, "left_anti").drop(spare)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, counts, found in windows.shards(batches, every):
+            bad = {d for d, (_, spans) in found.items() if 20 * sum(e - s for s, e in spans) >= counts[d]}
+            yield part.filter(pa.array([d not in bad for d in range(part.num_rows)], pa.bool_()))
+
+    return docs.mapInArrow(textnum.lean(run), docs.schema)
 
 
 def judged(docs: DataFrame, bench: DataFrame, **settings) -> DataFrame:
