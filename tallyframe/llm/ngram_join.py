@@ -14,13 +14,14 @@
    with very many classes is dealt into salted groups first.  The components of the
    ties are small sets of candidates.
 4. Within them a T-occurrence search decides: inverted lists of the group, the longest
-   ones set aside, the short ones merged, and what is met often enough there looked up
-   in the long ones (DivideSkip).  Members of one component so far need no search among
+   ones set aside, the short ones merged in order, and what is met often enough there
+   looked up in the long ones by binary search (DivideSkip).  Members of one component so far need no search among
    themselves.
 5. Components of the links; each takes its smallest doc_id.
 
-Candidates of more than ``group_docs`` classes are searched block by block; if links
-leave them in several components, those outside the largest one search all blocks.
+Candidates of more than ``group_docs`` classes are searched block by block, with
+``pivots`` of them in every block, which ties the parts of a large component together;
+if links leave several components, classes outside the largest one search all blocks.
 
 Defined cases: a text without words has the empty set and links with nothing; with
 fewer than k words the word sequence is the one shingle; repeated rows are copies;
@@ -30,8 +31,6 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -41,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm import textnum
+from tallyframe.llm import store, textnum
 from tallyframe.llm.graph import components
 from tallyframe.llm.store import written
 
@@ -58,6 +57,7 @@ class Settings:
     hot: int = 100_000  # classes of one shingle that stay together
     group_docs: int = 4096
     group_shingles: int = 1_000_000
+    pivots: int = 32  # classes of a dealt set of candidates that stand in each of its blocks
 
 
 def prefix_size(n: int, cfg: Settings) -> int:
@@ -231,32 +231,18 @@ class Group:
 
 
 def _merge(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members of at least so many of some sorted lists, with their counts."""
-    if sum(map(len, lists)) > 2048:  # too many for a heap of Python objects
-        met, times = np.unique(np.concatenate(lists), return_counts=True)
-        return met[times >= least], times[times >= least]
-    found: list[tuple[int, int]] = []
-    plain = [x.tolist() for x in lists]
-    heap = [(x[0], k, 0) for k, x in enumerate(plain)]
-    heapq.heapify(heap)
-    while len(heap) >= least:
-        top, taken = heap[0][0], []
-        while heap and heap[0][0] == top:
-            taken.append(heapq.heappop(heap))
-        if len(taken) >= least:
-            found.append((top, len(taken)))
-            target = top + 1
-        else:  # whatever is below the next possible member is skipped
-            while heap and len(taken) < least - 1:
-                taken.append(heapq.heappop(heap))
-            target = max(top + 1, heap[0][0]) if heap else None
-            if target is None:
-                break
-        for _, k, at in taken:
-            at = bisect_left(plain[k], target, at)
-            if at < len(plain[k]):
-                heapq.heappush(heap, (plain[k][at], k, at))
-    return np.array([m for m, _ in found], np.int64), np.array([t for _, t in found], np.int64)
+    """Members of at least so many of some sorted lists, with their counts.
+
+    A stable sort merges the sorted lists run by run with galloping, which is a heap's order
+    without a Python object a posting; equal members come to stand side by side.
+    """
+    merged = np.concatenate([np.zeros(0, np.int64), *lists])
+    merged.sort(kind="stable")
+    if len(merged) < least:
+        return merged[:0], merged[:0]
+    often = merged[: len(merged) - least + 1][merged[: len(merged) - least + 1] == merged[least - 1 :]]
+    met = often[np.flatnonzero(np.diff(often, prepend=-1))]
+    return met, np.searchsorted(merged, met, side="right") - np.searchsorted(merged, met)
 
 
 def search_group(names: list[bytes], sets: list[np.ndarray], percent: int, labels: list[bytes] | None = None, asks: list[bool] | None = None) -> list[tuple[bytes, bytes]]:
@@ -364,7 +350,11 @@ def _links(docs: DataFrame, candidates: DataFrame, cfg: Settings) -> DataFrame:
     sizes = sizes.select("root", F.ceil(F.greatest(F.col("docs") / cfg.group_docs, F.col("total") / cfg.group_shingles)).cast("int").alias("blocks"))
     places = written(candidates.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("node", "root", "blocks", "block"), "places")
     shingles = _shingles_of(docs, _filter_of(candidates), cfg)
-    placed = places.join(shingles, places["node"] == shingles["class"]).select("class", "root", "blocks", "block", "shingles")
+    # some classes of a dealt set stand in each of its blocks: they tie the parts of a large component
+    salted = places.where("blocks > 1").groupBy("root", "blocks", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(cfg.pivots)).alias("salt")).agg(F.min("node").alias("node"))
+    pivots = salted.select("node", "root", "blocks", F.explode(F.expr("sequence(cast(0 as bigint), blocks - 1L)")).alias("block"))
+    placed = places.unionByName(pivots)
+    placed = placed.join(shingles, placed["node"] == shingles["class"]).select("class", "root", "blocks", "block", "shingles")
     local = placed.select(F.concat("root", F.lit(b"/"), F.col("block").cast("string").cast("binary")).alias("key"), "class", "shingles")
     found = _searched(local, cfg.percent, False)
     if places.where("blocks > 1").isEmpty():
@@ -420,8 +410,9 @@ def distinct(docs: DataFrame, cfg: Settings = Settings(words=5, percent=80)) ->
     _, classes = _classes(docs, cfg)
     alone = classes.where("root is null").select("class", "least")
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "class")).alias("x")
-    chosen = alone.unionByName(classes.where("root is not null").groupBy("root").agg(first).select("x.class", "x.least"))
-    names, spare = docs.columns, "_ngram_join_class"
+    chosen = alone.unionByName(classes.where("root is not null").groupBy("root").agg(first).select("x.class", "x.least")).toDF("_class", "_least")
+    names = docs.columns
+    spare, ranked = store.spare(names, "_ngram_join_class"), store.spare(names, "_ngram_join_rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -432,8 +423,8 @@ def distinct(docs: DataFrame, cfg: Settings = Settings(words=5, percent=80)) ->
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{spare} binary"])
     keyed = docs.mapInArrow(textnum.lean(run), fields)
     # the same plan at every size: the chosen rows grow with the input, so they're never broadcast
-    same = (keyed[spare] == chosen["class"]) & keyed["doc_id"].cast("bigint").eqNullSafe(chosen["least"])
+    same = (keyed[spare] == chosen["_class"]) & keyed["doc_id"].cast("bigint").eqNullSafe(chosen["_least"])
     kept = keyed.join(chosen.hint("shuffle_hash"), same, "left_semi")
     rank = F.row_number().over(Window.partitionBy(spare, "doc_id").orderBy("text"))
-    kept = kept.withColumn("_ngram_join_rank", rank).where("_ngram_join_rank = 1").select(*names)
+    kept = kept.withColumn(ranked, rank).where(F.col(ranked) == 1).select(*names)
     return kept.unionByName(keyed.where(F.col(spare).isNull()).select(*names))
