@@ -5,10 +5,12 @@ in links, and the regions it is in (an article, or boilerplate by tag or class).
 
 Pass 1 decides what it can.  Blocks in boilerplate regions and blocks that are mostly
 links go; blocks that are long enough and dense enough in function words stay; where a
-page marks an article, what stands outside goes.  Short blocks and blocks of middling
-density stay open.  Pass 2 gives each open block the label of its nearest decided
-neighbour in the same region; with neighbours equally near on both sides that differ, or with none, an
-article keeps the block and the rest of a page doesn't.
+page marks an article, what stands outside goes.  On a page without any dense block,
+whose language the function words don't know, length alone decides.  Short blocks and
+blocks that aren't dense stay open.  Pass 2 gives each open block the label of its
+nearest decided neighbour in the same region; with neighbours equally near on both sides
+that differ, or with none, an article keeps the block and the rest of a page only a long
+one.  A long block outside an article goes only if no neighbour on either side stays.
 
 Defined cases: a null or empty html has an empty text; what a page leaves unclosed ends
 with the page, but a tag without its ``>`` is dropped; equal pages have equal texts;
@@ -36,7 +38,11 @@ STOP_WORDS = frozenset(
     el y los del las por para con no su al lo como más pero sus ya o""".split()
 )
 #: Elements by what they mean for blocks.
-INLINE = frozenset("a abbr b bdi bdo big cite code em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+BLOCKS = frozenset(
+    """address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3
+    h4 h5 h6 head header hgroup html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr
+    ul xmp""".split()
+)
 RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "select", "textarea", "title", "button", "canvas", "audio", "video")
 BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset".split())
 ARTICLE = frozenset(("article", "main"))
@@ -67,7 +73,6 @@ class Rules:
     links: float = 0.4  # more of the characters in links: boilerplate
     short: int = 70  # characters; below, outside an article, a block stays open
     dense: float = 0.25  # share of function words that keeps a block
-    thin: float = 0.08  # and below which a long block outside an article goes
 
 
 @dataclass
@@ -113,10 +118,15 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if not m[0].endswith(">"):  # the page ends within a tag
             break
-        if tag in INLINE:
+        marks = _marks(m["attributes"]) if "=" in m["attributes"] else set()
+        if tag not in BLOCKS and tag not in VOID:  # as in browsers, what isn't known to be a block is none
             if tag == "a":
                 links = max(0, links - 1) if m["end"] else 1
-            continue
+            # but for elements of a page's own whose name or class says boilerplate
+            own = "-" in tag and (any(x[0] == tag for x in stack) if m["end"] else bool((marks | set(tag.split("-"))) & MARKS) and not m[0].endswith("/>"))
+            if not own:
+                continue
+            marks |= set(tag.split("-"))
         if tag in VOID:
             if tag == "hr":
                 close()
@@ -132,7 +142,6 @@ def blocks_of(html: str) -> list[Block]:
                 del stack[depth:]
             close()
             continue
-        marks = _marks(m["attributes"]) if "=" in m["attributes"] else set()
         bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         comments = bool(marks & COMMENTS)
         if tag in ARTICLE and not comments:
@@ -161,30 +170,32 @@ def labels(blocks: list[Block], rules: Rules = Rules()) -> list[bool]:
     """Which blocks are main text."""
     first: list[bool | None] = []
     marked = any(b.article and not b.boilerplate for b in blocks)
-    for b in blocks:
-        words = [w.lower() for w in _WORD.findall(b.text)]
-        density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.boilerplate or b.linked > rules.links * len(b.text) or (marked and not b.article):
-            first.append(False)
-        elif len(b.text) >= rules.short and density >= rules.dense:
-            first.append(True)
-        elif not b.article and len(b.text) >= rules.short and density < rules.thin:
-            first.append(False)
-        else:
-            first.append(None)
+    gone = [b.boilerplate or b.linked > rules.links * len(b.text) or (marked and not b.article) for b in blocks]
+    long = [len(b.text) >= rules.short for b in blocks]
+    dense = [wide and not bad and _density(b.text) >= rules.dense for b, wide, bad in zip(blocks, long, gone)]
+    known = any(dense)  # else the page's language has no function words here, and density says nothing
+    for b, bad, wide, full in zip(blocks, gone, long, dense):
+        first.append(False if bad else True if full or (wide and not known) else None)
     out = []
     left = _nearest(blocks, first, range(len(blocks)))
     right = _nearest(blocks, first, range(len(blocks) - 1, -1, -1))
-    for k, known in enumerate(first):
-        if known is None:
+    for k, keep in enumerate(first):
+        if keep is None:
             near = [x for x in (left[k], right[k]) if x is not None]
             least = min((d for d, _ in near), default=0)
             votes = {label for d, label in near if d == least}
-            known = votes.pop() if len(votes) == 1 else bool(blocks[k].article)
-        out.append(known)
+            # a long block goes only if boilerplate is all that is near on either side
+            keep = (long[k] and (bool(blocks[k].article) or any(label for _, label in near))) or (votes.pop() if len(votes) == 1 else bool(blocks[k].article) or long[k])
+        out.append(keep)
     return out
 
 
+def _density(text: str) -> float:
+    """Share of function words."""
+    words = [w.lower() for w in _WORD.findall(text)]
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
 def _nearest(blocks: list[Block], first: list[bool | None], order: range) -> list[tuple[int, bool] | None]:
     """Distance and label of the last decided block of the same region on one side; boilerplate within an article decides nothing."""
     out: list[tuple[int, bool] | None] = [None] * len(blocks)

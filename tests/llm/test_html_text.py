@@ -52,3 +52,37 @@ def test_awkward_pages_take_linear_time():
 def test_what_stands_before_an_article_leaves_it_whole(before):
     text = f"{LONG} It isn't cut."
     assert main_text(f"{before}<article><p>{text}</p></article>") == text
+
+
+def page(rng, article):
+    """A page and its main text, known by how it is made."""
+    words = {"known": "the of and to in a is that house river stone walked", "other": "и в не на он что дом река камень шёл"}
+    speak = rng.choice(list(words))
+    line = lambda n: " ".join(rng.choice(words[speak].split()) for _ in range(n))
+    inline = lambda t: t if rng.random() < 0.5 else f"<{(e := rng.choice('b em span dfn label data acronym ruby nobr output picture x-note'.split()))}>{t}</{e}>"
+    main, body = [], ""
+    for _ in range(rng.randrange(2, 9)):
+        kind = rng.choice(["text", "text", "text", "aside", "ad", "links", "form", "comments", "script"])
+        t = line(rng.randrange(30, 60))
+        if kind == "text":
+            cut = t.split(" ")
+            main.append(t)
+            body += "<p>" + " ".join([*cut[:5], inline(" ".join(cut[5:9])), *cut[9:]]) + "</p>"
+        else:
+            body += {"aside": f"<aside><p>{t}</p></aside>", "ad": f'<div class="ad-box">{t}</div>', "links": "<ul>" + "".join(f'<li><a href="/x">{line(4)}</a></li>' for _ in range(6)) + "</ul>", "form": f"<form><label>{t}</label><input></form>", "comments": f'<section id="comments"><p>{t}</p></section>', "script": f"<script>var x = '<p>{t}</p>'</script>"}[kind]
+    body = f"<article>{body}</article>" if article else f"<div>{body}</div>"
+    return f"<html><head><title>{line(3)}</title></head><body><nav><a href='/'>{line(2)}</a></nav>{body}<footer>{line(30)}</footer></body></html>", "\n\n".join(main)
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_generated_pages(article):
+    rng = random.Random(5)
+    for _ in range(300):
+        html, want = page(rng, article)
+        assert main_text(html) == want
+
+
+def test_elements_of_a_pages_own():
+    text = "The whole of the story is told to the reader in a few words, and that is that."
+    assert main_text(f"<body><cookie-banner><p>{text}</p></cookie-banner><my-story><p>{text}</p></my-story><x-share-bar/><p>{text} <x-mark>More</x-mark></p></body>") == f"{text}\n\n{text} More"
+    assert main_text(f"<p title='{'>' * 9000}'>{text}</p><p") == text
