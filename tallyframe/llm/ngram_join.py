@@ -31,7 +31,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,11 +41,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm import store, textnum
+from tallyframe.llm.filters import PARTS, filter_of, in_parts, may_hold, reduced
 from tallyframe.llm.graph import components
 from tallyframe.llm.store import written
 
-_PARTS = 64
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -64,26 +63,6 @@ def prefix_size(n: int, cfg: Settings) -> int:
     return min(n, n + (-cfg.percent * n) // 100 + cfg.meetings)
 
 
-def _reduced(rows: DataFrame, raw: type, dtype: type, combine: Callable) -> np.ndarray:
-    """Combines vectors that come in ``_PARTS`` numbered parts: within tasks, then by part."""
-
-    def run(batches: Iterator[pa.RecordBatch], raw: type) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, values in zip(batch.column("part").to_pylist(), batch.column("counts")):
-                x = np.frombuffer(values.as_buffer(), raw).astype(dtype)
-                held[part] = combine(held[part], x) if part in held else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["part", "counts"])
-
-    schema = "part int, counts binary"
-    parts = rows.select("part", "counts").mapInArrow(lambda x: run(x, raw), schema).repartition(_PARTS, "part").mapInArrow(lambda x: run(x, dtype), schema).collect()
-    return np.concatenate([np.frombuffer(r.counts, dtype) for r in sorted(parts, key=lambda r: r.part)]) if parts else np.zeros(0, dtype)
-
-
-def _in_parts(vector: np.ndarray) -> list[bytes]:
-    return [x.tobytes() for x in np.split(vector, _PARTS)]
-
-
 def _digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
@@ -103,7 +82,7 @@ def profiles(docs: DataFrame, cfg: Settings) -> DataFrame:
                     counts += np.bincount((np.concatenate(full) >> shift).astype(np.int64), minlength=len(counts))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(_PARTS, pa.int64()), pa.nulls(_PARTS, pa.int64()), pa.nulls(_PARTS, pa.binary()), pa.array(range(_PARTS), pa.int32()), pa.array(_in_parts(counts.astype(np.int32)), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(in_parts(counts.astype(np.int32)), pa.binary())], names)
 
     return docs.mapInArrow(textnum.lean(run), "doc_id bigint, n bigint, class binary, part int, counts binary")
 
@@ -312,44 +291,20 @@ def _shingles_of(docs: DataFrame, wanted: np.ndarray, cfg: Settings) -> DataFram
             for part in textnum.slices(batch):
                 sets, _ = textnum.shingle_sets(textnum.Texts(part.column("text")), cfg.words)
                 classes = {_digest(s): s for s in sets if len(s)}
-                kept = {c: s for c, s in classes.items() if c not in done and _may_hold(held.value, c)}
+                kept = {c: s for c, s in classes.items() if c not in done and may_hold(held.value, c)}
                 done.update(kept)
                 yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.binary()), pa.array([s.tobytes() for s in kept.values()], pa.binary())], ["class", "shingles"])
 
     return docs.select("text").mapInArrow(textnum.lean(run), "class binary, shingles binary")
 
 
-_FILTER_BYTES = 1 << 22
-
-
-def _bits(name: bytes) -> tuple[int, int]:
-    return int.from_bytes(name[:8], "little") % (8 * _FILTER_BYTES), int.from_bytes(name[8:], "little") % (8 * _FILTER_BYTES)
-
-
-def _may_hold(bits: np.ndarray, name: bytes) -> bool:
-    return len(bits) > 0 and all(bits[b >> 3] >> (b & 7) & 1 for b in _bits(name))
-
-
-def _filter_of(nodes: DataFrame) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(_FILTER_BYTES, np.uint8)
-        for batch in batches:
-            for name in batch.column("node").to_pylist():
-                for b in _bits(name):
-                    bits[b >> 3] |= 1 << (b & 7)
-        if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(_in_parts(bits), pa.binary())], ["part", "counts"])
-
-    return _reduced(nodes.select("node").mapInArrow(textnum.lean(run), "part int, counts binary"), np.uint8, np.uint8, np.bitwise_or)
-
-
 def _links(docs: DataFrame, candidates: DataFrame, cfg: Settings) -> DataFrame:
     """Links between classes, enough of them for the components.  candidates: (node, root, n)."""
     sizes = candidates.groupBy("root").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
     # large sets of candidates are dealt into blocks
     sizes = sizes.select("root", F.ceil(F.greatest(F.col("docs") / cfg.group_docs, F.col("total") / cfg.group_shingles)).cast("int").alias("blocks"))
     places = written(candidates.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("node", "root", "blocks", "block"), "places")
-    shingles = _shingles_of(docs, _filter_of(candidates), cfg)
+    shingles = _shingles_of(docs, filter_of(candidates, "node"), cfg)
     # some classes of a dealt set stand in each of its blocks: they tie the parts of a large component
     salted = places.where("blocks > 1").groupBy("root", "blocks", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(cfg.pivots)).alias("salt")).agg(F.min("node").alias("node"))
     pivots = salted.select("node", "root", "blocks", F.explode(F.expr("sequence(cast(0 as bigint), blocks - 1L)")).alias("block"))
@@ -382,7 +337,7 @@ def _classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, class), and of each class its component: (class, n, least doc_id of the class, root or null)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(profiles(docs, cfg), "profiles")
-    counts = np.minimum(_reduced(rows.where("part is not null"), np.int32, np.int64, np.add), 2**31 - 1).astype(np.int32)
+    counts = np.minimum(reduced(rows.where("part is not null"), np.int32, np.int64, np.add), 2**31 - 1).astype(np.int32)
     of_docs = rows.where("part is null").select("doc_id", "n", "class")
     least = of_docs.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
     if not len(counts):

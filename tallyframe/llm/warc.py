@@ -1,9 +1,9 @@
 """WARC archives of pages, in which a repeated payload is stored once.
 
-1. Headers only (page_id and payload digest) are shuffled by digest.  Of equal payloads
-   the page with the largest page_id is the response; the others revisit it.
+1. Headers (page_id, url, payload digest) are shuffled by digest.  Of equal payloads the
+   page with the largest page_id is the response; the others revisit it.
 2. Each page gets a record with fresh headers: a response with its payload, or a revisit
-   that names its original.  Spark's text sink writes them; its separator is the two
+   that names its original by its URI and date.  Spark's text sink writes them; its separator is the two
    line ends that close a WARC record, so its gzip files are archives.
 3. Reading back, archives are parsed by Content-Length and payload digests verified;
    revisits are joined to their originals by digest.
@@ -21,12 +21,16 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import textnum
+from tallyframe.llm.filters import filter_of, may_hold
 from tallyframe.llm.store import fresh_path, written
 
 #: Names of the format.
@@ -44,34 +48,69 @@ def base32(hexadecimal: str) -> Column:
     return F.expr(f"array_join(transform(sequence(0, 31), i -> substr('{BASE32}', cast((shiftright(cast(conv(substr({hexadecimal}, (i div 4) * 5 + 1, 5), 16, 10) as int), 15 - 5 * cast(i % 4 as int)) & 31) + 1 as int), 1)), '')")
 
 
-def resolved(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, digest, record_type, refers_to) of each page."""
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    heads = rows.select("page_id", "sha", F.octet_length("html").alias("bytes"))
-    repeated = heads.where(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("original"), F.count("*").alias("copies")).where("copies > 1").select("sha", "original")
-    found = rows.join(repeated.hint("merge"), "sha", "left")
-    revisits = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return found.select("page_id", "url", "html", base32("sha").alias("digest"), F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("original")).alias("refers_to"))
+def _name(sha: Column, *more: Column) -> Column:
+    """16 bytes for a payload, or for a payload and what else is given."""
+    return F.unhex(F.md5(F.concat_ws(":", sha, *(F.coalesce(x.cast("string"), F.lit("null")) for x in more)).cast("binary")))
+
+
+def _maybe(bits: np.ndarray, spark: SparkSession):
+    """A test of names against a filter, by batches of names alone."""
+    held = spark.sparkContext.broadcast(bits)
 
+    @F.pandas_udf("boolean")
+    def test(names: pd.Series) -> pd.Series:
+        return pd.Series([may_hold(held.value, x) for x in names], dtype=bool)
 
-def _record_id(page_id: Column) -> Column:
-    m = F.md5(F.coalesce(page_id.cast("string"), F.lit("null")).cast("binary"))
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substr(m, F.lit(1), F.lit(8)), F.substr(m, F.lit(9), F.lit(4)), F.substr(m, F.lit(13), F.lit(4)), F.substr(m, F.lit(17), F.lit(4)), F.substr(m, F.lit(21), F.lit(12))), F.lit(">"))
+    return test
 
 
-def records(found: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """The text of each record, without its end."""
+def resolved(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(page_id, url, html, digest, record_type, refers_to, refers_to_url) of each page; revisits have no html.
+
+    Headers alone decide.  Two filters of fixed size say which pages can have a repeated
+    payload, and which of those can be the response; only these go by a shuffle with their
+    html, so of a repeated payload one copy does, and of the others none.
+    """
+    spark = pages.sparkSession
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    heads = written(rows.select("page_id", "url", "sha", F.octet_length("html").alias("bytes")), "heads")
+    groups = heads.where((F.col("bytes") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("top"))
+    copies = heads.where(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1").select("sha")
+    repeated = written(groups.join(copies, "sha").select("sha", F.col("top.page_id").alias("original"), F.col("top.url").alias("original_url")), "repeated")
+    maybe_repeated = _maybe(filter_of(repeated.select(_name(F.col("sha")).alias("name")), "name"), spark)
+    able = heads.where(maybe_repeated(_name(F.col("sha")))).join(repeated.hint("merge"), "sha", "left")
+    revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
+    kept = able.where(~revisit).select("sha", F.col("page_id").alias("kept")).distinct()
+    maybe_kept = _maybe(filter_of(kept.select(_name(F.col("sha"), F.col("kept")).alias("name")), "name"), spark)
+    alone = rows.where(~maybe_repeated(_name(F.col("sha"))))
+    firsts = rows.where(maybe_repeated(_name(F.col("sha")))).where(maybe_kept(_name(F.col("sha"), F.col("page_id"))))
+    firsts = firsts.join(kept.withColumnRenamed("sha", "kept_sha"), (F.col("sha") == F.col("kept_sha")) & F.col("page_id").eqNullSafe(F.col("kept")), "left_semi")
+    none = lambda kind: F.lit(None).cast(kind)
+    responses = alone.unionByName(firsts).select("page_id", "url", "html", "sha", F.lit("response").alias("record_type"), none("bigint").alias("refers_to"), none("string").alias("refers_to_url"))
+    revisits = able.where(revisit).select("page_id", "url", none("string").alias("html"), "sha", F.lit("revisit").alias("record_type"), F.col("original").alias("refers_to"), F.col("original_url").alias("refers_to_url"))
+    return responses.unionByName(revisits).withColumn("digest", base32("sha")).drop("sha")
+
+
+def _uri(url: Column, page_id: Column) -> Column:
+    return F.coalesce(F.regexp_replace(url, r"[\x00-\x20\x7f]+", "%20"), F.concat(F.lit("urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null"))))
+
+
+def records(found: DataFrame, date: str | None = None) -> DataFrame:
+    """The text of each record, without its end; ``date`` is now, if none is given."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     response = F.col("record_type") == "response"
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit(END))
-    url = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7f]+", "%20"), F.concat(F.lit("urn:page:"), name))
-    rows = found.withColumn("block", F.when(response, F.concat(http, "html")).otherwise(F.lit("")))
+    # the place among all records makes an id its own, even of equal rows
+    mark = F.md5(F.concat_ws(":", F.lit(date), F.col("digest"), name, F.col("place").cast("string")).cast("binary"))
+    uuid = F.concat_ws("-", *(F.substr(mark, F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    rows = found.withColumn("place", F.monotonically_increasing_id()).withColumn("block", F.when(response, F.concat(http, "html")).otherwise(F.lit("")))
     value = F.concat(
-        F.lit(f"{VERSION}\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", _record_id(F.col("page_id"))), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", url),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(response, F.lit("")).otherwise(F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("refers_to"))), line("X-Refers-To-Page", F.coalesce(F.col("refers_to").cast("string"), F.lit("null"))))),
+        F.lit(f"{VERSION}\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))), line("WARC-Date", F.lit(date)),
+        line("WARC-Target-URI", _uri(F.col("url"), F.col("page_id"))), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        F.when(response, F.lit("")).otherwise(F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To-Target-URI", _uri(F.col("refers_to_url"), F.col("refers_to"))), line("WARC-Refers-To-Date", F.lit(date)), line("X-Refers-To-Page", F.coalesce(F.col("refers_to").cast("string"), F.lit("null"))))),
         line("X-Page", name), line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"), F.col("block"),
     )
     return rows.select(value.alias("value"))
@@ -113,16 +152,24 @@ def parsed(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _unzipped(content: memoryview, step: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a gzip file of any number of members."""
-    rest = bytes(content)
-    while rest:
-        member = zlib.decompressobj(31)
-        while not member.eof:
-            if not rest:
-                raise ValueError("a gzip member ends too early")
-            yield member.decompress(rest, step)
-            rest = member.unconsumed_tail or member.unused_data
-        rest = member.unused_data
+    """The bytes of a gzip file of any number of members, from pieces of the file that are each copied once."""
+    member = None
+    for at in range(0, len(content), step):
+        rest = bytes(content[at : at + step])
+        while rest:
+            member = member or zlib.decompressobj(31)
+            out = member.decompress(rest, step)
+            rest = member.unused_data if member.eof else member.unconsumed_tail
+            if member.eof:
+                member = None
+            if out:
+                yield out
+        while member is not None and (out := member.decompress(b"", step)):  # what the limit held back
+            yield out
+        if member is not None and member.eof:
+            member = None
+    if member is not None:
+        raise ValueError("a gzip member ends too early")
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

@@ -47,6 +47,16 @@ def test_payloads_come_back_and_are_stored_once(spark, tmp_path):
     assert sorted(((r.page_id, bytes(r.payload).decode()) for r in warc.rejoined(found).collect()), key=repr) == sorted(((i, h or "") for i, _, h in pages), key=repr)
 
 
+def test_record_ids_are_unique_and_revisits_name_their_original(spark, tmp_path):
+    pages = corpus() + [(9, "same", "row")] * 3
+    path = tmp_path / "archives"
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), str(path), file_records=20)
+    headers = [h for f in path.glob("part-*") for h, _ in warc.parsed(warc._unzipped(memoryview(f.read_bytes()), 100))]
+    assert len({h["WARC-Record-ID"] for h in headers}) == len(headers) == len(pages)
+    targets = {(h["X-Page"], h["WARC-Target-URI"]) for h in headers if h["WARC-Type"] == "response"}
+    assert all((h["X-Refers-To-Page"], h["WARC-Refers-To-Target-URI"]) in targets and h["WARC-Refers-To-Date"] for h in headers if h["WARC-Type"] == "revisit")
+
+
 def test_a_damaged_archive_is_refused():
     record = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [(h["Content-Length"], b) for h, b in warc.parsed(iter([record[:20], record[20:31], record[31:] + record]))] == [("3", b"abc")] * 2
