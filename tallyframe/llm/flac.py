@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm import textnum
+from tallyframe.llm.store import written
 
 BLOCK = 512
 #: Frames from one seek point to the next.
@@ -438,16 +439,28 @@ def _samples(streams: list[Stream], frames: list[list[tuple[int, int, int, int]]
     return [np.concatenate(x) if x else np.zeros(0, np.uint8) for x in out]
 
 
-def decode(streams: list[bytes]) -> list[np.ndarray]:
-    """The payload of each stream, checked."""
+def blocks_of(streams: list[bytes]) -> list[list[tuple[int, int | None, np.ndarray]]]:
+    """Of each stream its PCM blocks, one a seek point: first sample, byte offset (null without a seek table) and samples, checked."""
     parsed = [parse(x) for x in streams]
-    out = _samples(parsed, [frames_of(s) for s in parsed])
-    for s, x in zip(parsed, out):
-        if len(x) != s.total or hashlib.md5((x ^ 0x80).tobytes()).digest() != s.md5:
+    points = [(k, p, (s.seek[n + 1][0] if n + 1 < len(s.seek) else s.total) - p[0]) for k, s in enumerate(parsed) for n, p in enumerate(s.seek or [(0, 0, 0)])]
+    found = _samples([parsed[k] for k, _, _ in points], [frames_of(parsed[k], p[0] // parsed[k].block, p[1], -(-many // parsed[k].block)) for k, p, many in points])
+    out: list[list[tuple[int, int | None, np.ndarray]]] = [[] for _ in streams]
+    for (k, p, _), x in zip(points, found):
+        out[k].append((p[0], parsed[k].frames + p[1] if parsed[k].seek else None, x))
+    for s, blocks in zip(parsed, out):
+        signed = hashlib.md5()
+        for _, _, x in blocks:
+            signed.update((x ^ 0x80).tobytes())
+        if sum(len(x) for _, _, x in blocks) != s.total or signed.digest() != s.md5:
             raise ValueError("a stream doesn't have its digest")
     return out
 
 
+def decode(streams: list[bytes]) -> list[np.ndarray]:
+    """The payload of each stream, checked."""
+    return [np.concatenate([x for _, _, x in blocks]) for blocks in blocks_of(streams)]
+
+
 def seek(data: bytes, sample: int, count: int) -> np.ndarray:
     """Some samples of a stream, read from the seek point before them."""
     s = parse(data)
@@ -473,31 +486,34 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """(doc_id, media): the stream of each text."""
+    """(doc_id, n_bytes, media): the stream of each text, and its bytes without the zeros behind it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textnum.slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(encode([payload_of(t) for t in _texts(part)]), pa.binary())], ["doc_id", "media"])
+                texts = _texts(part)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(encode([payload_of(t) for t in texts]), pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    return _rows(docs).mapInArrow(textnum.lean(run), "doc_id bigint, n_bytes bigint, media binary")
+
 
-    return _rows(docs).mapInArrow(textnum.lean(run), "doc_id bigint, media binary")
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[list[tuple[int, int | None, np.ndarray]]]]]:
+    """Parts of a media table with their streams and PCM blocks."""
+    for batch in batches:
+        for part in textnum.slices(batch, "media"):
+            streams = [x.as_py() for x in part.column("media")]
+            yield part, streams, blocks_of(streams)
 
 
-def pcm_blocks(media: DataFrame, samples: int = BLOCK * SEEK_FRAMES) -> DataFrame:
+def pcm_blocks(media: DataFrame) -> DataFrame:
     """(doc_id, block, first_sample, n_samples, media_offset, pcm): blocks that start at seek points, with their byte offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "block", "first_sample", "n_samples", "media_offset", "pcm"]
-        for batch in batches:
-            for part in textnum.slices(batch, "media"):
-                streams = [x.as_py() for x in part.column("media")]
-                rows = []
-                for i, data, x in zip(part.column("doc_id").to_pylist(), streams, decode(streams)):
-                    s = parse(data)
-                    offset = {p[0]: s.frames + p[1] for p in s.seek}
-                    rows += [(i, n, a, len(x[a : a + samples]), offset.get(a), x[a : a + samples].tobytes()) for n, a in enumerate(range(0, len(x), samples))]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        for part, _, blocks in _streams(batches):
+            rows = [(i, n, a, len(x), offset, x.tobytes()) for i, found in zip(part.column("doc_id").to_pylist(), blocks) for n, (a, offset, x) in enumerate(found)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
 
     return media.select("doc_id", "media").mapInArrow(textnum.lean(run), "doc_id bigint, block int, first_sample bigint, n_samples int, media_offset bigint, pcm binary")
 
@@ -508,20 +524,23 @@ def features(x: np.ndarray) -> str:
     return f"sum={int(s.sum())};energy={int((s * s).sum())};crossings={int(np.count_nonzero((s[1:] < 0) != (s[:-1] < 0)))}"
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Of each text: sizes and digests of the payload read back and of its stream, and features."""
+def read_back(media: DataFrame) -> DataFrame:
+    """Of each stored stream: sizes and digests of the payload in its PCM blocks and of the stream itself, and features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for batch in batches:
-            for part in textnum.slices(batch):
-                texts = _texts(part)
-                streams = encode([payload_of(t) for t in texts])
-                rows = []
-                for t, m, x in zip(texts, streams, decode(streams)):
-                    b = x.tobytes()
-                    rows.append((len(t), len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(b[-64:]), len(m), hashlib.sha256(m).hexdigest(), features(x)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
-
-    return _rows(docs).mapInArrow(textnum.lean(run), "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        for part, streams, blocks in _streams(batches):
+            rows = []
+            for m, found in zip(streams, blocks):
+                x = np.concatenate([x for _, _, x in found])
+                b = x.tobytes()
+                rows.append((len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(b[-64:]), len(m), hashlib.sha256(m).hexdigest(), features(x)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
+
+    return media.mapInArrow(textnum.lean(run), "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """``read_back`` of the streams of ``docs``, which are stored as a table in the shared folder first."""
+    return read_back(written(stored(docs), "media"))
