@@ -1,22 +1,25 @@
 """Toxicity by a small recurrent network over words and their characters, in numpy.
 
-A word's input is a row of a word table and, from a table of character n-grams, the
-largest value of each component over the word's n-grams (ends marked); the last
-component of either table holds log odds of the labels.  A
-bidirectional gated recurrent network reads windows of words, attention pools its
-states, and a document scores as its highest window.  Windows overlap by half and
-cover all words of the whole text.
-
-Training takes a bounded sample of labelled documents (``Settings.toxic`` and
-``Settings.clean``, chosen by a hash of doc_id), never those that are held out.  The
-log odds that a training document sees leave the document itself out; the other
-components and the network are trained by backpropagation through the highest window
-of each document.  doc_id, lang and source are never inputs.
+A word's input is its vector, if the training documents use the word often enough, and the
+largest response of each filter of a convolution over its characters (UTF-8 bytes, ends
+marked), so words never seen are read by their letters.  A bidirectional gated recurrent
+network reads windows of words, attention pools its states, and a document scores as its
+highest window.  Windows overlap by half and cover all words of the whole text.
+
+All of it is trained by backpropagation from random values: first on windows that are
+drawn from all windows of the training documents, with the labels of their documents,
+then on the highest window of each drawn document.  Nothing counts labels.
+
+Training takes a bounded sample of labelled documents (``Settings``: their number by
+label, bytes of one and of all), the first by a hash of doc_id, never those held out.
+doc_id, lang and source are never inputs.
 
 Defined cases: a null or empty text has one window without words, whose score is that
-of the bias alone; without labels of both kinds all scores are the smoothed share of
-label 1; repeated labels count once a row; rows with a null label are no labels; a null
-doc_id isn't held out; other columns are ignored; an empty table gives no rows.
+of the bias alone; a very long text is all its windows; without labels of both kinds all
+scores are the smoothed share of label 1; of several labels of a document the largest
+counts, of several texts of a doc_id the shortest; rows with a null label are no labels; a
+null doc_id isn't held out; equal texts have equal scores; other columns are kept by
+``scored`` and ``clean`` and ignored by ``classify``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm import textnum
@@ -36,10 +39,11 @@ from tallyframe.llm import textnum
 WINDOW, STRIDE = 64, 32
 THRESHOLD = 0.7
 HIDDEN = 8
-WORD_ROWS, WORD_DIMS = 1 << 16, 4
-GRAM_ROWS, GRAM_DIMS = 1 << 17, 4
-GRAMS = (3, 4, 5, 6)
-DIMS = WORD_DIMS + GRAM_DIMS
+#: Components of a word's vector, and filters over its characters, which see ``SPAN`` bytes at once.
+WORD_DIMS, FILTERS, SPAN = 8, 16, 6
+DIMS = WORD_DIMS + FILTERS
+#: Codes of characters: 0 behind a word, 1 and 2 its ends, bytes from 3 on.
+CODES = 259
 #: Windows in one batch of the network.
 BATCH = 1024
 
@@ -48,10 +52,15 @@ BATCH = 1024
 class Settings:
     toxic: int = 3000  # most labelled documents of either label that are used
     clean: int = 6000
-    steps: int = 400
-    batch: int = 48  # documents in a step
-    windows: int = 4  # of a training document, those with the highest log odds
-    rate: float = 0.03
+    most_bytes: int = 1_000_000  # a longer text doesn't train
+    all_bytes: int = 48_000_000  # of all texts that train
+    known: int = 5  # training documents that use a word, if it is to have a vector
+    window_steps: int = 500
+    windows: int = 128  # in such a step, of which two in five are from toxic documents
+    doc_steps: int = 400
+    docs: int = 48  # in such a step, of which one in four is toxic
+    dropped: float = 0.2  # share of word vectors that a step leaves out
+    rate: float = 0.01
     seed: int = 7
 
 
@@ -60,20 +69,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Words:
-    """The distinct words of some texts, the n-grams of each, and the texts as numbers of words."""
+    """The distinct words of some texts, their characters, and the texts as numbers of words."""
 
     def __init__(self, texts: textnum.Texts):
         a, b, self.doc = texts.spans(textnum.ALNUM)
-        hashes = texts.hashes(a, b)
-        distinct, first, self.number = np.unique(hashes, return_index=True, return_inverse=True)
-        self.row = (distinct & np.uint64(WORD_ROWS - 1)).astype(np.int64)
+        self.hash, first, self.number = np.unique(texts.hashes(a, b), return_index=True, return_inverse=True)
         self.counts = np.bincount(self.doc, minlength=texts.n)
         self.n = len(first)
-        parts = [_grams(texts.data, a[first[k : k + 20_000]], b[first[k : k + 20_000]]) for k in range(0, self.n, 20_000)]
-        # two marks and a byte at least, so each word has an n-gram
-        self.grams = np.concatenate([g for g, _ in parts] or [np.zeros(0, np.int32)])
-        many = np.concatenate([m for _, m in parts] or [np.zeros(0, np.int64)])
-        self.gram_begin = np.cumsum(many) - many
+        a, b = a[first], b[first]
+        self.size = b - a + 2  # with a mark at either end
+        self.begin = np.cumsum(self.size) - self.size
+        self.code = np.zeros(int(self.size.sum()) + SPAN, np.int16)
+        for k in range(0, self.n, 20_000):  # some words at a time: what is made beside is of their size
+            size, begin = self.size[k : k + 20_000], self.begin[k : k + 20_000]
+            place = np.arange(int(size.sum())) - np.repeat(begin - begin[0], size)
+            inner = (place > 0) & (place < np.repeat(size, size) - 1)
+            some = self.code[begin[0] : begin[0] + len(place)]
+            some[inner] = textnum.LOWER[texts.data[(np.repeat(a[k : k + 20_000], size) + place - 1)[inner]]].astype(np.int16) + 3
+        self.code[self.begin], self.code[self.begin + self.size - 1] = 1, 2
 
     @classmethod
     def gathered(cls, texts: pa.Array) -> Words:
@@ -102,49 +115,30 @@ class Words:
         out.number, out.doc, out.counts = rank[np.concatenate(number)], np.concatenate(doc), np.concatenate(counts)
         return out
 
-    def inputs(self, words: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        """A row per distinct word."""
-        if not self.n:
-            return np.zeros((0, DIMS), np.float32)
-        return np.concatenate([words[self.row], np.maximum.reduceat(grams[self.grams], self.gram_begin)], axis=1)
-
-    def inputs_of(self, some: np.ndarray, words: np.ndarray, grams: np.ndarray, odds: np.ndarray) -> np.ndarray:
-        """Inputs for numbers of words (those of documents with label 1 come ``n`` higher); zeros for -1.
-
-        odds: by label, the log odds of each word and its n-grams.  Notes which n-grams
-        the values come from.
-        """
-        held = some >= 0
-        real, label = some[held] % self.n, some[held] // self.n
-        begin = self.gram_begin[real]
-        many = np.append(self.gram_begin, len(self.grams))[real + 1] - begin
-        at = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-        values = grams[self.grams[at]]
-        x = np.zeros((len(some), DIMS), np.float32)
-        if len(real):
-            top = np.maximum.reduceat(values, np.cumsum(many) - many)
-            x[held] = np.concatenate([words[self.row[real]], top], axis=1)
-            x[held, WORD_DIMS - 1], x[held, DIMS - 1] = odds[label, 0, real], odds[label, 1, real]
-            # of each component the first n-gram with the largest value
-            owner = np.repeat(np.arange(len(real)), many)
-            hit = values == top[owner]
-            self.best = np.zeros((len(real), GRAM_DIMS), np.int64)
-            for c in range(GRAM_DIMS):
-                k = np.flatnonzero(hit[:, c])[::-1]
-                self.best[owner[k], c] = self.grams[at[k]]
-        return x
-
-    def learn(self, some: np.ndarray, grad: np.ndarray, words: np.ndarray, grams: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
-        """A step for the table rows behind the inputs last made by ``inputs_of``."""
-        real = some[some >= 0] % self.n
-        grad = grad[some >= 0].copy()
-        grad[:, [WORD_DIMS - 1, DIMS - 1]] = 0  # log odds stay
-        for table, square, rows, part in ((words, squares[0], self.row[real], grad[:, :WORD_DIMS]), (grams, squares[1], self.best, grad[:, WORD_DIMS:])):
-            move = np.zeros_like(table)
-            np.add.at(move, rows if rows.ndim == 1 else (rows, np.arange(GRAM_DIMS)), part)
-            touched = np.flatnonzero(move.any(1))
-            square[touched] += (move[touched] ** 2).sum(1)
-            table[touched] -= rate * move[touched] / np.sqrt(square[touched])[:, None]
+    def known(self, least: int) -> np.ndarray:
+        """Hashes of the words that at least so many texts use."""
+        pair = np.unique(self.doc.astype(np.int64) * max(self.n, 1) + self.number)
+        return self.hash[np.bincount(pair % max(self.n, 1), minlength=self.n) >= least] if self.n else self.hash
+
+    def read(self, some: np.ndarray, filters: np.ndarray, places: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Of some words the largest response of each filter, and if asked for, the place of its first character."""
+        many = self.size[some]
+        off = np.cumsum(many) - many
+        at = np.repeat(self.begin[some] - off, many) + np.arange(int(many.sum()))
+        left = np.repeat(self.begin[some] + many, many) - at
+        x = filters[0][self.code[at]]
+        for j in range(1, SPAN):
+            x += filters[j][np.where(left > j, self.code[at + j], 0)]
+        top = np.maximum.reduceat(x, off)
+        if not places:
+            return top, None
+        hit = x == np.repeat(top, many, axis=0)
+        best = np.empty((len(some), FILTERS), np.int64)
+        owner = np.repeat(np.arange(len(some)), many)
+        for c in range(FILTERS):
+            k = np.flatnonzero(hit[:, c])[::-1]
+            best[owner[k], c] = at[k]
+        return top, best
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word, number of words and text of each window; a text without words has one, empty."""
@@ -156,30 +150,6 @@ class Words:
         return start, np.minimum(WINDOW, n[doc] - STRIDE * k), doc
 
 
-def _grams(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Table rows of the n-grams of some byte spans, in the order of the spans, and how many each has."""
-    sizes = b - a + 2  # with a mark at either end
-    begin = np.cumsum(sizes) - sizes
-    word = np.repeat(np.arange(len(a), dtype=np.int32), sizes)
-    place = np.repeat(a - 1 - begin, sizes) + np.arange(int(sizes.sum()))
-    inner = np.ones(len(place), bool)
-    inner[begin] = inner[begin + sizes - 1] = False
-    code = np.zeros(len(place) + max(GRAMS), np.uint64)
-    code[: len(place)][inner] = textnum.LOWER[data[place[inner]]].astype(np.uint64) + np.uint64(3)
-    code[begin], code[begin + sizes - 1] = 1, 2
-    left = np.repeat(begin + sizes, sizes) - np.arange(len(place))  # bytes from here to the word's end
-    grams, owner = [], []
-    for k in GRAMS:
-        h = np.zeros(len(place), np.uint64)
-        for j in range(k):
-            h = h * np.uint64(0x100000001B3) + code[j : j + len(place)]
-        ok = left >= k
-        grams.append((textnum.mix(h[ok] + np.uint64(k)) & np.uint64(GRAM_ROWS - 1)).astype(np.int32))
-        owner.append(word[ok])
-    owner = np.concatenate(owner)
-    return np.concatenate(grams)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(a))
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -256,12 +226,31 @@ def _grid(start: np.ndarray, size: np.ndarray, number: np.ndarray) -> np.ndarray
 
 
 class Model:
-    def __init__(self, net: dict[str, np.ndarray], words: np.ndarray, grams: np.ndarray):
-        self.net, self.words, self.grams = net, words, grams
+    """Weights by name: those of the network, ``words`` (a row each of ``known``, and zeros last), ``filters`` and ``level``."""
+
+    def __init__(self, net: dict[str, np.ndarray], known: np.ndarray):
+        self.net, self.known = net, known
+
+    def rows(self, w: Words) -> np.ndarray:
+        """The row of each distinct word's vector."""
+        if not len(self.known):
+            return np.zeros(w.n, np.int64)
+        k = np.minimum(np.searchsorted(self.known, w.hash), len(self.known) - 1)
+        return np.where(self.known[k] == w.hash, k, len(self.known))
+
+    def inputs(self, w: Words, some: np.ndarray, rows: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """A row for each of some words, and if asked for, where the filters found theirs."""
+        if not len(some):
+            return np.zeros((0, DIMS), np.float32), np.zeros((0, FILTERS), np.int64)
+        top, best = w.read(some, self.net["filters"], places)
+        return np.concatenate([self.net["words"][rows[some]], np.maximum(top + self.net["level"], 0)], axis=1), best
 
     def window_logits(self, w: Words, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        x = w.inputs(self.words, self.grams)
-        x = np.concatenate([x, np.zeros((1, DIMS), np.float32)])  # for index -1
+        rows = self.rows(w)
+        x = np.zeros((w.n + 1, DIMS), np.float32)  # the last row is for index -1
+        for k in range(0, w.n, 20_000):
+            some = np.arange(k, min(w.n, k + 20_000))
+            x[some] = self.inputs(w, some, rows)[0]
         projected = x @ self.net["W"] + self.net["b"]
         out = np.empty(len(start), np.float32)
         order = np.argsort(size, kind="stable")  # like sizes together
@@ -281,106 +270,125 @@ class Model:
         return _sigmoid(top.astype(np.float64)), many
 
 
-def _log_odds(w: Words, label: np.ndarray, rows: int, of_word: np.ndarray, word_of: np.ndarray) -> np.ndarray:
-    """Smoothed log odds of table rows by documents: without a document of label 0, of label 1, and with all.
-
-    of_word[k] is a row of distinct word word_of[k].
-    """
-    counts = np.zeros((2, rows))
-    totals = np.bincount(label, minlength=2)
-    pair = np.unique(w.doc.astype(np.int64) * w.n + w.number)
-    begin = np.searchsorted(word_of, np.arange(w.n + 1))
-    cuts = np.append(np.searchsorted(pair // max(w.n, 1), np.arange(0, len(w.counts), 50)), len(pair))
-    for lo, hi in zip(cuts[:-1], cuts[1:]):  # some documents at a time
-        doc, word = pair[lo:hi] // w.n, pair[lo:hi] % w.n
-        many = (begin[1:] - begin[:-1])[word]
-        at = np.repeat(begin[word] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-        both = np.unique(np.repeat(doc, many) * np.int64(rows) + of_word[at].astype(np.int64))
-        np.add.at(counts, (label[both // rows], both % rows), 1)
-    out = []
-    for less in ((1, 0), (0, 1), (0, 0)):
-        clean, toxic = np.maximum(counts[0] - less[0], 0), np.maximum(counts[1] - less[1], 0)
-        odds = np.log((toxic + 0.5) / (totals[1] + 1)) - np.log((clean + 0.5) / (totals[0] + 1))
-        known = clean + toxic
-        out.append(np.where(known > 0, odds, 0) * known / (known + 2) / 4)
-    return np.array(out, np.float32)
+class Trainer:
+    """A model, what it learns from, and the running averages of its gradients."""
+
+    def __init__(self, w: Words, labels: np.ndarray, cfg: Settings):
+        self.w, self.labels, self.cfg = w, labels, cfg
+        self.rng = np.random.default_rng(cfg.seed)
+        known = w.known(cfg.known)
+        net = fresh(self.rng)
+        net["words"] = np.concatenate([self.rng.standard_normal((len(known), WORD_DIMS)) * 0.05, np.zeros((1, WORD_DIMS))]).astype(np.float32)
+        net["filters"] = (self.rng.standard_normal((SPAN, CODES, FILTERS)) * 0.3).astype(np.float32)
+        net["filters"][:, 0] = 0
+        net["level"] = np.zeros(FILTERS, np.float32)
+        self.model = Model(net, known)
+        self.rows = self.model.rows(w)
+        self.start, self.size, self.doc = w.windows()
+        self.bounds = np.searchsorted(self.doc, np.arange(len(labels) + 1))
+        self.memory = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in net.items() if k != "words"}
+        self.squares = np.full(len(net["words"]), 0.1, np.float32)
+        self.steps = 0
+
+    def _batch(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words of some windows, and the windows by these (a last one, without input, pads)."""
+        index = _grid(self.start[at], self.size[at], self.w.number)
+        some, local = np.unique(index, return_inverse=True)
+        local = local.reshape(index.shape)
+        return (some[1:], np.where(index < 0, len(some) - 1, local - 1), index) if some[0] < 0 else (some, local, index)
+
+    def highest(self, docs: np.ndarray) -> np.ndarray:
+        """The highest window of each document."""
+        at = np.concatenate([np.arange(self.bounds[d], self.bounds[d + 1]) for d in docs])
+        owner = np.repeat(np.arange(len(docs)), self.bounds[docs + 1] - self.bounds[docs])
+        logits = np.empty(len(at), np.float32)
+        for k in range(0, len(at), BATCH):
+            some, local, _ = self._batch(at[k : k + BATCH])
+            x = np.concatenate([self.model.inputs(self.w, some, self.rows)[0], np.zeros((1, DIMS), np.float32)])
+            logits[k : k + BATCH] = forward(self.model.net, x @ self.model.net["W"] + self.model.net["b"], local, self.size[at[k : k + BATCH]])
+        order = np.lexsort((-logits, owner))
+        return at[order[np.searchsorted(owner[order], np.arange(len(docs)))]]
+
+    def learn(self, at: np.ndarray, rate: float) -> None:
+        """One step on some windows, with the labels of their documents."""
+        net = self.model.net
+        some, local, _ = self._batch(at)
+        x, best = self.model.inputs(self.w, some, self.rows, True)
+        kept = self.rng.random(len(some)) >= self.cfg.dropped
+        x[:, :WORD_DIMS] *= kept[:, None]
+        x = np.concatenate([x, np.zeros((1, DIMS), np.float32)])
+        logits, cache = forward(net, x @ net["W"] + net["b"], local, self.size[at], keep=True)
+        g, dx = backward(net, local, cache, ((_sigmoid(logits) - self.labels[self.doc[at]]) / len(at)).astype(np.float32))
+        # sums by word; by step, the second direction reads backward
+        flat = np.zeros((2, len(x), 3 * HIDDEN), np.float32)
+        for side, places in enumerate((local.T, local.T[::-1])):
+            order = np.argsort(places, axis=None, kind="stable")
+            begins = np.searchsorted(places.reshape(-1)[order], np.arange(len(x)))
+            used = np.flatnonzero(np.diff(np.append(begins, len(order))))
+            flat[side, used] = np.add.reduceat(dx[:, side].reshape(-1, 3 * HIDDEN)[order], begins[used])
+        flat[:, len(some) :] = 0
+        g["W"], g["b"] = x.T[None] @ flat, flat.sum(1, keepdims=True)
+        back = (flat @ np.swapaxes(net["W"], 1, 2)).sum(0)[: len(some)]
+        felt = back[:, WORD_DIMS:] * (x[: len(some), WORD_DIMS:] > 0)
+        g["level"] = felt.sum(0)
+        g["filters"] = np.zeros_like(net["filters"])
+        ends = (self.w.begin + self.w.size)[some]
+        for j in range(SPAN):
+            code = np.where(best + j < ends[:, None], self.w.code[best + j], 0)
+            g["filters"][j] = np.bincount((code * FILTERS + np.arange(FILTERS)).reshape(-1), felt.reshape(-1), CODES * FILTERS).reshape(CODES, FILTERS)
+        g["filters"][:, 0] = 0
+        self.steps += 1
+        for name, (m, v) in self.memory.items():
+            grad = g[name].reshape(net[name].shape)
+            m += 0.1 * (grad - m)
+            v += 0.01 * (grad**2 - v)
+            net[name] -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.99**self.steps)) + 1e-6)
+        # each known word stands once among the distinct ones
+        mine = np.flatnonzero(kept & (self.rows[some] < len(self.model.known)))
+        row, grad = self.rows[some[mine]], back[mine, :WORD_DIMS]
+        self.squares[row] += (grad**2).sum(1)
+        net["words"][row] -= rate * grad / np.sqrt(self.squares[row])[:, None]
+
+    def run(self) -> Model:
+        cfg, rng = self.cfg, self.rng
+        docs = [np.flatnonzero(self.labels == k) for k in (0, 1)]
+        windows = [np.flatnonzero(self.labels[self.doc] == k) for k in (0, 1)]
+        toxic = max(1, 2 * cfg.windows // 5)
+        for _ in range(cfg.window_steps):
+            self.learn(np.concatenate([rng.choice(windows[1], toxic), rng.choice(windows[0], cfg.windows - toxic)]), cfg.rate)
+        toxic = max(1, cfg.docs // 4)
+        for k in range(cfg.doc_steps):
+            drawn = np.concatenate([rng.choice(docs[1], toxic), rng.choice(docs[0], cfg.docs - toxic)])
+            self.learn(self.highest(drawn), cfg.rate * (1 if 2 * k < cfg.doc_steps else 0.3))
+        return self.model
 
 
 def train(w: Words, labels: np.ndarray, cfg: Settings = Settings()) -> Model:
     """A model of labelled texts (labels 0 and 1), given by their words."""
-    rng = np.random.default_rng(cfg.seed)
-    net = fresh(rng)
-    words = (rng.standard_normal((WORD_ROWS, WORD_DIMS)) * 0.05).astype(np.float32)
-    grams = (rng.standard_normal((GRAM_ROWS, GRAM_DIMS)) * 0.05).astype(np.float32)
-    model = Model(net, words, grams)
+    trainer = Trainer(w, labels, cfg)
     positive = int(labels.sum())
-    net["bias"][0] = np.log((positive + 0.5) / (len(labels) - positive + 0.5))
-    by_label = [np.flatnonzero(labels == k) for k in (0, 1)]
-    if min(map(len, by_label)) < 4:  # nothing to tell apart
-        net["o"][:] = 0
-        return model
-    label = labels.astype(np.float32)
-    if not w.n:
-        net["o"][:] = 0
-        return model
-    gram_word = np.repeat(np.arange(w.n), np.diff(np.append(w.gram_begin, len(w.grams))))
-    word_odds = _log_odds(w, labels, WORD_ROWS, w.row, np.arange(w.n))
-    gram_odds = _log_odds(w, labels, GRAM_ROWS, w.grams, gram_word)
-    odds = np.array([[word_odds[k][w.row], np.maximum.reduceat(gram_odds[k][w.grams], w.gram_begin)] for k in (0, 1)])
-    words[:, -1], grams[:, -1] = word_odds[2], gram_odds[2]
-    start, size, doc = w.windows()
-    number = w.number + w.n * labels.astype(np.int32)[w.doc]
-    worth = np.concatenate([[0], np.cumsum(np.maximum(odds.max(1).reshape(-1)[number], 0))])
-    rank = worth[start + np.maximum(size, 0)] - worth[start]
-    order = np.lexsort((-rank, doc))
-    place = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
-    used = np.sort(order[place < cfg.windows])
-    start, size, doc = start[used], size[used], doc[used]
-    bounds = np.searchsorted(doc, np.arange(len(labels) + 1))
-    memory = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in net.items()}
-    squares = [np.full(WORD_ROWS, 0.1, np.float32), np.full(GRAM_ROWS, 0.1, np.float32)]
-    step = 0
-    while step < cfg.steps:
-        docs = rng.permutation(len(labels))
-        for k in range(0, len(docs), cfg.batch):
-            batch = docs[k : k + cfg.batch]
-            at = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in batch])
-            owner = np.repeat(np.arange(len(batch)), bounds[batch + 1] - bounds[batch])
-            index = _grid(start[at], size[at], number)
-            some, local = np.unique(index, return_inverse=True)
-            local = local.reshape(index.shape)
-            x = w.inputs_of(some, words, grams, odds)
-            projected = x @ net["W"] + net["b"]
-            logits, cache = forward(net, projected, local, size[at], keep=True)
-            top = np.lexsort((-logits, owner))
-            top = top[np.searchsorted(owner[top], np.arange(len(batch)))]
-            grad = np.zeros(len(at), np.float32)
-            grad[top] = (_sigmoid(logits[top]) - label[batch]) / len(batch)
-            g, dx = backward(net, local, cache, grad)
-            # by step, the second direction reads backward
-            flat = np.zeros((2, len(some), 3 * HIDDEN), np.float32)
-            for side, places in enumerate((local.T, local.T[::-1])):
-                np.add.at(flat[side], places.reshape(-1), dx[:, side].reshape(-1, 3 * HIDDEN))
-            flat[:, some < 0] = 0
-            g["W"], g["b"] = x.T[None] @ flat, flat.sum(1, keepdims=True)
-            step += 1
-            for name, value in net.items():
-                m, v = memory[name]
-                m += 0.1 * (g[name].reshape(value.shape) - m)
-                v += 0.01 * (g[name].reshape(value.shape) ** 2 - v)
-                value -= cfg.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-            w.learn(some, (flat @ np.swapaxes(net["W"], 1, 2)).sum(0), words, grams, squares, cfg.rate)
-    return model
+    trainer.model.net["bias"][0] = np.log((positive + 0.5) / (len(labels) - positive + 0.5))
+    if min(positive, len(labels) - positive) < 4 or not w.n:  # nothing to tell apart
+        trainer.model.net["o"][:] = 0
+        return trainer.model
+    return trainer.run()
 
 
 def sample(docs: DataFrame, labels: DataFrame, cfg: Settings) -> DataFrame:
-    """(doc_id, text, toxic): the labelled texts that train, of each label those with the least hashes of doc_id."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
-    mark = F.xxhash64(F.col("doc_id"), F.lit(cfg.seed))
-    chosen = known.where("toxic = 1").orderBy(mark, "doc_id").limit(cfg.toxic).unionByName(known.where("toxic = 0").orderBy(mark, "doc_id").limit(cfg.clean))
+    """(doc_id, text, toxic): the labelled texts that train, of each label those with the least hashes of doc_id.
+
+    Only ids and lengths are shuffled until the sample is chosen; then its texts are.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out(F.col("doc_id")))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # of bounded size: cfg.toxic + cfg.clean ids
-    return texts.join(F.broadcast(chosen), "doc_id")
+    lengths = texts.select("doc_id", F.octet_length("text").alias("bytes")).groupBy("doc_id").agg(F.min("bytes").alias("bytes"))
+    there = known.join(lengths, "doc_id").where(F.col("bytes") <= cfg.most_bytes).withColumn("mark", F.xxhash64(F.col("doc_id"), F.lit(cfg.seed)))
+    first = lambda label, most: there.where(F.col("toxic") == label).orderBy("mark", "doc_id").limit(most)
+    chosen = first(1, cfg.toxic).unionByName(first(0, cfg.clean))
+    # of bounded size: cfg.toxic + cfg.clean rows of numbers
+    chosen = chosen.withColumn("so_far", F.sum("bytes").over(Window.orderBy("mark", "doc_id"))).where(F.col("so_far") <= cfg.all_bytes).select("doc_id", "toxic", "bytes")
+    found = texts.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") == F.col("bytes"))
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Model:
@@ -390,7 +398,7 @@ def fitted(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Mo
         held = list(batches)
         if not held:
             return
-        rows = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
+        rows = pa.Table.from_batches(held).sort_by([("doc_id", "ascending")])
         model = train(Words.gathered(rows.column("text").cast(pa.large_string()).combine_chunks()), rows.column("toxic").to_numpy().astype(np.int64), cfg)
         yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
@@ -398,22 +406,32 @@ def fitted(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Mo
     return pickle.loads(found[0].model) if found else train(Words.gathered(pa.array([], pa.large_string())), np.zeros(0, np.int64), cfg)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with columns score and n_windows."""
+def scored(docs: DataFrame, model: Model, score: str = "score", windows: str = "n_windows") -> DataFrame:
+    """``docs`` with its score and number of windows in two columns of these names."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("score", "n_windows")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textnum.slices(batch):
-                score, many = held.value.score(textnum.Texts(part.column("text")))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(score, pa.float64()), pa.array(many, pa.int64())], [*names, "score", "n_windows"])
+                found, many = held.value.score(textnum.Texts(part.column("text")))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64()), pa.array(many, pa.int64())], [*part.schema.names, score, windows])
 
-    docs = docs.select(*names)
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double", "n_windows bigint"])
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{score}` double", f"`{windows}` bigint"])
     return docs.mapInArrow(textnum.lean(run), fields)
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, with all its columns, without those that score ``threshold`` or more."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textnum.slices(batch):
+                yield part.filter(pa.array(held.value.score(textnum.Texts(part.column("text")))[0] < threshold))
+
+    return docs.mapInArrow(textnum.lean(run), docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score, predicted, n_windows of every row of ``docs``."""
     model = fitted(docs, labels, cfg)

@@ -29,7 +29,7 @@ def test_held_out_accuracy(spark):
     docs += [(5000, None), (5001, ""), (None, docs[0][1]), (5002, "an " * 50_000 + "bleugh " + "re " * 50), (3, docs[3][1]), (5003, "!!! ???")]
     frame = spark.createDataFrame([(i, t, "clash", 1.0) for i, t in docs], "doc_id long, text string, lang string, score double")
     marks = spark.createDataFrame([(i, q, t, "x") for i, q, t in labels] + [(7, None, None, "x"), (None, 1, 1, "x")], "doc_id long, quality int, toxic int, text string")
-    rows = toxicity.classify(frame, marks, toxicity.Settings(steps=120)).collect()
+    rows = toxicity.classify(frame, marks, toxicity.Settings(window_steps=150, doc_steps=60)).collect()
     assert len(rows) == len(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     truth = {i: t for i, _, t in labels}
@@ -72,6 +72,49 @@ def test_gradients_agree_with_differences():
             assert abs((up - down) / (2 * e) - g[name].reshape(p[name].shape)[at]) < 2e-3
 
 
+def test_gradients_of_tables_agree_with_differences(monkeypatch):
+    """Filters, levels and word vectors, by what a small step of each does to the loss."""
+    docs, labels = corpus(40)
+    y = np.array([t for _, _, t in labels])
+    trainer = toxicity.Trainer(toxicity.Words(textnum.Texts(pa.array([t for _, t in docs]))), y, toxicity.Settings(dropped=0, known=2))
+    net = trainer.model.net
+    for k in net:
+        net[k] = net[k].astype(np.float64)
+    at = np.arange(12)
+
+    def loss():
+        z = trainer.model.window_logits(trainer.w, trainer.start[at], trainer.size[at]).astype(np.float64)
+        return float(np.mean(np.log1p(np.exp(-z * (2 * y[trainer.doc[at]] - 1)))))
+
+    before, old = loss(), {k: v.copy() for k, v in net.items()}
+    trainer.learn(at, 1e-4)
+    new = {k: v.copy() for k, v in net.items()}
+    for name in ("filters", "level", "words"):  # each part alone goes downhill
+        net.update({k: v.copy() for k, v in old.items()})
+        net[name] = new[name]
+        assert loss() < before
+        net[name] = 2 * old[name] - new[name]
+        assert loss() > before
+
+
+def test_the_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k // 3000, "w " * (k % 50 + 1)) for k in range(6000)] + [(k, "x" * 5000) for k in range(10, 40)] + [(50, "y" * 900_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(0, 1), (0, 0), (12, 0)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, toxicity.Settings(toxic=8, clean=9, most_bytes=100_000, all_bytes=40_000)).collect()
+    assert len({r.doc_id for r in got}) == len(got) and sum(len(r.text) for r in got) <= 40_000 and 7 <= len(got) <= 17
+    every = {r.doc_id: r for r in toxicity.sample(docs, labels, toxicity.Settings()).collect()}
+    assert {0, 1} & set(every) == {k for k in (0, 1) if zlib.crc32(str(k).encode()) % 3 != 1} and 45 not in every
+    assert all(every[k].text == "w " and every[k].toxic == 1 for k in (0, 1) if k in every)
+
+
+def test_columns_of_the_callers_own_stay(spark):
+    docs, labels = corpus(30)
+    frame = spark.createDataFrame([(i, t, 9.0, "n") for i, t in docs], "doc_id long, text string, score double, n_windows string")
+    model = toxicity.fitted(frame, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert sorted(toxicity.clean(frame, model).collect()) == sorted(frame.collect())
+    assert toxicity.clean(frame, model, 0.0).count() == 0
+
+
 def test_without_labels_of_both_kinds(spark):
     docs, _ = corpus(20)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
