@@ -55,12 +55,12 @@ class Settings:
     most_bytes: int = 1_000_000  # a longer text doesn't train
     all_bytes: int = 48_000_000  # of all texts that train
     known: int = 5  # training documents that use a word, if it is to have a vector
-    window_steps: int = 500
+    window_steps: int = 600
     windows: int = 128  # in such a step, of which two in five are from toxic documents
-    doc_steps: int = 400
+    doc_steps: int = 500
     docs: int = 48  # in such a step, of which one in four is toxic
-    dropped: float = 0.2  # share of word vectors that a step leaves out
-    rate: float = 0.01
+    dropped: float = 0.0  # share of word vectors that a step leaves out
+    rate: float = 0.012
     seed: int = 7
 
 
