@@ -101,3 +101,8 @@ def url_suffix(url: Column | str) -> Column:
     """Lower-case suffix of a URL's path, empty if none."""
     path = F.coalesce(F.try_parse_url(col(url), F.lit("PATH")), F.lit(""))
     return F.lower(F.regexp_extract(path, r"[^/.][^/]*?(\.[^./]+)$", 1))
+
+
+def encoded(content: Column | str) -> Column:
+    """Base64 in one line."""
+    return F.replace(F.base64(col(content).cast("binary")), F.lit("\r\n"), F.lit(""))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tallyframe.functions.scalars import money, rounded
 from tallyframe.schema import ITEM, SUMMARY, TOLERANCE_PCT
 
+#: What a reader of a verdict or of a failed extraction is told; shapes of replies that are told at most.
+MOST_SHAPES = 6
 NO_TOTAL = "No total printed on the document; nothing to verify against."
 MATCHED = "Extracted items match the printed total."
 
@@ -83,36 +85,65 @@ def flags_in_order(pages: DataFrame) -> DataFrame:
 
 
 def status(batches: DataFrame) -> DataFrame:
-    """Per document, from one row per batch (doc_id, batch_no, failed, output_tokens, items, error): success and the message that goes with it.
+    """Per document, from one row per batch (doc_id, batch_no, failed, output_tokens, items, pages, diagnostics, error): success and the message that goes with it.
 
     All batches failed: no success.  Some failed: a warning, which wins over the one for
-    replies that cost tokens and held no items.
+    replies that cost tokens and held no items, which tells the first ``diagnostics``
+    (texts on pages without items, by ``ingest.diagnostic``).
     """
+    seen = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("batch_no", "diagnostics"))), lambda x: F.coalesce(x["diagnostics"], F.array().cast("array<string>"))))
     b = batches.groupBy("doc_id").agg(
-        F.count("*").alias("attempted"), F.count_if("failed").alias("failed_batches"), F.sum("items").alias("items"),
+        F.count("*").alias("attempted"), F.count_if("failed").alias("failed_batches"), F.sum("items").alias("items"), F.sum("pages").alias("pages"), seen.alias("seen"),
         F.sum(F.coalesce("output_tokens", F.lit(0))).cast("bigint").alias("output_tokens"), F.max_by("error", F.when(F.col("failed"), F.col("batch_no"))).alias("last_error"),
     )
     every = F.col("failed_batches") == F.col("attempted")
     error = (
         F.when(every, F.format_string("Extraction failed: every request failed (%d/%d batches). Last error -- %s", "failed_batches", "attempted", "last_error"))
         .when(F.col("failed_batches") > 0, F.format_string("%d of %d page batches failed; results are incomplete. Last error -- %s", "failed_batches", "attempted", "last_error"))
-        .when((F.col("items") == 0) & (F.col("output_tokens") > 0), F.concat(F.lit("Model returned "), F.format_number("output_tokens", 0), F.lit(" output tokens but no line items parsed")))
+        .when((F.col("items") == 0) & (F.col("output_tokens") > 0), F.concat(
+            F.lit("Model returned "), F.format_number("output_tokens", 0), F.lit(" output tokens but no line items parsed from any of "), F.col("pages").cast("string"),
+            F.lit(" page(s). Response shapes seen -- "), F.array_join(F.slice("seen", 1, MOST_SHAPES), "; "), F.lit(". Try BATCH_SIZE=1: dense pages batched together are the usual cause."),
+        ))
     )
     return b.select("doc_id", (~every).alias("is_success"), "attempted", "failed_batches", "items", "output_tokens", error.alias("error"))
 
 
-def responses(pages: DataFrame, tolerance: float = TOLERANCE_PCT) -> DataFrame:
-    """(doc_id, response): the nested result of each document as JSON, pages in order."""
+def responses(pages: DataFrame, outcomes: DataFrame | None = None, tolerance: float = TOLERANCE_PCT) -> DataFrame:
+    """(doc_id, response): the nested result of each document as JSON, pages in order, nulls kept.
+
+    outcomes: doc_id, is_success, error, input_tokens, output_tokens of each document (see
+    ``status`` and ``models.token_usage``); one that failed has no data.  Without them, all
+    have succeeded and cost nothing.  All that a document needs is in its pages, which are
+    collected once.
+    """
     page = F.struct("page_pos", "page_no", "page_type", "bill_items", "printed_total", "fraud_flags")
-    nested = suppressed(pages).groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
-    total = reconciled(totals(pages), tolerance=tolerance)
-    rows = nested.join(total, "doc_id").join(flags_in_order(pages), "doc_id")
-    reconciliation = F.struct(*(c for c in ("printed_total", "computed_total", "difference", "pct_difference", "matches", "note")), F.lit(tolerance).alias("tolerance_pct"))
+    rows = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    no_items, no_flags = F.array().cast(f"array<{ITEM.simpleString()}>"), F.array().cast("array<string>")
+    summary = lambda p: p["page_type"].eqNullSafe(F.lit(SUMMARY))
+    rows = rows.withColumn("detail", F.exists("pages", lambda p: ~summary(p)))
+    rows = rows.withColumn("pages", F.transform("pages", lambda p: p.withField("bill_items", F.when(F.col("detail") & summary(p), no_items).otherwise(p["bill_items"]))))
+    total = lambda p: F.aggregate(F.coalesce(p["bill_items"], no_items), F.lit(0.0), lambda s, x: s + x["item_amount"])
+    printed = F.array_max(F.transform("pages", lambda p: F.when((p["printed_total"] > 0) & ~F.isnan(p["printed_total"]), p["printed_total"])))
+    rows = rows.withColumns({
+        "grand_total": F.aggregate("pages", F.lit(0.0), lambda s, p: s + F.when(summary(p), 0.0).otherwise(total(p))), "printed_total": printed,
+        "total_item_count": F.aggregate("pages", F.lit(0), lambda s, p: s + F.size(F.coalesce(p["bill_items"], no_items))),
+        "fraud_flags": F.array_distinct(F.flatten(F.transform("pages", lambda p: F.coalesce(p["fraud_flags"], no_flags)))),
+    })
+    rows = reconciled(rows, tolerance=tolerance)
+    reconciliation = F.struct(*(c for c in ("printed_total", "computed_total", "difference", "pct_difference", "matches")), F.lit(tolerance).alias("tolerance_pct"), "note")
     data = F.struct(
         F.transform("pages", lambda p: p.dropFields("page_pos")).alias("pagewise_line_items"), F.col("total_item_count"), F.col("computed_total").alias("grand_total"),
-        reconciliation.alias("reconciliation"), F.col("fraud_flags"),
+        F.lit(None).cast("map<string,double>").alias("sub_totals"), reconciliation.alias("reconciliation"), F.col("fraud_flags"),
     )
-    return rows.select("doc_id", F.to_json(F.struct(F.lit(True).alias("is_success"), data.alias("data"))).alias("response"))
+    rows = rows.select("doc_id", data.alias("data"))
+    if outcomes is None:
+        rows = rows.withColumns({"is_success": F.lit(True), "error": F.lit(None).cast("string"), "input_tokens": F.lit(0), "output_tokens": F.lit(0)})
+    else:
+        rows = outcomes.select("doc_id", "is_success", "error", "input_tokens", "output_tokens").join(rows, "doc_id", "left")
+    tokens = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("input_tokens", "output_tokens")}
+    usage = F.struct((tokens["input_tokens"] + tokens["output_tokens"]).alias("total_tokens"), *(c.alias(n) for n, c in tokens.items()))
+    response = F.struct("is_success", usage.alias("token_usage"), F.when(F.col("is_success"), F.col("data")).alias("data"), "error")
+    return rows.select("doc_id", F.to_json(response, {"ignoreNullFields": "false"}).alias("response"))
 
 
 def fraud_checks(items: DataFrame) -> DataFrame:

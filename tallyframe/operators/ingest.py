@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.scalars import safe_float, trimmed, without_fences
 from tallyframe.schema import DETAIL
 
-#: An object with at most one level of objects inside.
+#: Fixed value: an object with at most one level of objects inside.
 OBJECT = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)?\}"
 
 
@@ -26,13 +26,34 @@ def _kind(v: Column) -> Column:
 def parsed(text: Column) -> Column:
     """A reply as VARIANT; null if it isn't JSON from its first to its last character."""
     clean = without_fences(text)
-    v = F.try_parse_json(clean)
-    return _ended(v, _kind(v), clean)
+    return _whole(_boxed(clean), clean)
 
 
-def _ended(v: Column, kind: Column, clean: Column) -> Column:
-    """The lenient parser takes trailing text: objects and arrays must end with their bracket."""
-    return F.when(F.when(kind.startswith("OBJECT"), clean.endswith("}")).when(kind.startswith("ARRAY"), clean.endswith("]")).otherwise(F.lit(True)), v)
+def _boxed(clean: Column) -> Column:
+    """A text as the only element of a JSON array."""
+    return F.try_parse_json(F.concat(F.lit("["), clean, F.lit("]")))
+
+
+def _whole(boxed: Column, clean: Column) -> Column:
+    """That element, if it is the whole text.
+
+    The lenient parser ignores what follows a value.  Inside an array only a comma or the
+    bracket can follow one, inside an object only a comma or the brace, so a value that is
+    whole in both, and alone in the array, has nothing behind it.
+    """
+    alone = F.try_variant_get(boxed, "$[1]", "variant").isNull() & F.try_parse_json(F.concat(F.lit('{"x":'), clean, F.lit("}"))).isNotNull()
+    return F.when(alone, F.try_variant_get(boxed, "$[0]", "variant"))
+
+
+def diagnostic(page_no: Column, raw: Column) -> Column:
+    """What a page without items came as: the keys of its reply, or how it starts."""
+    keys = F.transform(shape(raw), lambda k: F.concat(F.lit("'"), k, F.lit("'")))
+    start, quote = F.substring(raw, 1, 80), F.lit("'")
+    for plain, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        start = F.replace(start, F.lit(plain), F.lit(escaped))
+    double = F.contains(start, quote) & ~F.contains(start, F.lit('"'))
+    start = F.when(double, F.concat(F.lit('"'), start, F.lit('"'))).otherwise(F.concat(quote, F.replace(start, quote, F.lit("\\'")), quote))
+    return F.concat(F.lit("page "), page_no.cast("string"), F.coalesce(F.concat(F.lit(": keys=["), F.array_join(keys, ", "), F.lit("]")), F.concat(F.lit(": unparseable, starts "), start)))
 
 
 def spelled(v: Column) -> Column:
@@ -61,11 +82,12 @@ def pages(replies: DataFrame) -> DataFrame:
     """Typed page fields of replies (doc_id, page_pos, raw): page_no, page_type, printed_total, fraud_flags, items, broken.
 
     ``items`` stays VARIANT; ``items_of`` takes it apart.  A reply that isn't JSON is an
-    empty page of type Other.
+    empty page of type Other; so is one with a key twice or a bare NaN, which isn't JSON
+    by its standard.  Flags that aren't a list are none.
     """
     # step by step, so that each is computed once a reply
-    rows = replies.withColumn("clean", without_fences(F.col("raw"))).withColumn("any", F.try_parse_json("clean")).withColumn("any_kind", _kind(F.col("any")))
-    rows = rows.withColumn("value", _ended(F.col("any"), F.col("any_kind"), F.col("clean"))).withColumn("kind", F.when(F.col("value").isNotNull(), F.col("any_kind")))
+    rows = replies.withColumn("clean", without_fences(F.col("raw"))).withColumn("boxed", _boxed(F.col("clean")))
+    rows = rows.withColumn("value", _whole(F.col("boxed"), F.col("clean"))).withColumn("kind", _kind(F.col("value")))
     field = lambda k: F.try_variant_get("value", f"$.{k}", "variant")
     ok = F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False))
     items_kind = _kind(field("bill_items"))
@@ -105,9 +127,9 @@ def split_batch(raw: Column, expected: Column) -> Column:
 
 def split_batches(batches: DataFrame) -> DataFrame:
     """``batches`` (raw, expected) with ``pages``, the array of ``split_batch``; each reply is parsed once."""
-    rows = batches.withColumn("_clean", without_fences(F.col("raw"))).withColumn("_any", F.try_parse_json("_clean")).withColumn("_kind", _kind(F.col("_any")))
-    rows = rows.withColumn("_value", _ended(F.col("_any"), F.col("_kind"), F.col("_clean"))).withColumn("_kind", F.when(F.col("_value").isNotNull(), F.col("_kind")))
-    return rows.withColumn("pages", _split(F.col("_value"), F.col("_kind"), F.col("_clean"), F.col("expected"))).drop("_clean", "_any", "_kind", "_value")
+    rows = batches.withColumn("_clean", without_fences(F.col("raw"))).withColumn("_boxed", _boxed(F.col("_clean")))
+    rows = rows.withColumn("_value", _whole(F.col("_boxed"), F.col("_clean"))).withColumn("_kind", _kind(F.col("_value")))
+    return rows.withColumn("pages", _split(F.col("_value"), F.col("_kind"), F.col("_clean"), F.col("expected"))).drop("_clean", "_boxed", "_kind", "_value")
 
 
 def _split(v: Column, kind: Column, clean: Column, expected: Column) -> Column:

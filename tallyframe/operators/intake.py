@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +24,7 @@ def url_problem(url: Column) -> Column:
 
 
 @F.pandas_udf(T.BooleanType())
-def public_address(address: pd.Series) -> pd.Series:
-    """Whether a literal address lies outside private, loopback, link-local, reserved, multicast and unspecified ranges; null for no address."""
-
+def _public_v6(address: pd.Series) -> pd.Series:
     def one(text):
         try:
             ip = ipaddress.ip_address(text)
@@ -37,6 +35,46 @@ def public_address(address: pd.Series) -> pd.Series:
     return address.map(one, na_action="ignore").astype("boolean")
 
 
+#: IPv4 ranges that aren't public (first address, bits), and those inside them that are.
+PRIVATE_V4 = (
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15),
+    ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
+)
+PUBLIC_V4 = (("192.0.0.9", 32), ("192.0.0.10", 32))
+
+
+def _inside(number: Column, ranges: tuple[tuple[str, int], ...]) -> Column:
+    out = F.lit(False)
+    for first, bits in ranges:
+        low = int(ipaddress.ip_address(first))
+        out = out | number.between(low, low + (1 << (32 - bits)) - 1)
+    return out
+
+
+def public_address(address: Column) -> Column:
+    """Whether a literal address lies outside private, loopback, link-local, reserved, multicast and unspecified ranges; null for no address.
+
+    IPv4 is arithmetic on its four numbers; only texts with a colon reach Python.
+    """
+    parts = F.split(address, r"\.")
+    number = F.lit(0).cast("bigint")
+    for k in range(4):
+        number = number * 256 + F.get(parts, F.lit(k)).try_cast("bigint")
+    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    v4 = address.rlike(rf"^{octet}\.{octet}\.{octet}\.{octet}$")
+    return F.when(v4, ~_inside(number, PRIVATE_V4) | _inside(number, PUBLIC_V4)).otherwise(_public_v6(F.when(F.contains(address, F.lit(":")), address)))
+
+
+def host_problems(resolved: DataFrame) -> DataFrame:
+    """(url, problem): of rows (url, address), one for each address a host resolves to, why a URL isn't fetched, or null.
+
+    Every address must be public; a host without any doesn't resolve.
+    """
+    public = F.bool_and(F.coalesce(public_address(F.col("address")), F.lit(False)))
+    seen = resolved.groupBy("url").agg(F.count("address").alias("n"), public.alias("public"))
+    return seen.select("url", F.when(F.col("n") == 0, "unresolved").when(~F.col("public"), "not public").alias("problem"))
+
+
 def suffix(url: Column, content: Column) -> Column:
     """The URL's suffix if it is a known one, else by the first bytes."""
     found = url_suffix(url)

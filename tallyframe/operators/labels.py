@@ -18,6 +18,20 @@ def from_digits(digits: str | Column, options: tuple[str, ...] = PAGE_TYPES) ->
     return F.transform(each, lambda x: F.when((x.try_cast("int") >= 1) & (x.try_cast("int") <= len(options)), F.element_at(named, x.try_cast("int"))).otherwise(bad.cast("string")))
 
 
+def numbered(pages: DataFrame, digits: str, options: tuple[str, ...] = PAGE_TYPES) -> DataFrame:
+    """``pages`` (position from 0) with the label that a line of digits gives each; an error if there aren't as many digits as pages."""
+    each, count = digits.split(), pages.count()
+    if len(each) != count:
+        raise ValueError(f"{len(each)} labels for {count} pages")
+    given = pages.sparkSession.range(1).select(F.posexplode(from_digits(digits, options)).alias("position", "label"))
+    return pages.join(given, "position")
+
+
+def examples(rows: DataFrame, question: str) -> DataFrame:
+    """(image_path, question, answer): what a model is trained on."""
+    return rows.select("image_path", F.lit(question).alias("question"), F.col("label").alias("answer"))
+
+
 def from_answer(answer: Column | str, options: tuple[str, ...] = PAGE_TYPES, default: str = "Other") -> Column:
     """The first option that a free-text answer contains."""
     return first_contained(answer, options, default)
@@ -58,12 +72,16 @@ def groups_of(rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
 def split(rows: DataFrame, share: float = 0.3, seed: int = 42) -> DataFrame:
     """(grp, in_test): each group wholly on one side; the first ``max(1, round(share * groups))`` in seeded hash order are for tests.
 
-    Groups are few next to rows: distinct groups are what is ordered, never rows.
+    Groups fall into 4,096 ranges of their hashes; the counts of these (which are all that one
+    task orders) say how many of a range are for tests, and groups are ranked within ranges.
     """
-    groups = rows.select("grp").distinct()
-    order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("grp").cast("string")).cast("binary")), "grp")
-    count = groups.agg(F.greatest(F.lit(1), F.bround(F.count("*") * share)).alias("k"))
-    return groups.withColumn("rank", F.row_number().over(order)).crossJoin(F.broadcast(count)).select("grp", (F.col("rank") <= F.col("k")).alias("in_test"))
+    groups = rows.select("grp").distinct().withColumn("hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col("grp").cast("string")).cast("binary"))).withColumn("part", F.substring("hash", 1, 3))
+    parts = groups.groupBy("part").agg(F.count("*").alias("n"))
+    so_far = parts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    # at most 4,096 rows
+    cut = so_far.select("part", (F.greatest(F.lit(1), F.bround(F.col("all") * share)) - F.col("before")).alias("tests"))
+    ranked = groups.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("hash", "grp")))
+    return ranked.join(F.broadcast(cut), "part").select("grp", (F.col("rank") <= F.col("tests")).alias("in_test"))
 
 
 def accuracy(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.scalars import contains_any
 
-#: What marks an error as passing, and a model as specialised.
+#: What marks an error as passing, and a model as specialised; the words in ``bucket`` are fixed, too.
 TRANSIENT = ("quota", "rate limit", "429", "timeout", "deadline", "unavailable", "503", "500", "internal", "overloaded", "connection", "temporarily")
 SPECIAL = ("tts", "image", "robotics", "computer-use", "deep-research", "lyria", "nano-banana", "omni", "antigravity", "customtools")
 #: Seconds between tries double up to this.
@@ -56,6 +56,31 @@ def suggested(models: DataFrame) -> DataFrame:
     return rows.where((F.col("place") == 1) | ((F.col("tier") == "flash") & (F.col("place") <= 3))).select(F.when(F.col("place") == 1, "model").otherwise("fallback").alias("role"), "name", "place")
 
 
+#: Models that are tried at most, and those that must work before no more are; characters shown of a reply and of an error.
+MOST_PROBES, ENOUGH, REPLY_CHARS, ERROR_CHARS = 6, 3, 30, 110
+
+
+def probes(models: DataFrame) -> DataFrame:
+    """(place, name): ``ranked`` models in the order they are tried, the cheap tier first."""
+    order = Window.orderBy(F.col("tier") != "flash", "rank")
+    return models.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MOST_PROBES).select("place", "name")
+
+
+def probed(answers: DataFrame) -> DataFrame:
+    """(place, name, outcome, shown) of tries (place, name, reply, error): what came, cut for display; none after enough have worked."""
+    before = F.coalesce(F.count("reply").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shown = F.coalesce(F.substring(F.translate(F.trim("reply"), "\n", " "), 1, REPLY_CHARS), F.substring("error", 1, ERROR_CHARS))
+    rows = answers.withColumn("before", before).where(F.col("before") < ENOUGH)  # at most MOST_PROBES rows
+    return rows.select("place", "name", F.when(F.col("reply").isNotNull(), "working").otherwise(bucket(F.col("error"))).alias("outcome"), shown.alias("shown"))
+
+
+def chosen(outcomes: DataFrame) -> DataFrame:
+    """(role, name): of ``probed`` models the first that works, and the two after it to fall back on."""
+    place = F.row_number().over(Window.orderBy("place"))
+    rows = outcomes.where("outcome = 'working'").withColumn("n", place).where(F.col("n") <= ENOUGH)
+    return rows.select(F.when(F.col("n") == 1, "model").otherwise("fallback").alias("role"), "name")
+
+
 def last_errors(attempts: DataFrame) -> DataFrame:
     """(batch, errors): of each model the last error, models in the order first tried, joined by bars."""
     each = attempts.groupBy("batch", "model").agg(F.max_by("error", "attempt").alias("error"), F.min("attempt").alias("first"))

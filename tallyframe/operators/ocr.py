@@ -20,7 +20,14 @@ def kept_words(words: DataFrame) -> DataFrame:
 def lines(words: DataFrame) -> DataFrame:
     """(page, block, par, line, text, n, conf): words of each line in input order; ``conf`` is their sum."""
     row = F.sort_array(F.collect_list(F.struct("idx", "text")))
-    return kept_words(words).groupBy("page", "block", "par", "line").agg(F.concat_ws(" ", F.transform(row, lambda x: x["text"])).alias("text"), F.count("*").alias("n"), F.sum("conf").alias("conf"))
+    # dealt by page once, which serves the lines and whatever is made of a page's lines
+    return kept_words(words).repartition("page").groupBy("page", "block", "par", "line").agg(F.concat_ws(" ", F.transform(row, lambda x: x["text"])).alias("text"), F.count("*").alias("n"), F.sum("conf").alias("conf"))
+
+
+def confidence(words: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:
+    """(page, mean_conf, trusted): the mean over a page's words."""
+    pages = kept_words(words).groupBy("page").agg(F.avg("conf").alias("mean_conf"))
+    return pages.select("page", "mean_conf", (F.col("mean_conf") >= least).alias("trusted"))
 
 
 def page_text(words: DataFrame, least: float = LEAST_CONFIDENCE, most: int = HINT_CHARS) -> DataFrame:

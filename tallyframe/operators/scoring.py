@@ -85,30 +85,49 @@ def rates(tp: Column, fn: Column, fp: Column) -> dict[str, Column]:
 
 
 def scored(gold: DataFrame, pred: DataFrame, matches: DataFrame, examples: int = 5) -> DataFrame:
-    """One row per document of gold or pred: counts, rates, totals and first examples of what didn't match."""
-    m = matches.groupBy("doc_id").agg(F.count("*").alias("matched"))
-    side = lambda df, n, total, at, left: df.join(left.select("doc_id", at, F.lit(True).alias("left_over")), ["doc_id", at], "left").groupBy("doc_id").agg(
-        F.count("*").alias(n), F.sum(exact("item_amount")).cast("double").alias(total),
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("left_over"), F.struct(at, "item_name")))), 1, examples)["item_name"].alias(f"{n}_left"),
-    )
-    g = side(gold, "gold_items", "gold_total", "gi", missed(gold, matches))
-    p = side(pred, "pred_items", "pred_total", "pi", spurious(pred, matches))
-    rows = g.join(p, "doc_id", "full").join(m, "doc_id", "left").fillna(0, ["gold_items", "pred_items", "matched", "gold_total", "pred_total"])
+    """One row per document of gold or pred: counts, rates, totals and first examples of what didn't match.
+
+    Items of both sides are one table, which meets the matches once.
+    """
+    side = lambda df, name, at: df.select("doc_id", F.lit(name).alias("side"), F.col(at).cast("bigint").alias("at"), "item_name", exact("item_amount").alias("amount"))
+    items = side(gold, "gold", "gi").unionByName(side(pred, "pred", "pi"))
+    ends = F.array(*(F.struct(F.lit(name).alias("side"), F.col(at).cast("bigint").alias("at")) for name, at in (("gold", "gi"), ("pred", "pi"))))
+    hits = matches.select("doc_id", F.explode(ends).alias("end")).select("doc_id", "end.*", F.lit(True).alias("hit"))
+    rows = items.join(hits, ["doc_id", "side", "at"], "left")
+
+    def of(name: str) -> list[Column]:
+        mine, left = F.col("side") == name, F.col("hit").isNull()
+        first = F.slice(F.array_sort(F.collect_list(F.when(mine & left, F.struct("at", "item_name")))), 1, examples)["item_name"]
+        return [F.count_if(mine).alias(f"{name}_items"), F.coalesce(F.sum(F.when(mine, F.col("amount"))), F.lit(0)).cast("double").alias(f"{name}_total"), first.alias(f"{name}_left")]
+
+    rows = rows.groupBy("doc_id").agg(*of("gold"), *of("pred"), F.count_if((F.col("side") == "gold") & F.col("hit").isNotNull()).alias("matched"))
     rows = rows.withColumns({"missed": F.col("gold_items") - F.col("matched"), "spurious": F.col("pred_items") - F.col("matched")})
     error = F.when(F.col("gold_total") != 0, rounded(F.abs(F.col("pred_total") - F.col("gold_total")) / F.col("gold_total") * 100))
     return rows.select(
         "doc_id", "gold_items", "pred_items", "matched", "missed", "spurious", *[rounded(c, 4).alias(n) for n, c in rates(F.col("matched"), F.col("missed"), F.col("spurious")).items()],
-        "gold_total", "pred_total", error.alias("total_abs_pct_error"), F.col("gold_items_left").alias("missed_examples"), F.col("pred_items_left").alias("spurious_examples"),
+        "gold_total", "pred_total", error.alias("total_abs_pct_error"), F.col("gold_left").alias("missed_examples"), F.col("pred_left").alias("spurious_examples"),
     )
 
 
+def with_signal(scores: DataFrame, documents: DataFrame) -> DataFrame:
+    """``scores`` with ``source`` and ``reconciles``, from documents (doc_id, source, matches); both null where a document isn't known."""
+    return scores.join(documents.select("doc_id", "source", F.col("matches").alias("reconciles")), "doc_id", "left")
+
+
 def micro(scores: DataFrame) -> DataFrame:
-    """Counts over all documents, and the rates of the sums."""
-    total = scores.agg(F.sum("matched").alias("matched"), F.sum("missed").alias("missed"), F.sum("spurious").alias("spurious"))
+    """Documents, counts over all of them, and the rates of the sums."""
+    total = scores.agg(F.count("*").alias("documents"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("matched", "missed", "spurious")))
     return total.select("*", *[rounded(c, 4).alias(n) for n, c in rates(F.col("matched"), F.col("missed"), F.col("spurious")).items()])
 
 
 def by_verdict(scores: DataFrame) -> DataFrame:
-    """Mean f1 of documents that reconcile and of those that don't; null verdicts count for neither."""
-    on = F.col("matches")
+    """Mean f1 of documents that reconcile and of those that don't (``reconciles``); null verdicts count for neither."""
+    on = F.col("reconciles")
     return scores.agg(F.count_if(on).alias("n_reconciled"), F.count_if(~on).alias("n_not_reconciled"), F.avg(F.when(on, F.col("f1"))).alias("f1_reconciled"), F.avg(F.when(~on, F.col("f1"))).alias("f1_not_reconciled"))
+
+
+def results(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two parts of a results file: one row of micro averages, and a row per document; an error if nothing was scored."""
+    if scores.isEmpty():
+        raise ValueError("nothing scored")
+    return micro(scores).select("precision", "recall", "f1", "documents"), scores

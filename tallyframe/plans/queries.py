@@ -71,11 +71,10 @@ def reconcile_summary(spark, sf_dir):
 
 
 @query(f"""WITH {_VERDICT} SELECT doc_id, CASE WHEN matches IS NULL THEN {_NOTE} WHEN matches THEN 'Verified ' || format('{{:,.2f}}', printed_total)
-    ELSE 'Mismatch' || CASE WHEN difference >= 0 THEN ' +' ELSE ' ' END || format('{{:,.2f}}', difference) END AS shown FROM verdicts""")
+    ELSE 'Mismatch (' || CAST(pct_difference AS VARCHAR) || '%)' || CASE WHEN difference >= 0 THEN ' +' ELSE ' ' END || format('{{:,.2f}}', difference) END AS shown FROM verdicts""")
 def verdict_display(spark, sf_dir):
     c = [F.col(x) for x in ("matches", "printed_total", "difference", "pct_difference", "note")]
-    shown = F.regexp_replace(bills.display(*c), r"^Mismatch \([^)]*\)", "Mismatch")
-    return reconcile_bills(spark, sf_dir).select("doc_id", shown.alias("shown"))
+    return reconcile_bills(spark, sf_dir).select("doc_id", bills.display(*c).alias("shown"))
 
 
 _PAGES = f"""{_LINES}, pages AS (SELECT doc_id, page_no, page_type, count(*) AS n_items, sum(cents) AS total FROM lines GROUP BY ALL),
@@ -87,11 +86,12 @@ def suppress_summary_pages(spark, sf_dir):
     return bills.suppressed(fixture.pages(spark, sf_dir)).select("doc_id", "page_no", "page_type", F.size("bill_items").cast("bigint").alias("kept_items"))
 
 
-@query(f"WITH {_PAGES} SELECT doc_id, CAST(sum(n_items) AS BIGINT) AS total_item_count, CAST(0 AS DOUBLE) AS grand_total FROM marked WHERE NOT has_detail GROUP BY doc_id")
+@query(f"WITH {_PAGES} SELECT doc_id, CAST(sum(n_items) AS BIGINT) AS total_item_count, CAST(coalesce(sum(total) FILTER (WHERE page_type <> 'Bill Summary'), 0) AS DOUBLE) AS grand_total FROM marked WHERE NOT has_detail GROUP BY doc_id")
 def summary_only_totals(spark, sf_dir):
     """Documents of summary pages alone: items are counted and nothing is summed."""
-    rows = fixture.lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("total_item_count"), F.count_if(F.col("page_type") != "Bill Summary").alias("detail"))
-    return rows.where("detail = 0").select("doc_id", "total_item_count", F.lit(0.0).alias("grand_total"))
+    detail = fixture.lines(spark, sf_dir).where("page_type <> 'Bill Summary'").select("doc_id")
+    rows = bills.totals(fixture.pages(spark, sf_dir).join(detail, "doc_id", "left_anti"))
+    return rows.select("doc_id", F.col("total_item_count").cast("bigint").alias("total_item_count"), "grand_total")
 
 
 @query(f"""WITH {_PAGES} SELECT doc_id, CAST(coalesce(sum(n_items) FILTER (WHERE page_type <> 'Bill Summary'), sum(n_items)) AS BIGINT) AS total_item_count,
@@ -120,29 +120,35 @@ def repeated_items(spark, sf_dir):
 
 @query(f"SELECT l_orderkey AS doc_id, max(CASE WHEN x > 0 THEN x END) AS printed_total FROM (SELECT l_orderkey, {PAGE_PRINTED} AS x FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY 1")
 def printed_total_max(spark, sf_dir):
-    pages = fixture.lines(spark, sf_dir).select("doc_id", F.col("page_no").alias("l_linenumber")).distinct()
-    orders = fixture.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus", "o_totalprice")
-    x = F.expr(PAGE_PRINTED)
-    return pages.join(orders, "doc_id").groupBy("doc_id").agg(F.max(F.when(x > 0, x)).alias("printed_total"))
+    return bills.totals(fixture.pages(spark, sf_dir)).select("doc_id", "printed_total")
 
 
 _BATCHES = f"""{_LINES}, counted AS (SELECT doc_id, (page_no - 1) // 3 AS batch_no, count(*) AS n FROM lines GROUP BY ALL),
   batches AS (SELECT doc_id, batch_no, (doc_id + batch_no) % 3 = 0 AS failed, CASE WHEN (doc_id + batch_no) % 3 = 0 OR doc_id % 11 = 0 THEN 0 ELSE n END AS items, 100 * n AS tokens FROM counted),
+  numbered AS (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS place, count(*) OVER (PARTITION BY doc_id) AS pages FROM (SELECT DISTINCT doc_id, page_no FROM lines)),
+  shapes AS (SELECT doc_id, max(pages) AS pages, string_agg('page ' || page_no || CASE WHEN page_no % 2 = 0 THEN ': keys=[''page_type'', ''bill_items'']' ELSE ': unparseable, starts "no ''JSON'' here"' END, '; ' ORDER BY page_no) FILTER (WHERE place <= 6) AS seen FROM numbered GROUP BY doc_id),
   docs AS (SELECT doc_id, count(*) AS attempted, count(*) FILTER (WHERE failed) AS failed_batches, CAST(sum(items) AS BIGINT) AS items, CAST(sum(tokens) AS BIGINT) AS output_tokens, 'batch ' || max(batch_no) FILTER (WHERE failed) AS last_error FROM batches GROUP BY doc_id)"""
 
 
 @query(f"""WITH {_BATCHES} SELECT doc_id, failed_batches <> attempted AS is_success, attempted, failed_batches, items, output_tokens,
     CASE WHEN failed_batches = attempted THEN 'Extraction failed: every request failed (' || failed_batches || '/' || attempted || ' batches). Last error -- ' || last_error
          WHEN failed_batches > 0 THEN failed_batches || ' of ' || attempted || ' page batches failed; results are incomplete. Last error -- ' || last_error
-         WHEN items = 0 AND output_tokens > 0 THEN 'Model returned ' || format('{{:,}}', output_tokens) || ' output tokens but no line items parsed' END AS error FROM docs""")
+         WHEN items = 0 AND output_tokens > 0 THEN 'Model returned ' || format('{{:,}}', output_tokens) || ' output tokens but no line items parsed from any of ' || shapes.pages || ' page(s). Response shapes seen -- ' || seen || '. Try BATCH_SIZE=1: dense pages batched together are the usual cause.' END AS error FROM docs JOIN shapes USING (doc_id)""")
 def document_status(spark, sf_dir):
+    return bills.status(_outcomes(spark, sf_dir))
+
+
+def _outcomes(spark, sf_dir):
+    """Requests of three pages: every third fails, and documents of every eleventh order come without items, in two shapes."""
     rows = fixture.lines(spark, sf_dir).withColumn("batch_no", F.floor((F.col("page_no") - 1) / 3).cast("int")).withColumn("failed", (F.col("doc_id") + F.col("batch_no")) % 3 == 0)
     items = F.when(F.col("failed") | (F.col("doc_id") % 11 == 0), 0).otherwise(F.count("*"))
-    batches = rows.groupBy("doc_id", "batch_no", "failed").agg(items.alias("items"), (100 * F.count("*")).alias("output_tokens")).withColumn("error", F.concat(F.lit("batch "), F.col("batch_no").cast("string")))
-    return bills.status(batches)
+    raw = F.when(F.col("page_no") % 2 == 0, '```json\n{"page_type": "Other", "bill_items": []}\n```').otherwise("no 'JSON' here")
+    seen = F.transform(F.sort_array(F.collect_set(F.struct("page_no", ingest.diagnostic(F.col("page_no"), raw).alias("text")))), lambda x: x["text"])
+    batches = rows.groupBy("doc_id", "batch_no", "failed").agg(items.alias("items"), (100 * F.count("*")).alias("output_tokens"), F.count_distinct("page_no").alias("pages"), seen.alias("diagnostics"))
+    return batches.withColumn("error", F.concat(F.lit("batch "), F.col("batch_no").cast("string")))
 
 
-@query(f"""WITH {_LINES}, flags AS (SELECT doc_id, f, min(page_no * 100 + ascii(f[1]) % 100 * 0) AS page FROM (SELECT doc_id, page_no, l_returnflag || l_linestatus AS f FROM lines) GROUP BY doc_id, f)
+@query(f"""WITH {_LINES}, flags AS (SELECT doc_id, f, min(page_no) AS page FROM (SELECT doc_id, page_no, l_returnflag || l_linestatus AS f FROM lines) GROUP BY doc_id, f)
     SELECT doc_id, string_agg(f, '|' ORDER BY page, f) AS fraud_flags FROM flags GROUP BY doc_id""")
 def ordered_distinct_flags(spark, sf_dir):
     """Flags of all pages in the order first seen."""
@@ -150,9 +156,31 @@ def ordered_distinct_flags(spark, sf_dir):
     return bills.flags_in_order(pages).select("doc_id", F.array_join("fraud_flags", "|").alias("fraud_flags"))
 
 
-@query()
+_NESTED = f"""WITH {_BATCHES.replace("lines AS", "lines AS", 1)},
+  pages AS (SELECT doc_id, page_no, page_type, count(*) AS n_items, sum(cents) AS total FROM lines GROUP BY ALL),
+  marked AS (SELECT *, bool_or(page_type <> 'Bill Summary') OVER (PARTITION BY doc_id) AS has_detail FROM pages),
+  flags AS (SELECT doc_id, string_agg('"' || f || '"', ',' ORDER BY page, f) AS fraud_flags FROM (SELECT doc_id, l_returnflag || l_linestatus AS f, min(page_no) AS page FROM lines GROUP BY ALL) GROUP BY doc_id),
+  t AS (SELECT doc_id, count(*) AS n_pages, arg_min(page_type, page_no) AS first_type, CAST(sum(CASE WHEN has_detail AND page_type = 'Bill Summary' THEN 0 ELSE n_items END) AS BIGINT) AS total_item_count,
+      {R2.format("CAST(coalesce(sum(total) FILTER (WHERE page_type <> 'Bill Summary'), 0) AS DOUBLE)")} AS grand_total, max(CASE WHEN page_no % 3 = 1 AND o_orderstatus <> 'P' AND o_totalprice > 0 THEN {R2.format("o_totalprice")} END) AS printed
+      FROM marked JOIN orders ON o_orderkey = doc_id GROUP BY doc_id),
+  v AS (SELECT *, CASE WHEN printed <> 0 THEN {R2.format("abs(" + R2.format("grand_total - printed") + ") / printed * 100")} END AS pct FROM t)"""
+
+
+@query(f"""{_NESTED} SELECT docs.doc_id, failed_batches <> attempted AS is_success, output_tokens + 7 AS total_tokens, CASE WHEN failed_batches = attempted THEN NULL ELSE n_pages END AS n_pages,
+    CASE WHEN failed_batches <> attempted THEN first_type END AS first_type, CASE WHEN failed_batches <> attempted THEN total_item_count END AS total_item_count, CASE WHEN failed_batches <> attempted THEN grand_total END AS grand_total,
+    CASE WHEN failed_batches <> attempted THEN printed END AS printed_total, CASE WHEN failed_batches <> attempted AND printed IS NOT NULL THEN coalesce(pct <= 1.0, false) END AS matches,
+    CASE WHEN failed_batches <> attempted THEN '[' || fraud_flags || ']' END AS fraud_flags, failed_batches > 0 AS has_error FROM docs JOIN v USING (doc_id) JOIN flags USING (doc_id)""")
 def document_responses(spark, sf_dir):
-    return bills.responses(fixture.pages(spark, sf_dir))
+    """What the nested responses say, read back from their JSON."""
+    outcomes = bills.status(_outcomes(spark, sf_dir)).withColumn("error", F.when(F.col("failed_batches") > 0, F.col("error"))).withColumn("input_tokens", F.lit(7))
+    rows = bills.responses(fixture.pages(spark, sf_dir), outcomes)
+    at = lambda path: F.get_json_object("response", f"$.{path}")
+    return rows.select(
+        "doc_id", at("is_success").cast("boolean").alias("is_success"), at("token_usage.total_tokens").cast("bigint").alias("total_tokens"),
+        F.json_array_length(at("data.pagewise_line_items")).cast("bigint").alias("n_pages"), at("data.pagewise_line_items[0].page_type").alias("first_type"),
+        at("data.total_item_count").cast("bigint").alias("total_item_count"), at("data.grand_total").cast("double").alias("grand_total"), at("data.reconciliation.printed_total").cast("double").alias("printed_total"),
+        at("data.reconciliation.matches").cast("boolean").alias("matches"), at("data.fraud_flags").alias("fraud_flags"), at("error").isNotNull().alias("has_error"),
+    )
 
 
 @query(f"""WITH {_LINES}, x AS (SELECT *, item_amount / item_quantity AS r FROM lines)
@@ -206,10 +234,9 @@ def mock_pages(spark, sf_dir):
     return ingest.items_of(p).join(p.select("page_pos", "page_no"), "page_pos").select("page_pos", "page_no", "item_name", "item_amount", "item_rate", "item_quantity")
 
 
-@query("SELECT l_orderkey AS doc_id, (l_linenumber - 1) // 3 AS batch_no, count(DISTINCT l_linenumber) AS n_pages, min(l_linenumber) AS first_page FROM lineitem GROUP BY ALL")
+@query("SELECT l_orderkey AS doc_id, (l_linenumber - 1) // 3 AS batch_no, count(DISTINCT l_linenumber) AS n_pages, min(l_linenumber) - 1 AS first_page FROM lineitem GROUP BY ALL")
 def page_batches(spark, sf_dir):
-    rows = fixture.lines(spark, sf_dir).select("doc_id", "page_no").distinct()
-    return rows.groupBy("doc_id", F.floor((F.col("page_no") - 1) / 3).cast("int").alias("batch_no")).agg(F.count("*").alias("n_pages"), F.min("page_no").alias("first_page"))
+    return files.page_batches(fixture.lines(spark, sf_dir).select("doc_id", (F.col("page_no") - 1).alias("page_pos")).distinct())
 
 
 @query("SELECT event_id AS doc_id, CAST(CASE WHEN props LIKE '{%' THEN 'k' END AS VARCHAR) AS top_keys FROM events")
@@ -235,31 +262,53 @@ def exact_item_match(spark, sf_dir):
     return scoring.exact_matches(*_sides(spark, sf_dir)).select("doc_id", "name", F.col("amount").cast("double").alias("amount"), "n")
 
 
-def _unmatched(one: DataFrame, other: DataFrame) -> DataFrame:
-    """What a multiset of items (doc_id, item_name, item_amount) has more of."""
-    count = lambda df, n: df.select("doc_id", scalars.normalised("item_name").alias("name"), scalars.exact("item_amount").alias("amount")).groupBy("doc_id", "name", "amount").agg(F.count("*").alias(n))
-    both = count(one, "n1").join(count(other, "n2"), ["doc_id", "name", "amount"], "left")
-    return both.select("doc_id", "name", F.col("amount").cast("double").alias("amount"), (F.col("n1") - F.coalesce("n2", F.lit(0))).alias("n")).where("n > 0")
-
-
-@query(f"WITH {_GOLD} SELECT doc_id, name, CAST(amount AS DOUBLE) AS amount, n_gold - coalesce(n_pred, 0) AS n FROM g LEFT JOIN p USING (doc_id, name, amount) WHERE n_gold > coalesce(n_pred, 0)")
+_NAME = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+#: Similarity by the definition of matching blocks (the longest common run, the first of equally long ones, then the same on either side), and matches one by one.
+_FUZZY = f"""WITH RECURSIVE {_ITEMS}, gi AS (SELECT doc_id, item_name, item_amount, page_no * 1000000000000::BIGINT + l_partkey * 1000000 + l_suppkey AS gi, (l_partkey * 7 + l_suppkey * 3 + page_no) % 10 AS k FROM items WHERE page_type <> 'Bill Summary'),
+  pi AS (SELECT doc_id, gi AS pi, CASE k WHEN 3 THEN upper(item_name) || '.' WHEN 4 THEN substr(item_name, 1, length(item_name) - 1) || 'x' WHEN 5 THEN 'freight' ELSE item_name END AS item_name, CASE k WHEN 1 THEN item_amount + 0.01 WHEN 2 THEN item_amount + 5000 ELSE item_amount END AS item_amount FROM gi WHERE k <> 0),
+  near AS (SELECT doc_id, gi, pi, {_NAME.format('g.item_name')} AS a, {_NAME.format('p.item_name')} AS b FROM gi g JOIN pi p USING (doc_id) WHERE abs(g.item_amount - p.item_amount) <= greatest(0.01 * abs(g.item_amount), 0.01)),
+  pairs AS (SELECT DISTINCT a, b FROM near WHERE a <> b),
+  cells AS (SELECT a, b, i, j, (SELECT coalesce(max(n), 0) FROM unnest(range(1, least(length(a) - i, length(b) - j) + 2)) t(n) WHERE substr(a, i, n) = substr(b, j, n)) AS run FROM (SELECT a, b, i, unnest(range(1, length(b) + 1)) AS j FROM (SELECT a, b, unnest(range(1, length(a) + 1)) AS i FROM pairs)) WHERE substr(a, i, 1) = substr(b, j, 1)),
+  parts AS (SELECT a, b, 1::BIGINT AS i0, length(a) + 1 AS i1, 1::BIGINT AS j0, length(b) + 1 AS j1, 0::BIGINT AS size FROM pairs
+    UNION ALL
+    SELECT a, b, CASE side WHEN 0 THEN i0 ELSE i + n END, CASE side WHEN 0 THEN i ELSE i1 END, CASE side WHEN 0 THEN j0 ELSE j + n END, CASE side WHEN 0 THEN j ELSE j1 END, CASE side WHEN 0 THEN n ELSE 0 END
+    FROM (SELECT a, b, i0, i1, j0, j1, best.i AS i, best.j AS j, best.n AS n, unnest([0, 1]) AS side
+      FROM (SELECT a, b, i0, i1, j0, j1, max_by({{'i': i, 'j': j, 'n': least(run, i1 - i, j1 - j)}}, least(run, i1 - i, j1 - j) * 1000000 - i * 1000 - j) AS best FROM parts JOIN cells USING (a, b) WHERE i >= i0 AND i < i1 AND j >= j0 AND j < j1 GROUP BY a, b, i0, i1, j0, j1))),
+  ratios AS (SELECT a, b, 2.0::DOUBLE * sum(size) / (length(a) + length(b)) AS similarity FROM parts GROUP BY a, b),
+  candidates AS (SELECT doc_id, gi, pi, CASE WHEN a = b THEN 1.0::DOUBLE ELSE similarity END AS similarity FROM near LEFT JOIN ratios USING (a, b) WHERE a = b OR similarity >= 0.8),
+  lists AS (SELECT doc_id, list({{'gi': gi, 'pi': pi, 's': similarity}} ORDER BY similarity DESC, gi DESC, pi DESC) AS c, count(*) AS n FROM candidates GROUP BY doc_id),
+  steps AS (SELECT doc_id, c, n, 0::BIGINT AS k, []::BIGINT[] AS gs, []::BIGINT[] AS ps, NULL::BIGINT AS gi, NULL::BIGINT AS pi, NULL::DOUBLE AS similarity FROM lists
+    UNION ALL
+    SELECT doc_id, c, n, k + 1, CASE WHEN free THEN list_append(gs, x.gi) ELSE gs END, CASE WHEN free THEN list_append(ps, x.pi) ELSE ps END, CASE WHEN free THEN x.gi END, CASE WHEN free THEN x.pi END, CASE WHEN free THEN x.s END
+    FROM (SELECT *, c[k + 1] AS x, NOT list_contains(gs, c[k + 1].gi) AND NOT list_contains(ps, c[k + 1].pi) AS free FROM (SELECT doc_id, c, n, k, gs, ps FROM steps WHERE k < n))),
+  matches AS (SELECT doc_id, gi, pi, similarity FROM steps WHERE gi IS NOT NULL),
+  gl AS (SELECT gi.*, m.gi IS NULL AS lone FROM gi LEFT JOIN matches m USING (doc_id, gi)), pl AS (SELECT pi.*, m.pi IS NULL AS lone FROM pi LEFT JOIN matches m USING (doc_id, pi)),
+  gs AS (SELECT doc_id, count(*) AS ng, count(*) FILTER (WHERE NOT lone) AS tp, CAST(sum(CAST(item_amount AS DECIMAL(18,2))) AS DOUBLE) AS gt, array_to_string((list(item_name ORDER BY gi) FILTER (WHERE lone))[1:5], '|') AS ge FROM gl GROUP BY doc_id),
+  ps AS (SELECT doc_id, count(*) AS np, CAST(sum(CAST(item_amount AS DECIMAL(18,2))) AS DOUBLE) AS pt, array_to_string((list(item_name ORDER BY pi) FILTER (WHERE lone))[1:5], '|') AS pe FROM pl GROUP BY doc_id),
+  counts AS (SELECT doc_id, ng AS gold_items, coalesce(np, 0) AS pred_items, tp AS matched, ng - tp AS missed, coalesce(np, 0) - tp AS spurious, gt AS gold_total, coalesce(pt, 0) AS pred_total, coalesce(ge, '') AS missed_examples, coalesce(pe, '') AS spurious_examples FROM gs LEFT JOIN ps USING (doc_id)),
+  r AS (SELECT *, coalesce(CAST(matched AS DOUBLE) / nullif(matched + spurious, 0), 0) AS p_, coalesce(CAST(matched AS DOUBLE) / nullif(matched + missed, 0), 0) AS r_ FROM counts),
+  scores AS (SELECT doc_id, gold_items, pred_items, matched, missed, spurious, {R4.format('p_')} AS "precision", {R4.format('r_')} AS recall, {R4.format('coalesce(2 * p_ * r_ / nullif(p_ + r_, 0), 0)')} AS f1,
+      gold_total, pred_total, CASE WHEN gold_total <> 0 THEN {R2.format('abs(pred_total - gold_total) / gold_total * 100')} END AS total_abs_pct_error, missed_examples, spurious_examples FROM r)"""
+
+
+@query(f"{_FUZZY} SELECT doc_id, gi, item_name, item_amount FROM gl WHERE lone")
 def missed_items(spark, sf_dir):
     gold, pred = _sides(spark, sf_dir)
-    return _unmatched(gold, pred)
+    return scoring.missed(gold, scoring.greedy(scoring.candidates(gold, pred))).select("doc_id", "gi", "item_name", "item_amount")
 
 
-@query(f"WITH {_GOLD} SELECT doc_id, name, CAST(amount AS DOUBLE) AS amount, n_pred - coalesce(n_gold, 0) AS n FROM p LEFT JOIN g USING (doc_id, name, amount) WHERE n_pred > coalesce(n_gold, 0)")
+@query(f"{_FUZZY} SELECT doc_id, pi, item_name, item_amount FROM pl WHERE lone")
 def spurious_items(spark, sf_dir):
     gold, pred = _sides(spark, sf_dir)
-    return _unmatched(pred, gold)
+    return scoring.spurious(pred, scoring.greedy(scoring.candidates(gold, pred))).select("doc_id", "pi", "item_name", "item_amount")
 
 
-@query()
+@query(f"{_FUZZY} SELECT * FROM candidates")
 def fuzzy_candidates(spark, sf_dir):
     return scoring.candidates(*_sides(spark, sf_dir))
 
 
-@query()
+@query(f"{_FUZZY} SELECT * FROM matches")
 def greedy_item_match(spark, sf_dir):
     return scoring.greedy(fuzzy_candidates(spark, sf_dir))
 
@@ -269,16 +318,40 @@ def _scores(spark, sf_dir):
     return scoring.scored(gold, pred, scoring.greedy(scoring.candidates(gold, pred)))
 
 
-@query()
+@query(f"{_FUZZY} SELECT * FROM scores")
 def score_documents(spark, sf_dir):
-    return _scores(spark, sf_dir)
+    """Lists of examples as texts."""
+    return _scores(spark, sf_dir).withColumns({c: F.array_join(c, "|") for c in ("missed_examples", "spurious_examples")})
+
 
+_MICRO = """SELECT count(*) AS documents, CAST(coalesce(sum(matched), 0) AS BIGINT) AS matched, CAST(coalesce(sum(missed), 0) AS BIGINT) AS missed, CAST(coalesce(sum(spurious), 0) AS BIGINT) AS spurious FROM scores"""
+_MICRO_RATES = f"""micro AS ({_MICRO}), mr AS (SELECT *, coalesce(CAST(matched AS DOUBLE) / nullif(matched + spurious, 0), 0) AS p_, coalesce(CAST(matched AS DOUBLE) / nullif(matched + missed, 0), 0) AS r_ FROM micro),
+  mi AS (SELECT documents, matched, missed, spurious, {R4.format('p_')} AS "precision", {R4.format('r_')} AS recall, {R4.format('coalesce(2 * p_ * r_ / nullif(p_ + r_, 0), 0)')} AS f1 FROM mr)"""
 
-@query()
+
+@query(f"{_FUZZY}, {_MICRO_RATES} SELECT * FROM mi")
 def micro_scores(spark, sf_dir):
     return scoring.micro(_scores(spark, sf_dir))
 
 
+def _signal(spark, sf_dir):
+    known = reconcile_bills(spark, sf_dir).select("doc_id", F.concat(F.lit("bill_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source"), "matches")
+    return scoring.with_signal(_scores(spark, sf_dir), known)
+
+
+@query(f"{_FUZZY}, {_VERDICT} SELECT doc_id, 'bill_' || doc_id || '.pdf' AS source, f1, matches AS reconciles FROM scores JOIN verdicts USING (doc_id)")
+def scores_with_signal(spark, sf_dir):
+    return _signal(spark, sf_dir).select("doc_id", "source", "f1", "reconciles")
+
+
+@query(f"{_FUZZY}, {_MICRO_RATES} SELECT 'micro' AS part, NULL AS doc_id, documents, \"precision\", recall, f1 FROM mi UNION ALL SELECT 'per_document', doc_id, NULL, \"precision\", recall, f1 FROM scores")
+def scoring_results(spark, sf_dir):
+    """Both parts of a results file."""
+    one, each = scoring.results(_scores(spark, sf_dir))
+    rates = ["precision", "recall", "f1"]
+    return one.select(F.lit("micro").alias("part"), F.lit(None).cast("bigint").alias("doc_id"), "documents", *rates).unionByName(each.select(F.lit("per_document").alias("part"), "doc_id", F.lit(None).cast("bigint").alias("documents"), *rates))
+
+
 _EXACT = f"""{_GOLD}, m AS (SELECT doc_id, sum(least(n_gold, n_pred)) AS tp FROM g JOIN p USING (doc_id, name, amount) GROUP BY doc_id),
   c AS (SELECT doc_id, sum(n_gold) AS n FROM g GROUP BY doc_id), d AS (SELECT doc_id, sum(n_pred) AS n FROM p GROUP BY doc_id),
   s AS (SELECT c.doc_id, coalesce(tp, 0) AS tp, c.n - coalesce(tp, 0) AS fn, coalesce(d.n, 0) - coalesce(tp, 0) AS fp FROM c LEFT JOIN d USING (doc_id) LEFT JOIN m USING (doc_id)),
@@ -301,17 +374,17 @@ def exact_scores(spark, sf_dir):
     return _exact_scores(spark, sf_dir)
 
 
-@query(f"""WITH {_EXACT}, {_VERDICT} SELECT count(*) FILTER (WHERE matches) AS n_reconciled, count(*) FILTER (WHERE NOT matches) AS n_not_reconciled,
+@query(f"""{_FUZZY}, {_VERDICT} SELECT count(*) FILTER (WHERE matches) AS n_reconciled, count(*) FILTER (WHERE NOT matches) AS n_not_reconciled,
     {R4.format('CAST(avg(CAST(f1 AS DECIMAL(18,4))) FILTER (WHERE matches) AS DOUBLE)')} AS f1_reconciled, {R4.format('CAST(avg(CAST(f1 AS DECIMAL(18,4))) FILTER (WHERE NOT matches) AS DOUBLE)')} AS f1_not_reconciled FROM scores JOIN verdicts USING (doc_id)""")
 def f1_by_reconciliation(spark, sf_dir):
-    rows = _exact_scores(spark, sf_dir).withColumn("f1", F.col("f1").cast("decimal(18,4)")).join(reconcile_bills(spark, sf_dir).select("doc_id", "matches"), "doc_id")
-    out = scoring.by_verdict(rows)
+    """Whether the label-free verdict agrees with fuzzy matching against gold."""
+    out = scoring.by_verdict(_signal(spark, sf_dir).withColumn("f1", F.col("f1").cast("decimal(18,4)")))
     return out.select("n_reconciled", "n_not_reconciled", *[scalars.rounded(F.col(c).cast("double"), 4).alias(c) for c in ("f1_reconciled", "f1_not_reconciled")])
 
 
 # Labels
 
-_LABELS = "l AS (SELECT doc_id, 1 + doc_id % 5 + (1 - quality) * 0 AS d, list_extract(['Bill Summary', 'Bill Detail', 'Pharmacy Bill', 'Lab Bill', 'Other'], CAST(CASE WHEN quality = 1 THEN 2 ELSE 1 + doc_id % 5 END AS INTEGER)) AS label, CASE WHEN toxic = 1 THEN 'Other' WHEN doc_id % 7 = 0 THEN 'Lab Bill' ELSE 'Bill Detail' END AS predicted, source FROM labels JOIN documents USING (doc_id))"
+_LABELS = "l AS (SELECT doc_id, list_extract(['Bill Summary', 'Bill Detail', 'Pharmacy Bill', 'Lab Bill', 'Other'], CAST(CASE WHEN quality = 1 THEN 2 ELSE 1 + doc_id % 5 END AS INTEGER)) AS label, CASE WHEN toxic = 1 THEN 'Other' WHEN doc_id % 7 = 0 THEN 'Lab Bill' ELSE 'Bill Detail' END AS predicted, source FROM labels JOIN documents USING (doc_id))"
 
 
 def _labelled(spark, sf_dir):
@@ -350,7 +423,7 @@ def group_split(spark, sf_dir):
     return _split(spark, sf_dir)[1]
 
 
-@query(f"WITH {_SPLIT} SELECT count(*) FILTER (WHERE in_test) AS n_test, count(*) FILTER (WHERE NOT in_test) AS n_train, CAST(0 AS BIGINT) AS shared_groups FROM grp JOIN sp USING (grp)")
+@query(f"WITH {_SPLIT} SELECT count(*) FILTER (WHERE in_test) AS n_test, count(*) FILTER (WHERE NOT in_test) AS n_train, (SELECT count(*) FROM (SELECT grp FROM sp GROUP BY grp HAVING count(DISTINCT in_test) > 1)) AS shared_groups FROM grp JOIN sp USING (grp)")
 def split_disjointness(spark, sf_dir):
     rows, split = _split(spark, sf_dir)
     test, train = rows.join(split.where("in_test"), "grp", "left_semi"), rows.join(split.where("in_test"), "grp", "left_anti")
@@ -401,9 +474,19 @@ def label_input(spark, sf_dir):
     return fixture.table(spark, sf_dir, "customer").select("c_custkey", labels.from_input(typed).alias("label"))
 
 
-@query("SELECT conv_id, turn, role = 'user' AS is_question, length(text) AS n_chars FROM conversations")
+_QUESTION = "Which type of page is this?"
+
+
+@query(f"WITH {_LABELS} SELECT doc_id || '.png' AS image_path, '{_QUESTION}' AS question, label AS answer FROM l")
 def training_examples(spark, sf_dir):
-    return fixture.table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") == "user").alias("is_question"), F.length("text").cast("bigint").alias("n_chars"))
+    return labels.examples(_labelled(spark, sf_dir).withColumn("image_path", F.concat(F.col("doc_id").cast("string"), F.lit(".png"))), _QUESTION)
+
+
+@query("SELECT n_nationkey AS position, n_name AS document, list_extract(['Bill Summary', 'Bill Detail', 'Pharmacy Bill', 'Lab Bill', 'Other'], CAST(n_nationkey * 3 % 5 + 1 AS INTEGER)) AS label FROM nation")
+def numbered_labels(spark, sf_dir):
+    """A page per nation and a line of digits."""
+    pages = fixture.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("document"))
+    return labels.numbered(pages, " ".join(str(k * 3 % 5 + 1) for k in range(25))).select("position", "document", "label")
 
 
 # Text
@@ -426,8 +509,14 @@ def ocr_lines(spark, sf_dir):
 
 @query(f"WITH {_WORDS} SELECT page, CAST(sum(conf) AS DOUBLE) / count(*) AS mean_conf, CAST(sum(conf) AS DOUBLE) / count(*) >= 50 AS trusted FROM kept GROUP BY page")
 def ocr_confidence_gate(spark, sf_dir):
-    pages = ocr.lines(_words(spark, sf_dir)).groupBy("page").agg((F.sum("conf") / F.sum("n")).alias("mean_conf"))
-    return pages.select("page", "mean_conf", (F.col("mean_conf") >= 50).alias("trusted"))
+    return ocr.confidence(_words(spark, sf_dir), least=50.0)
+
+
+@query("SELECT conv_id, turn, text FROM conversations WHERE regexp_replace(text, '\\s', '', 'g') <> '' AND (conv_id * 37 + turn * 11) % 100 >= 50")
+def trusted_lines(spark, sf_dir):
+    """Lines of an engine that rates whole lines, from what was said."""
+    found = fixture.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", ((F.col("conv_id") * 37 + F.col("turn") * 11) % 100 / 100).alias("confidence"))
+    return ocr.trusted_lines(found).select("conv_id", "turn", "text")
 
 
 @query(f"""WITH {_WORDS}, lines AS (SELECT page, block, par, line, string_agg(text, ' ' ORDER BY idx) AS text, sum(conf) AS c, count(*) AS n FROM kept GROUP BY page, block, par, line)
@@ -474,9 +563,9 @@ def deskew_gate(spark, sf_dir):
     return rows.select("s_suppkey", ocr.skew_action(F.col("px"), F.col("angle")).alias("action"), "angle")
 
 
-@query("SELECT page_id, to_base64(encode(url)) AS encoded FROM pages")
+@query("SELECT page_id, to_base64(encode(html)) AS encoded FROM pages")
 def encoded_content(spark, sf_dir):
-    return fixture.table(spark, sf_dir, "pages").select("page_id", F.base64(F.col("url").cast("binary")).alias("encoded"))
+    return fixture.table(spark, sf_dir, "pages").select("page_id", scalars.encoded("html").alias("encoded"))
 
 
 # Models and intake
@@ -504,6 +593,17 @@ def suggest_models(spark, sf_dir):
     return models.suggested(models.ranked(_models(spark, sf_dir)))
 
 
+@query(f"""WITH {_MODELS}, tried AS (SELECT name, row_number() OVER (ORDER BY tier <> 'flash', rank) AS place FROM ranked QUALIFY place <= 6),
+    answers AS (SELECT *, place IN (2, 3, 5, 6) AS ok FROM tried), seen AS (SELECT *, coalesce(count(*) FILTER (WHERE ok) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM answers)
+    SELECT CAST(place AS INTEGER) AS place, name, CASE WHEN ok THEN 'working' WHEN place = 1 THEN 'retired' ELSE 'throttled' END AS outcome, CASE WHEN ok THEN substr('ok from ' || name || ' and a long tail of words', 1, 30) WHEN place = 1 THEN '404 not found' ELSE '429 quota' END AS shown FROM seen WHERE before < 3""")
+def probe_models(spark, sf_dir):
+    """The first six models tried until three have worked."""
+    tries = models.probes(models.ranked(_models(spark, sf_dir)))
+    ok = F.col("place").isin(2, 3, 5, 6)
+    tries = tries.withColumns({"reply": F.when(ok, F.concat(F.lit(" ok\nfrom "), F.col("name"), F.lit(" and a long tail of words"))), "error": F.when(F.col("place") == 1, "404 not found").when(~ok, "429 quota")})
+    return models.probed(tries)
+
+
 @query(f"""SELECT bucket, transient, count(*) AS n FROM (SELECT CASE WHEN l LIKE '%no longer available%' OR l LIKE '%not found%' OR l LIKE '%404%' THEN 'retired' WHEN l LIKE '%429%' OR l LIKE '%quota%' OR l LIKE '%exhausted%' THEN 'throttled'
     WHEN l LIKE '%403%' OR l LIKE '%denied%' OR l LIKE '%permission%' THEN 'denied' ELSE 'failed' END AS bucket, regexp_matches(l, '{"|".join(models.TRANSIENT)}') AS transient FROM (SELECT lower({MESSAGE}) AS l FROM events)) GROUP BY ALL""")
 def bucket_errors(spark, sf_dir):
@@ -558,10 +658,19 @@ def size_cap(spark, sf_dir):
     return fixture.table(spark, sf_dir, "pages").select("page_id", intake.too_large(F.octet_length("html"), 4000).alias("too_large"))
 
 
-@query()
+@query("SELECT s_suppkey, CASE s_suppkey % 8 WHEN 3 THEN true WHEN 5 THEN NULL WHEN 6 THEN s_suppkey % 3 = 0 WHEN 7 THEN true ELSE false END AS is_public FROM supplier")
 def public_addresses(spark, sf_dir):
-    address = F.expr("CASE s_suppkey % 6 WHEN 0 THEN concat('10.0.0.', s_suppkey % 256) WHEN 1 THEN '127.0.0.1' WHEN 2 THEN '169.254.169.254' WHEN 3 THEN concat('8.8.8.', s_suppkey % 256) WHEN 4 THEN '::1' ELSE 'no address' END")
-    return fixture.table(spark, sf_dir, "supplier").select("s_suppkey", intake.public_address(address).alias("is_public"))
+    return fixture.table(spark, sf_dir, "supplier").select("s_suppkey", intake.public_address(F.expr(_ADDRESS)).alias("is_public"))
+
+
+_ADDRESS = "CASE s_suppkey % 8 WHEN 0 THEN concat('10.0.0.', s_suppkey % 256) WHEN 1 THEN '127.0.0.1' WHEN 2 THEN '169.254.169.254' WHEN 3 THEN concat('8.8.8.', s_suppkey % 256) WHEN 4 THEN '::1' WHEN 5 THEN '256.1.1.1' WHEN 6 THEN if(s_suppkey % 3 = 0, '192.0.0.9', '192.168.7.7') ELSE '2606:4700::1111' END"
+
+
+@query("SELECT s_nationkey AS nation, CASE WHEN bool_and(CASE s_suppkey % 8 WHEN 3 THEN true WHEN 6 THEN s_suppkey % 3 = 0 WHEN 7 THEN true ELSE false END) THEN NULL ELSE 'not public' END AS problem FROM supplier GROUP BY s_nationkey")
+def host_problems(spark, sf_dir):
+    """Hosts by nation, each with the addresses of its suppliers: all must be public."""
+    rows = fixture.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("url"), F.expr(_ADDRESS).alias("address"))
+    return intake.host_problems(rows).withColumnRenamed("url", "nation")
 
 
 @query("SELECT 'ok' AS status, true AS mock, CAST(3 AS INTEGER) AS batch_pages, CAST(1.0 AS DOUBLE) AS tolerance_pct")
@@ -576,16 +685,26 @@ def page_list(spark, sf_dir):
     return files.page_list(rows.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document"), (F.floor(F.col("n_chars") / 2000) + 1).alias("n_pages")))
 
 
-@query("SELECT l_orderkey AS doc_id, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WHERE l_linenumber - 1 < 4 GROUP BY 1")
+@query("SELECT l_orderkey AS doc_id, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WHERE (l_linenumber - 1) % 3 < 2 GROUP BY 1")
 def truncating_zip(spark, sf_dir):
-    """Pages meet replies by position; with four replies a document the rest is lost."""
-    pages = fixture.lines(spark, sf_dir).select("doc_id", (F.col("page_no") - 1).alias("pos")).distinct()
-    replies = spark.range(4).select(F.col("id").cast("int").alias("pos"))
-    return pages.join(F.broadcast(replies), "pos").groupBy("doc_id").agg(F.count("*").alias("n"))  # four rows
+    """Pages meet replies by position; with two replies to each request of three pages the third is lost."""
+    pos = F.col("page_no") - 1
+    pages = fixture.lines(spark, sf_dir).select("doc_id", F.floor(pos / 3).cast("int").alias("batch_no"), (pos % 3).alias("pos")).distinct()
+    replies = pages.select("doc_id", "batch_no").distinct().withColumn("pos", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("raw", F.lit("{}"))
+    return files.zipped(pages, replies).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey AS doc_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def skipped_documents(spark, sf_dir):
     """Gold without a document."""
-    gold = fixture.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    return gold.join(fixture.lines(spark, sf_dir).select("doc_id"), "doc_id", "left_anti")
+    gold = fixture.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("source"))
+    landed = fixture.lines(spark, sf_dir).select(F.concat(F.lit("file:/bills/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"))
+    return files.with_document(gold, landed)[1].select("doc_id")
+
+
+@query(f"WITH {_ITEMS} SELECT doc_id || '.pdf' AS source, 'Correct bill_items against the document, then set verified to true.' AS _instructions, false AS verified, count(*) AS n_items FROM items GROUP BY doc_id")
+def gold_templates(spark, sf_dir):
+    """What a person corrects to make gold: every bill's items, not yet verified."""
+    rows = fixture.items(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("item_name", "item_amount")).alias("bill_items"))
+    made = files.gold_template(rows.withColumn("source", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))))
+    return made.select("source", "_instructions", "verified", F.size("bill_items").cast("bigint").alias("n_items"))

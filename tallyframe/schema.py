@@ -29,6 +29,6 @@ LABELLED_PAGE = T.StructType([
 #: The page types of the model, and the label options in the order of their digits.
 SUMMARY, DETAIL = "Bill Summary", "Bill Detail"
 PAGE_TYPES = ("Bill Summary", "Bill Detail", "Pharmacy Bill", "Lab Bill", "Other")
-#: Per cent by which extracted and printed totals may differ; pages in one request; suffixes taken as they are.
+#: Suffixes taken as they are.  Per cent by which extracted and printed totals may differ; pages in one request.
 TOLERANCE_PCT, BATCH_PAGES = 1.0, 3
 SUFFIXES = (".pdf", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".webp")
