@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from tallyframe.llm.store import table, written
+from tallyframe.llm.store import spare, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks that an earlier one has; one that keeps no word goes."""
-    cut = line_dedup.apply(docs)
-    emptied = (F.col("words_deleted") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    lines, words = (spare(docs.columns, x) for x in ("lines_deleted", "words_deleted"))
+    cut = line_dedup.apply(docs, lines_deleted=lines, words_deleted=words)
+    emptied = (F.col(words) > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     cut = cut.where(~emptied)
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("lines_deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        cut = cut.withColumn("n_chars", F.when(F.col(lines) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
 
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm import textnum
+from tallyframe.llm import store, textnum
 from tallyframe.llm.store import written
 
 LEAST_WORDS = 30
@@ -216,12 +216,11 @@ def deletions(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return written(found.groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("blocks")), "blocks")
 
 
-def apply(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the deleted lines taken out of ``text``, and their numbers in ``lines_deleted`` and ``words_deleted``."""
+def apply(docs: DataFrame, least_words: int = LEAST_WORDS, lines_deleted: str = "lines_deleted", words_deleted: str = "words_deleted") -> DataFrame:
+    """``docs`` with the deleted lines taken out of ``text``, and their numbers in two more columns of these names, which ``docs`` must not have."""
     gone = deletions(docs, least_words)
-    names = [c for c in docs.columns if c not in ("lines_deleted", "words_deleted")]
-    docs = docs.select(*names)
-    spare = "_line_dedup_id"
+    names = docs.columns
+    spare, blocks = store.spare(names, "_line_dedup_id"), store.spare(names, "_line_dedup_blocks")
     schema = docs.schema
 
     def with_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,10 +234,10 @@ def apply(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         for batch in batches:
             for part in textnum.slices(batch):
                 texts, lines, words = [], [], []
-                for text, blocks in zip(part.column("text"), part.column(spare)):
+                for text, found in zip(part.column("text"), part.column(spare)):
                     text, n, w = text.as_py(), 0, 0
-                    if blocks.is_valid:
-                        dead = {k for x in blocks.as_py() for k in range(x["s"], x["e"])}
+                    if found.is_valid:
+                        dead = {k for x in found.as_py() for k in range(x["s"], x["e"])}
                         rows = text.split("\n")
                         w = sum(_words(rows[k]) for k in dead)
                         n, text = len(dead), "\n".join(r for k, r in enumerate(rows) if k not in dead)
@@ -246,12 +245,12 @@ def apply(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                     lines.append(n)
                     words.append(w)
                 columns = [pa.array(texts, part.schema.field("text").type) if c == "text" else part.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int32()), pa.array(words, pa.int64())], [*names, "lines_deleted", "words_deleted"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int32()), pa.array(words, pa.int64())], [*names, lines_deleted, words_deleted])
 
     # the same plan at every size: what is deleted grows with the input, so it is never broadcast; texts are never sorted
     keyed = docs.mapInArrow(textnum.lean(with_id), _fields(schema, f"{spare} binary"))
-    joined = keyed.join(gone.select(F.col("id").alias(spare), F.col("blocks").alias("_line_dedup_blocks")).hint("shuffle_hash"), spare, "left").select(*names, F.col("_line_dedup_blocks").alias(spare))
-    return joined.mapInArrow(textnum.lean(cut), _fields(schema, "lines_deleted int", "words_deleted bigint"))
+    joined = keyed.join(gone.select(F.col("id").alias(spare), F.col("blocks").alias(blocks)).hint("shuffle_hash"), spare, "left").select(*names, F.col(blocks).alias(spare))
+    return joined.mapInArrow(textnum.lean(cut), _fields(schema, f"`{lines_deleted}` int", f"`{words_deleted}` bigint"))
 
 
 _SPACES = {c: " " for c in range(9, 14)}

@@ -63,6 +63,19 @@ def test_stages(spark):
         assert sum(p.n_tokens for p in pieces[r.doc_id]) == len(r.text.translate({c: " " for c in range(9, 14)}).split(" ")) - r.text.translate({c: " " for c in range(9, 14)}).split(" ").count("") + 1
 
 
+def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    """Columns that stages make for themselves are a caller's own, too."""
+    names = ["score", "n_windows", "lines_deleted", "words_deleted", "_line_dedup_id", "_line_dedup_blocks", "_ngram_join_class", "_ngram_join_rank", "class", "row"]
+    rows = [(k, "one two three four five six seven eight nine ten eleven " * (k % 3 + 2) + f"tail {k % 4}", *([float(k)] * len(names))) for k in range(8)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "nothing of it")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string", *(f"{c} double" for c in names)]))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path)), "stage")
+        assert docs.columns == ["doc_id", "text", *names]
+        assert all(r[c] == r.doc_id for r in docs.collect() for c in names)
+
+
 def test_an_empty_corpus(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
