@@ -55,10 +55,10 @@ class Settings:
     most_bytes: int = 1_000_000  # a longer text doesn't train
     all_bytes: int = 48_000_000  # of all texts that train
     known: int = 5  # training documents that use a word, if it is to have a vector
-    window_steps: int = 600
-    windows: int = 128  # in such a step, of which two in five are from toxic documents
-    doc_steps: int = 500
-    docs: int = 48  # in such a step, of which one in four is toxic
+    window_steps: int = 500
+    windows: int = 96  # in such a step, of which two in five are from toxic documents
+    doc_steps: int = 350
+    docs: int = 32  # in such a step, of which one in four is toxic
     dropped: float = 0.0  # share of word vectors that a step leaves out
     rate: float = 0.012
     seed: int = 7
@@ -77,17 +77,22 @@ class Words:
         self.counts = np.bincount(self.doc, minlength=texts.n)
         self.n = len(first)
         a, b = a[first], b[first]
-        self.size = b - a + 2  # with a mark at either end
-        self.begin = np.cumsum(self.size) - self.size
-        self.code = np.zeros(int(self.size.sum()) + SPAN, np.int16)
+        self.size = b - a + 2  # with a mark at either end, and zeros behind
+        self.begin = np.cumsum(self.size + SPAN - 1) - (self.size + SPAN - 1)
+        self.code = np.zeros(int((self.size + SPAN - 1).sum()), np.int16)
         for k in range(0, self.n, 20_000):  # some words at a time: what is made beside is of their size
-            size, begin = self.size[k : k + 20_000], self.begin[k : k + 20_000]
-            place = np.arange(int(size.sum())) - np.repeat(begin - begin[0], size)
+            at, place = self._characters(np.arange(k, min(self.n, k + 20_000)))
+            size = self.size[k : k + 20_000]
             inner = (place > 0) & (place < np.repeat(size, size) - 1)
-            some = self.code[begin[0] : begin[0] + len(place)]
-            some[inner] = textnum.LOWER[texts.data[(np.repeat(a[k : k + 20_000], size) + place - 1)[inner]]].astype(np.int16) + 3
+            self.code[at[inner]] = textnum.LOWER[texts.data[(np.repeat(a[k : k + 20_000], size) + place - 1)[inner]]].astype(np.int16) + 3
         self.code[self.begin], self.code[self.begin + self.size - 1] = 1, 2
 
+    def _characters(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the characters of some words are, and the place of each in its word."""
+        size = self.size[some]
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        return np.repeat(self.begin[some], size) + place, place
+
     @classmethod
     def gathered(cls, texts: pa.Array) -> Words:
         """The same, slice by slice: only distinct words are held as bytes."""
@@ -124,11 +129,10 @@ class Words:
         """Of some words the largest response of each filter, and if asked for, the place of its first character."""
         many = self.size[some]
         off = np.cumsum(many) - many
-        at = np.repeat(self.begin[some] - off, many) + np.arange(int(many.sum()))
-        left = np.repeat(self.begin[some] + many, many) - at
-        x = filters[0][self.code[at]]
+        at = self._characters(some)[0]
+        x = filters[0].take(self.code[at], 0)
         for j in range(1, SPAN):
-            x += filters[j][np.where(left > j, self.code[at + j], 0)]
+            x += filters[j].take(self.code[at + j], 0)
         top = np.maximum.reduceat(x, off)
         if not places:
             return top, None
@@ -332,9 +336,8 @@ class Trainer:
         felt = back[:, WORD_DIMS:] * (x[: len(some), WORD_DIMS:] > 0)
         g["level"] = felt.sum(0)
         g["filters"] = np.zeros_like(net["filters"])
-        ends = (self.w.begin + self.w.size)[some]
         for j in range(SPAN):
-            code = np.where(best + j < ends[:, None], self.w.code[best + j], 0)
+            code = self.w.code[best + j].astype(np.int64)
             g["filters"][j] = np.bincount((code * FILTERS + np.arange(FILTERS)).reshape(-1), felt.reshape(-1), CODES * FILTERS).reshape(CODES, FILTERS)
         g["filters"][:, 0] = 0
         self.steps += 1
