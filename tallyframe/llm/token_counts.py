@@ -17,6 +17,7 @@ table gives no rows.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ from tallyframe.llm import textnum
 #: Where the vocabulary lies, if no other path is given.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END = 256
-MOST_PIECES = 2_000_000
+#: Bounds of what is broadcast: pieces, and bytes of the file they come from.
+MOST_PIECES, MOST_BYTES = 2_000_000, 64_000_000
 _SYMBOLS = 257
 #: Fewer words than this are walked one by one: a step of all costs as much as some dozens of single ones.
 _IN_STEP = 64
@@ -45,6 +47,8 @@ def byte_letters() -> dict[str, int]:
 
 def load_pieces(path: str = VOCABULARY) -> list[tuple[int, ...]]:
     """Pieces as symbols (bytes, and END) of a tokenizer file with word-end marks."""
+    if os.path.getsize(path) > MOST_BYTES:
+        raise ValueError("the vocabulary file is too large to be broadcast")
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
     suffix, letters, out = model.get("end_of_word_suffix") or "</w>", byte_letters(), []
