@@ -98,9 +98,9 @@ def mock_replies(pages: DataFrame, batch: int = schema.BATCH_PAGES) -> DataFrame
 
 
 def gold(spark: SparkSession, path: str) -> DataFrame:
-    """Verified gold documents, by file name."""
+    """Verified gold documents, in the order of their file names."""
     rows = spark.read.schema(schema.GOLD).option("multiLine", True).json(path)
-    return rows.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).where(F.coalesce("verified", F.lit(False)))
+    return rows.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).where(F.coalesce("verified", F.lit(False))).orderBy("file")
 
 
 def with_document(gold: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
