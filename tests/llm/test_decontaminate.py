@@ -88,6 +88,17 @@ def test_blocks_of_windows_give_the_same(spark):
     check(spark, block_windows=40, every=3)
 
 
+def test_a_window_of_very_many_items_is_spread_over_blocks(spark):
+    """All items share a passage; each block holds some of them."""
+    shared = " ".join(f"w{k}" for k in range(14))
+    bench = spark.createDataFrame([(k, shared + f" own{k}") for k in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " * 20 + shared), (2, "x " * 20 + shared + " own7"), (3, "x")], "doc_id long, text string")
+    assert decontaminate.Blocks(bench, 13, 100).count > 1
+    for most in (100, 200_000):
+        got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.judged(docs, bench, block_windows=most).collect()}
+        assert got == {1: (14, 300), 2: (15, 300), 3: (0, 0)}
+
+
 def test_empty_tables(spark):
     docs, items = corpus()
     none = spark.createDataFrame([], "item_id long, text string")

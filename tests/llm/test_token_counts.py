@@ -31,6 +31,15 @@ def test_against_greedy_matching(bodies, ends, words):
     assert got.tolist() == [greedy(tuple(w), pieces, 6) for w in words]
 
 
+def test_very_long_words_are_walked_whole():
+    pieces = {(97,), (98,), (97, 98), (97, 98, 97), (98, 98, T.END), (99, 99, 99)}
+    automaton = T.Automaton(sorted(pieces))
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b"ab") for _ in range(n)) for n in (1_000_000, 70_000, 300, 299, 3, 1)] + [b"a" * 500_000 + b"c" + b"b" * 500_000, b"c" * 300_000]
+    flat, end = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    assert automaton.counts(flat, end - [len(w) for w in words], end).tolist() == [greedy(tuple(w), pieces, 3) for w in words]
+
+
 @pytest.mark.skipif(not os.path.exists(T.VOCABULARY), reason="needs the vocabulary")
 def test_rows(spark):
     rng = random.Random(3)
