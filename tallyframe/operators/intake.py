@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.scalars import url_suffix
+from tallyframe.functions.scalars import col, url_suffix
 from tallyframe.schema import SUFFIXES
 
 #: Bytes of a document at most.
@@ -51,11 +51,12 @@ def _inside(number: Column, ranges: tuple[tuple[str, int], ...]) -> Column:
     return out
 
 
-def public_address(address: Column) -> Column:
+def public_address(address: Column | str) -> Column:
     """Whether a literal address lies outside private, loopback, link-local, reserved, multicast and unspecified ranges; null for no address.
 
     IPv4 is arithmetic on its four numbers; only texts with a colon reach Python.
     """
+    address = col(address)
     parts = F.split(address, r"\.")
     number = F.lit(0).cast("bigint")
     for k in range(4):
