@@ -543,4 +543,4 @@ def read_back(media: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """``read_back`` of the streams of ``docs``, which are stored as a table in the shared folder first."""
-    return read_back(written(stored(docs), "media"))
+    return read_back(written(stored(docs), "media", compression="zstd"))

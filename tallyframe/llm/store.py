@@ -49,11 +49,11 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared folder: computed once, whatever is lost later."""
     small_batches(df.sparkSession)
     path = fresh_path(df.sparkSession, tag)
-    df.write.options(**_WRITES).parquet(path)
+    df.write.options(**_WRITES).parquet(path, compression=compression)
     return df.sparkSession.read.options(**_READS).schema(df.schema).parquet(path)
 
 
