@@ -78,6 +78,11 @@ def display(matches: Column, printed: Column, difference: Column, pct: Column, n
     return F.when(matches.isNull(), note).when(matches, verified).otherwise(mismatch)
 
 
+def banner(is_success: Column, error: Column) -> Column:
+    """What stands above a result: that there is none, that it is incomplete, or nothing (null)."""
+    return F.when(~is_success, F.concat(F.lit("Extraction failed: "), F.coalesce(error, F.lit("no error detail returned")))).when(error.isNotNull(), error)
+
+
 def flags_in_order(pages: DataFrame) -> DataFrame:
     """(doc_id, fraud_flags): distinct, in the order first seen, suppressed pages included."""
     ordered = F.array_sort(F.collect_list(F.struct("page_pos", "fraud_flags")))

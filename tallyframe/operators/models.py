@@ -14,6 +14,11 @@ SPECIAL = ("tts", "image", "robotics", "computer-use", "deep-research", "lyria",
 MOST_BACKOFF, TRIES = 8, 5
 
 
+def key_tail(key: Column) -> Column:
+    """All that is shown of a key."""
+    return F.concat(F.lit("..."), F.right(key, F.lit(4)))
+
+
 def transient(message: Column) -> Column:
     """Worth another try."""
     return contains_any(F.lower(message), TRANSIENT)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions import images
 from tallyframe.functions.scalars import trimmed
 
 #: Least mean confidence of a page; the most characters of a hint; least confidence of the other engine's lines.
@@ -51,3 +56,49 @@ def fallback_lines(text: DataFrame, rows: int = 80, width: int = 120, top: int =
     """(doc_id, line_no, y, line): what a page drawn from plain text shows of it."""
     out = text.select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, rows)).alias("line_no", "line"))
     return out.withColumn("y", top + step * F.col("line_no")).where(F.col("y") <= bottom).select("doc_id", "line_no", "y", F.substring("line", 1, width).alias("line"))
+
+
+def prepared(pages: DataFrame, quarter_turns: Callable[[np.ndarray], int] | None = None) -> DataFrame:
+    """(path, page_pos, height, width, pixels, turned, degrees): pages of raw pixels (one byte each, or three) made grey, righted, clear.
+
+    ``quarter_turns`` is the caller's detector of orientation, in degrees clockwise; a page on
+    which it fails isn't turned.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for path, pos, h, w, data in zip(rows["path"], rows["page_pos"], rows["height"], rows["width"], rows["pixels"]):
+                x = np.frombuffer(data, np.uint8)
+                x = images.grey(x.reshape(h, w) if len(x) == h * w else x.reshape(h, w, 3))
+                try:
+                    degrees = int(quarter_turns(x)) % 360 if quarter_turns else 0
+                except Exception:  # noqa: BLE001  the detector is the caller's
+                    degrees = 0
+                x, tilt = images.deskewed(images.turned(x, degrees))
+                x = images.enhanced(x)
+                out.append((path, pos, x.shape[0], x.shape[1], x.tobytes(), degrees, tilt))
+            yield pd.DataFrame(out, columns=["path", "page_pos", "height", "width", "pixels", "turned", "degrees"])
+
+    return pages.select("path", "page_pos", "height", "width", "pixels").mapInPandas(run, "path string, page_pos int, height int, width int, pixels binary, turned int, degrees double")
+
+
+def first_reading(pages: DataFrame, engines: list[Callable[[np.ndarray], str]]) -> DataFrame:
+    """(path, page_pos, text): what the first engine that reads anything on a page reads; one that fails is passed over."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for path, pos, h, w, data in zip(rows["path"], rows["page_pos"], rows["height"], rows["width"], rows["pixels"]):
+                text = ""
+                for read in engines:
+                    try:
+                        text = (read(np.frombuffer(data, np.uint8).reshape(h, w)) or "").strip()
+                    except Exception:  # noqa: BLE001  the engines are the caller's
+                        text = ""
+                    if text:
+                        break
+                out.append((path, pos, text[:HINT_CHARS]))
+            yield pd.DataFrame(out, columns=["path", "page_pos", "text"])
+
+    return pages.select("path", "page_pos", "height", "width", "pixels").mapInPandas(run, "path string, page_pos int, text string")

@@ -126,6 +126,12 @@ def by_verdict(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count_if(on).alias("n_reconciled"), F.count_if(~on).alias("n_not_reconciled"), F.avg(F.when(on, F.col("f1"))).alias("f1_reconciled"), F.avg(F.when(~on, F.col("f1"))).alias("f1_not_reconciled"))
 
 
+def report(scores: DataFrame) -> DataFrame:
+    """(source, line): a line of a report for each document of ``with_signal``."""
+    line = F.format_string("  %-28s F1 %.3f  (+%d -%d ~%d)  total err %s%%", "source", rounded("f1", 3), "matched", "missed", "spurious", F.coalesce(F.col("total_abs_pct_error").cast("string"), F.lit("None")))
+    return scores.select("source", line.alias("line"))
+
+
 def results(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The two parts of a results file: one row of micro averages, and a row per document; an error if nothing was scored."""
     if scores.isEmpty():

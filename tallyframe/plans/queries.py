@@ -138,6 +138,18 @@ def document_status(spark, sf_dir):
     return bills.status(_outcomes(spark, sf_dir))
 
 
+@query(f"WITH {_BATCHES} SELECT doc_id, CASE WHEN failed_batches = attempted THEN 'Extraction failed: ' || last_error WHEN failed_batches > 0 THEN last_error END AS banner FROM docs")
+def result_banner(spark, sf_dir):
+    """What stands above each result, by the last error of its requests."""
+    rows = bills.status(_outcomes(spark, sf_dir)).withColumn("last", F.when(F.col("failed_batches") > 0, F.regexp_extract("error", "Last error -- (.*)$", 1)))
+    return rows.select("doc_id", bills.banner(F.col("is_success"), F.col("last")).alias("banner"))
+
+
+@query("SELECT c_custkey, '...' || right(c_name, 4) AS shown FROM customer")
+def key_tails(spark, sf_dir):
+    return fixture.table(spark, sf_dir, "customer").select("c_custkey", models.key_tail(F.col("c_name")).alias("shown"))
+
+
 def _outcomes(spark, sf_dir):
     """Requests of three pages: every third fails, and documents of every eleventh order come without items, in two shapes."""
     rows = fixture.lines(spark, sf_dir).withColumn("batch_no", F.floor((F.col("page_no") - 1) / 3).cast("int")).withColumn("failed", (F.col("doc_id") + F.col("batch_no")) % 3 == 0)
@@ -344,6 +356,11 @@ def scores_with_signal(spark, sf_dir):
     return _signal(spark, sf_dir).select("doc_id", "source", "f1", "reconciles")
 
 
+@query(f"{_FUZZY} SELECT 'bill_' || doc_id || '.pdf' AS source, printf('  %-28s F1 %.3f  (+%d -%d ~%d)  total err %s%%', 'bill_' || doc_id || '.pdf', f1, matched, missed, spurious, coalesce(CAST(total_abs_pct_error AS VARCHAR), 'None')) AS line FROM scores")
+def scoring_report(spark, sf_dir):
+    return scoring.report(_signal(spark, sf_dir))
+
+
 @query(f"{_FUZZY}, {_MICRO_RATES} SELECT 'micro' AS part, NULL AS doc_id, documents, \"precision\", recall, f1 FROM mi UNION ALL SELECT 'per_document', doc_id, NULL, \"precision\", recall, f1 FROM scores")
 def scoring_results(spark, sf_dir):
     """Both parts of a results file."""
