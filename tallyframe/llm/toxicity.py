@@ -265,6 +265,8 @@ class Model:
 
     def score(self, texts: textnum.Texts) -> tuple[np.ndarray, np.ndarray]:
         """Score and number of windows of each text."""
+        if texts.n == 1 and len(texts.data) > textnum.SLICE_BYTES:
+            return self._score_long(texts)
         w = Words(texts)
         start, size, doc = w.windows()
         many = np.bincount(doc, minlength=texts.n)
@@ -274,6 +276,18 @@ class Model:
         return _sigmoid(top.astype(np.float64)), many
 
 
+    def _score_long(self, texts: textnum.Texts, windows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one long text, some windows at a time: parts begin with a window and reach half a window into the next part, so together they have the windows of the whole."""
+        a, b, _ = texts.spans(textnum.ALNUM)
+        top, many = -np.inf, 0
+        for lo in range(0, max(1, len(a) - STRIDE), STRIDE * windows):
+            hi = min(len(a), lo + STRIDE * (windows + 1))
+            w = Words(textnum.Texts(pa.array([texts.data[a[lo] : b[hi - 1]].tobytes() if hi else b""], pa.large_binary())))
+            start, size, _ = w.windows()
+            top, many = max(top, float(self.window_logits(w, start, size).max())), many + len(start)
+        return _sigmoid(np.array([top])), np.array([many])
+
+
 class Trainer:
     """A model, what it learns from, and the running averages of its gradients."""
 

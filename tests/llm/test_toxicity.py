@@ -50,6 +50,18 @@ def test_all_windows_cover_all_words():
         assert n <= 64 or (size[doc == 1] > toxicity.STRIDE).all()
 
 
+def test_long_texts_are_scored_part_by_part(monkeypatch):
+    rng = random.Random(8)
+    docs, labels = corpus(60)
+    model = toxicity.train(toxicity.Words(textnum.Texts(pa.array([t for _, t in docs]))), np.array([t for _, _, t in labels]), toxicity.Settings(window_steps=5, doc_steps=0, known=2))
+    for n in (0, 1, 31, 32, 33, 63, 64, 65, 96, 128, 129, 160, 161, 1000, 4000):
+        text = textnum.Texts(pa.array([" ".join(rng.choice(SYLLABLES) + rng.choice(SYLLABLES) for _ in range(n))]))
+        score, many = model.score(text)
+        for part in (1, 2, 3, 50):
+            other, also = model._score_long(text, part)
+            assert also.tolist() == many.tolist() and abs(other - score).max() < 1e-5
+
+
 def test_gradients_agree_with_differences():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in toxicity.fresh(rng).items()}
