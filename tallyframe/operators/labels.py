@@ -75,7 +75,7 @@ def split(rows: DataFrame, share: float = 0.3, seed: int = 42) -> DataFrame:
     Groups fall into 4,096 ranges of their hashes; the counts of these (which are all that one
     task orders) say how many of a range are for tests, and groups are ranked within ranges.
     """
-    groups = rows.select("grp").distinct().withColumn("hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col("grp").cast("string")).cast("binary"))).withColumn("part", F.substring("hash", 1, 3))
+    groups = rows.select("grp").distinct().withColumn("hash", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("grp").cast("string"), F.lit(""))).cast("binary"))).withColumn("part", F.substring("hash", 1, 3))
     parts = groups.groupBy("part").agg(F.count("*").alias("n"))
     so_far = parts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy()))
     # at most 4,096 rows

@@ -87,6 +87,7 @@ def test_labels_and_groups(spark):
     groups = spark.range(3000).selectExpr("concat('g', id) AS grp")
     got = {r.grp: r.in_test for r in labels.split(groups, 0.3, 42).collect()}
     order = sorted(got, key=lambda g: (hashlib.md5(f"42:{g}".encode()).hexdigest(), g))
+    assert labels.split(spark.createDataFrame([("a",), (None,)], "grp string")).count() == 2
     assert {g for g, t in got.items() if t} == set(order[:900]) and labels.split(groups.limit(1), 0.1).first().in_test
 
 
