@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.scalars import money, rounded
+from tallyframe.functions.scalars import money, rounded, signed_money
 from tallyframe.schema import ITEM, SUMMARY, TOLERANCE_PCT
 
 #: What a reader of a verdict or of a failed extraction is told; shapes of replies that are told at most.
@@ -74,7 +74,7 @@ def reconciled(totals: DataFrame, computed: str = "grand_total", printed: str =
 def display(matches: Column, printed: Column, difference: Column, pct: Column, note: Column) -> Column:
     """What a reader is told: verified, mismatch with the signed difference, or nothing to verify."""
     verified = F.concat(F.lit("Verified "), money(printed))
-    mismatch = F.concat(F.lit("Mismatch ("), pct.cast("string"), F.lit("%) "), F.when(difference >= 0, "+").otherwise(""), money(difference))
+    mismatch = F.concat(F.lit("Mismatch ("), pct.cast("string"), F.lit("%) "), signed_money(difference))
     return F.when(matches.isNull(), note).when(matches, verified).otherwise(mismatch)
 
 

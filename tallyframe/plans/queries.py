@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars
@@ -168,7 +168,7 @@ def ordered_distinct_flags(spark, sf_dir):
     return bills.flags_in_order(pages).select("doc_id", F.array_join("fraud_flags", "|").alias("fraud_flags"))
 
 
-_NESTED = f"""WITH {_BATCHES.replace("lines AS", "lines AS", 1)},
+_NESTED = f"""WITH {_BATCHES},
   pages AS (SELECT doc_id, page_no, page_type, count(*) AS n_items, sum(cents) AS total FROM lines GROUP BY ALL),
   marked AS (SELECT *, bool_or(page_type <> 'Bill Summary') OVER (PARTITION BY doc_id) AS has_detail FROM pages),
   flags AS (SELECT doc_id, string_agg('"' || f || '"', ',' ORDER BY page, f) AS fraud_flags FROM (SELECT doc_id, l_returnflag || l_linestatus AS f, min(page_no) AS page FROM lines GROUP BY ALL) GROUP BY doc_id),
