@@ -5,14 +5,16 @@
    on classes, so exact copies cost nothing.
 2. A table of fixed size counts all shingles of all documents by a part of their hash.
    It only orders shingles from rare to frequent (any order gives the same links).
-3. Two sets that link share three of their rarest ``n - ceil(t n) + 3`` shingles (all
-   of the needed overlap, if that is less).  Each class lists those.  In a short list a
-   class meets the few before it, and a pair that meets in three lists is a tie.  In a
-   long list all classes of a run of sizes close enough to link are tied to the
-   smallest.  So a pair that links is tied either way, the ties grow with the lists and
-   not with their squares, and a chance meeting in one list ties nothing.  A shingle
-   with very many classes is dealt into salted groups first.  The components of the
-   ties are small sets of candidates.
+3. Two sets that link, the smaller of n shingles, share ``shared(n)`` of their rarest
+   ``n - ceil(t n) + meetings(n)`` shingles, a number that grows with n.  Each class lists
+   those.  In a short list a class meets the few before it, and a pair that meets in over
+   half of that number of lists is a tie.  Any other pair that links shares the other half
+   in long lists.  So a class leaves all but one of such a half out, those of its longest
+   lists; in what stays of a long list, all classes of a run of sizes close enough to link
+   are tied to the smallest.  So a pair that links is tied either way, the ties grow with
+   the lists and not with their squares, and chance meetings in a few lists tie nothing,
+   however many shingles a text has.  A shingle with very many classes is dealt into
+   salted groups first.  The components of the ties are small sets of candidates.
 4. Within them a T-occurrence search decides: inverted lists of the group, the longest
    ones set aside, the short ones merged in order, and what is met often enough there
    looked up in the long ones by binary search (DivideSkip).  Members of one component so far need no search among
@@ -37,7 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm import store, textnum
@@ -51,7 +53,8 @@ class Settings:
     words: int = 4  # in a shingle
     percent: int = 85  # least Jaccard similarity
     sketch_bits: int = 20  # counters: 2 ** bits
-    meetings: int = 3  # shared shingles of the short lists that tie a pair
+    meetings: int = 4  # shared shingles asked of small sets
+    per_meeting: int = 50  # shingles of a set for which one more is asked
     short: int = 16  # classes in a short list
     hot: int = 100_000  # classes of one shingle that stay together
     group_docs: int = 4096
@@ -60,7 +63,12 @@ class Settings:
 
 
 def prefix_size(n: int, cfg: Settings) -> int:
-    return min(n, n + (-cfg.percent * n) // 100 + cfg.meetings)
+    return min(n, n + (-cfg.percent * n) // 100 + cfg.meetings + n // cfg.per_meeting)
+
+
+def shared(n: Column, cfg: Settings) -> Column:
+    """Shingles that two sets which link share in their lists at least, the smaller one of size n; grows with n."""
+    return F.least(cfg.meetings + F.floor(n / cfg.per_meeting), F.ceil(cfg.percent * n / 100)).cast("int")
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -88,7 +96,7 @@ def profiles(docs: DataFrame, cfg: Settings) -> DataFrame:
 
 
 def _ties(docs: DataFrame, counts: np.ndarray, cfg: Settings) -> DataFrame:
-    """(u, v): classes that share a rare shingle, or a chain of them, and may link by size."""
+    """(u, v): classes that share enough rare shingles, or a chain of them, and may link by size."""
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def rows_of(batches: Iterator[pa.RecordBatch], hot_only: bool) -> Iterator[pa.RecordBatch]:
@@ -121,17 +129,21 @@ def _ties(docs: DataFrame, counts: np.ndarray, cfg: Settings) -> DataFrame:
     rows = docs.select("text").mapInArrow(textnum.lean(lambda batches: rows_of(batches, False)), schema)
     group = Window.partitionBy("token", "salt")
     order = group.orderBy("n", "class")
+    # a class comes from each task that has a copy of it
+    rows = rows.withColumn("before", F.lag("class").over(order)).where("before is null or before <> class").drop("before")
     rows = rows.withColumn("many", F.count("*").over(group)).where("many > 1")
-    # long lists: the smallest set of each run of sizes stands for the run
-    long = rows.where(F.col("many") > cfg.short).withColumn("last_n", F.lag("n").over(order))
+    # long lists, each class without its longest ones: the smallest set of each run of sizes stands for the run
+    long = rows.where(F.col("many") > cfg.short)
+    of_class = Window.partitionBy("class").orderBy(F.desc("many"), "token", "salt")
+    half = shared(F.ceil(cfg.percent * F.col("n") / 100), cfg)  # of the smallest set that may link
+    long = long.withColumn("place", F.row_number().over(of_class)).where(F.col("place") >= half - F.floor(half / 2)).withColumn("last_n", F.lag("n").over(order))
     begins = F.col("last_n").isNull() | (100 * F.col("last_n") < cfg.percent * F.col("n"))
     long = long.withColumn("hub", F.last(F.when(begins, F.col("class")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     long = long.where(F.col("hub") != F.col("class")).select(F.col("class").alias("u"), F.col("hub").alias("v")).distinct()
     # short lists: meetings with those before, counted over all lists
     met = F.collect_list(F.struct(F.col("class").alias("v"), F.col("n").alias("m"))).over(order.rowsBetween(1 - cfg.short, -1))
     short = rows.where(F.col("many") <= cfg.short).withColumn("met", met).select(F.col("class").alias("u"), "n", F.explode("met").alias("x")).select("u", "n", "x.v", "x.m")
-    need = F.least(F.lit(cfg.meetings), F.ceil(cfg.percent * (F.col("n") + F.col("m")) / F.lit(100 + cfg.percent)))
-    short = short.where((F.col("u") != F.col("v")) & (100 * F.col("m") >= cfg.percent * F.col("n"))).groupBy("u", "v", "n", "m").agg(F.count("*").alias("times")).where(F.col("times") >= need).select("u", "v")
+    short = short.where(100 * F.col("m") >= cfg.percent * F.col("n")).groupBy("u", "v", "n", "m").agg(F.count("*").alias("times")).where(F.col("times") > F.floor(shared(F.col("m"), cfg) / 2)).select("u", "v")
     ties = long.unionByName(short)
     if int(counts.max(initial=0)) < cfg.hot:
         return ties
@@ -330,7 +342,9 @@ def _links(docs: DataFrame, candidates: DataFrame, cfg: Settings) -> DataFrame:
     asked = large.withColumn("part", F.explode(F.expr("sequence(0, ask_blocks - 1)"))).select(cell(F.col("block").cast("string"), F.col("part").cast("string")), "class", "shingles", "label", F.lit(False).alias("asks"))
     # a class in both roles comes once, as one that asks
     both = askers.unionByName(asked).groupBy("key", "class").agg(F.first("shingles").alias("shingles"), F.first("label").alias("label"), F.max("asks").alias("asks"))
-    return found.unionByName(written(_searched(both, cfg.percent, True), "links"))
+    found = found.unionByName(written(_searched(both, cfg.percent, True), "links"))
+    store.drop(docs.sparkSession, places, large)
+    return found
 
 
 def _classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
@@ -344,7 +358,9 @@ def _classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
         return of_docs, least.withColumn("root", F.lit(None).cast("binary"))
     sized = least.select(F.col("class").alias("node"), "n")
     candidates = written(components(_ties(docs, counts, cfg)).join(sized, "node"), "candidates")
+    store.settle(docs.sparkSession)
     roots = written(components(_links(docs, candidates, cfg)), "roots")
+    store.settle(docs.sparkSession)
     return of_docs, least.join(roots, least["class"] == roots["node"], "left").select("class", "n", "least", "root")
 
 

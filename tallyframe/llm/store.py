@@ -7,6 +7,7 @@ plan.  A folder of our own is chosen only where the session names none (tests).
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -65,6 +66,12 @@ def drop(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: it does when the driver's garbage, here and in the JVM, is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -83,6 +83,32 @@ def test_salted_shingles_and_dealt_groups_give_the_same(spark):
     assert got(spark, docs, ngram_join.Settings(hot=5, group_docs=7, sketch_bits=8)) == brute(docs)
 
 
+def ties(spark, texts, cfg, parts=1):
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)
+    return ngram_join._ties(frame, np.zeros(1 << cfg.sketch_bits, np.int32), cfg).count()
+
+
+def test_two_meetings_in_long_lists_tie_no_large_sets(spark):
+    # each text has a phrase in common with two others, and another one with two others; lists of three are long
+    rng = random.Random(4)
+    own = lambda i, k: [f"x{i}.{j}.{rng.random()}" for j in range(k)]
+    phrase = lambda i: [f"p{i}.{j}" for j in range(4)]
+    texts = [" ".join(own(i, 100) + phrase(f"a{i // 3}") + own(i, 50) + phrase(f"b{(i + 1) // 3}") + own(i, 50)) for i in range(60)]
+    assert ties(spark, texts, ngram_join.Settings(short=2, percent=50)) == 0
+
+
+def test_copies_make_no_list_long(spark):
+    rng = random.Random(6)
+    texts = [" ".join([*"abcd"] + [f"x{rng.random()}" for _ in range(60)]) for _ in range(2)]
+    assert ties(spark, texts * 20, ngram_join.Settings(percent=10), 8) == 0
+
+
+def test_short_lists_of_two_give_the_same(spark):
+    docs = corpus(220, 11)
+    assert got(spark, docs, ngram_join.Settings(short=2)) == brute(docs)
+    assert got(spark, docs, ngram_join.Settings(short=3, percent=60, sketch_bits=6, per_meeting=9)) == brute(docs, 60)
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
     assert got(spark, [(1, None), (2, "")]) == [(1, 0, 1), (2, 0, 2)]
