@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from tallyframe.llm.store import spare, table, written
+from tallyframe.llm.store import drop, settle, spare, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each from the table that the one before wrote."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each from the table that the one before wrote, which goes once it is read."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            drop(spark, last)
+        settle(spark)
+        last = docs
     return docs

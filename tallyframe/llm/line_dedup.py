@@ -213,7 +213,9 @@ def deletions(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     pairs = written(pairs_of(seqs), "pairs")
     both = pairs.join(seqs.select(F.col("id").alias("later"), F.col("lines").alias("a"), "words"), "later").join(seqs.select(F.col("id").alias("earlier"), F.col("lines").alias("b")), "earlier")
     found = both.select("later", "a", "words", "b").mapInArrow(textnum.lean(run), "id binary, s int, e int")
-    return written(found.groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("blocks")), "blocks")
+    blocks = written(found.groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("blocks")), "blocks")
+    store.drop(docs.sparkSession, seqs, pairs)
+    return blocks
 
 
 def apply(docs: DataFrame, least_words: int = LEAST_WORDS, lines_deleted: str = "lines_deleted", words_deleted: str = "words_deleted") -> DataFrame:

@@ -15,6 +15,8 @@
    the lists and not with their squares, and chance meetings in a few lists tie nothing,
    however many shingles a text has.  A shingle with very many classes is dealt into
    salted groups first.  The components of the ties are small sets of candidates.
+   Most listed shingles have one class.  What has more is found slice by slice of the
+   shingles, and only that is kept, so the disk never holds the lists of all at once.
 4. Within them a T-occurrence search decides: inverted lists of the group, the longest
    ones set aside, the short ones merged in order, and what is met often enough there
    looked up in the long ones by binary search (DivideSkip).  Members of one component so far need no search among
@@ -35,6 +37,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,7 @@ class Settings:
     sketch_bits: int = 20  # counters: 2 ** bits
     meetings: int = 4  # shared shingles asked of small sets
     per_meeting: int = 50  # shingles of a set for which one more is asked
+    slices: int = 3  # passes over the documents in which the lists are made
     short: int = 16  # classes in a short list
     hot: int = 100_000  # classes of one shingle that stay together
     group_docs: int = 4096
@@ -95,11 +99,15 @@ def profiles(docs: DataFrame, cfg: Settings) -> DataFrame:
     return docs.mapInArrow(textnum.lean(run), "doc_id bigint, n bigint, class binary, part int, counts binary")
 
 
-def _ties(docs: DataFrame, counts: np.ndarray, cfg: Settings) -> DataFrame:
-    """(u, v): classes that share enough rare shingles, or a chain of them, and may link by size."""
+def _ties(docs: DataFrame, counts: np.ndarray, cfg: Settings, tables: list[DataFrame] | None = None) -> DataFrame:
+    """(u, v): classes that share enough rare shingles, or a chain of them, and may link by size.
+
+    ``tables`` gets the tables that the result is read from.
+    """
     held = docs.sparkSession.sparkContext.broadcast(counts)
+    tables = [] if tables is None else tables
 
-    def rows_of(batches: Iterator[pa.RecordBatch], hot_only: bool) -> Iterator[pa.RecordBatch]:
+    def rows_of(batches: Iterator[pa.RecordBatch], hot_only: bool, at: int = 0, slices: int = 1) -> Iterator[pa.RecordBatch]:
         counts, shift = held.value, np.uint64(64 - cfg.sketch_bits)
         for batch in batches:
             for part in textnum.slices(batch):
@@ -110,10 +118,11 @@ def _ties(docs: DataFrame, counts: np.ndarray, cfg: Settings) -> DataFrame:
                     c = counts[(s >> shift).astype(np.int64)]
                     p = prefix_size(len(s), cfg)
                     first = np.lexsort((s, c))[:p]
+                    first = first[s[first] % np.uint64(slices) == at]
                     tokens.append(s[first])
                     often.append(c[first])
                 sizes = [len(x) for x in tokens]
-                if not sizes:
+                if not sum(sizes):
                     continue
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 names = pa.array(list(classes), pa.binary())
@@ -126,12 +135,20 @@ def _ties(docs: DataFrame, counts: np.ndarray, cfg: Settings) -> DataFrame:
                 yield out.filter(pa.array(groups > 1)) if hot_only else out
 
     schema = "token bigint, salt int, class binary, n int"
-    rows = docs.select("text").mapInArrow(textnum.lean(lambda batches: rows_of(batches, False)), schema)
     group = Window.partitionBy("token", "salt")
     order = group.orderBy("n", "class")
-    # a class comes from each task that has a copy of it
-    rows = rows.withColumn("before", F.lag("class").over(order)).where("before is null or before <> class").drop("before")
-    rows = rows.withColumn("many", F.count("*").over(group)).where("many > 1")
+
+    def met_in(at: int) -> DataFrame:
+        """Rows of the shingles of a slice that several classes list."""
+        rows = docs.select("text").mapInArrow(textnum.lean(lambda batches: rows_of(batches, False, at, cfg.slices)), schema)
+        # a class comes from each task that has a copy of it
+        rows = rows.withColumn("before", F.lag("class").over(order)).where("before is null or before <> class").drop("before")
+        return rows.withColumn("many", F.count("*").over(group)).where("many > 1")
+
+    for at in range(cfg.slices):
+        tables.append(written(met_in(at), "lists"))
+        store.settle(docs.sparkSession)
+    rows = reduce(DataFrame.unionByName, tables)
     # long lists, each class without its longest ones: the smallest set of each run of sizes stands for the run
     long = rows.where(F.col("many") > cfg.short)
     of_class = Window.partitionBy("class").orderBy(F.desc("many"), "token", "salt")
@@ -149,6 +166,7 @@ def _ties(docs: DataFrame, counts: np.ndarray, cfg: Settings) -> DataFrame:
         return ties
     # groups of one salted shingle meet in their smallest members
     salted = written(docs.select("text").mapInArrow(textnum.lean(lambda batches: rows_of(batches, True)), schema).select("token", "salt", "class").distinct(), "salted")
+    tables.append(salted)
     heads = salted.groupBy("token", "salt").agg(F.min("class").alias("class"))
     tops = heads.groupBy("token").agg(F.min("class").alias("top"), F.count("*").alias("k")).where("k > 1")
     across = heads.join(tops, "token").where("class <> top").select(F.col("class").alias("u"), F.col("top").alias("v"))
@@ -348,20 +366,24 @@ def _links(docs: DataFrame, candidates: DataFrame, cfg: Settings) -> DataFrame:
 
 
 def _classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n, class), and of each class its component: (class, n, least doc_id of the class, root or null)."""
+    """Documents (doc_id, n, class), and of each class its component: (class, n, least doc_id of the class, copies, root or null)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(profiles(docs, cfg), "profiles")
     counts = np.minimum(reduced(rows.where("part is not null"), np.int32, np.int64, np.add), 2**31 - 1).astype(np.int32)
-    of_docs = rows.where("part is null").select("doc_id", "n", "class")
-    least = of_docs.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    of_docs = written(rows.where("part is null").select("doc_id", "n", "class"), "sets")
+    store.drop(docs.sparkSession, rows)  # the counts of a task take more than its documents
+    least = of_docs.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count("*").alias("copies"))
     if not len(counts):
         return of_docs, least.withColumn("root", F.lit(None).cast("binary"))
     sized = least.select(F.col("class").alias("node"), "n")
-    candidates = written(components(_ties(docs, counts, cfg)).join(sized, "node"), "candidates")
+    lists: list[DataFrame] = []
+    candidates = written(components(_ties(docs, counts, cfg, lists)).join(sized, "node"), "candidates")
+    store.drop(docs.sparkSession, *lists)
     store.settle(docs.sparkSession)
     roots = written(components(_links(docs, candidates, cfg)), "roots")
+    store.drop(docs.sparkSession, candidates)
     store.settle(docs.sparkSession)
-    return of_docs, least.join(roots, least["class"] == roots["node"], "left").select("class", "n", "least", "root")
+    return of_docs, least.join(roots, least["class"] == roots["node"], "left").select("class", "n", "least", "copies", "root")
 
 
 def join(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
@@ -377,11 +399,14 @@ def distinct(docs: DataFrame, cfg: Settings = Settings(words=5, percent=80)) ->
     """``docs`` with one row of each component, that of the smallest doc_id; rows without words all stay.
 
     Of several rows with that doc_id and set of shingles, the one with the least text stays.
+    A filter of fixed size holds the classes of several rows and those of components; only
+    rows that it may hold are dealt with their texts, all others stay where they are.
     """
     _, classes = _classes(docs, cfg)
     alone = classes.where("root is null").select("class", "least")
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "class")).alias("x")
     chosen = alone.unionByName(classes.where("root is not null").groupBy("root").agg(first).select("x.class", "x.least")).toDF("_class", "_least")
+    touched = docs.sparkSession.sparkContext.broadcast(filter_of(classes.where("copies > 1 or root is not null"), "class"))
     names = docs.columns
     spare, ranked = store.spare(names, "_ngram_join_class"), store.spare(names, "_ngram_join_rank")
 
@@ -389,7 +414,8 @@ def distinct(docs: DataFrame, cfg: Settings = Settings(words=5, percent=80)) ->
         for batch in batches:
             for part in textnum.slices(batch):
                 sets, _ = textnum.shingle_sets(textnum.Texts(part.column("text")), cfg.words)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())], [*part.schema.names, spare])
+                keys = (_digest(s) if len(s) else None for s in sets)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([k if k and may_hold(touched.value, k) else None for k in keys], pa.binary())], [*part.schema.names, spare])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{spare} binary"])
     keyed = docs.mapInArrow(textnum.lean(run), fields)

@@ -1,11 +1,12 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyframe.llm import ngram_join
+from tallyframe.llm import ngram_join, store
 from tallyframe.llm.graph import components
 
 
@@ -109,6 +110,45 @@ def test_short_lists_of_two_give_the_same(spark):
     assert got(spark, docs, ngram_join.Settings(short=3, percent=60, sketch_bits=6, per_meeting=9)) == brute(docs, 60)
 
 
+def test_slices_of_the_lists_give_the_same_and_keep_only_what_meets(spark, monkeypatch):
+    docs = corpus(200, 5)
+    assert got(spark, docs, ngram_join.Settings(slices=7)) == brute(docs)
+    kept = []
+    monkeypatch.setattr(ngram_join, "written", lambda df, tag: kept.append((tag, df.count())) or df)
+    alone = [" ".join(f"x{i}.{j}" for j in range(50)) for i in range(20)]
+    assert ties(spark, [*alone, alone[0] + " y"], ngram_join.Settings(slices=4)) > 0
+    assert [tag for tag, _ in kept] == ["lists"] * 4 and 0 < sum(n for _, n in kept) <= 2 * 50
+
+
+def shuffled(spark):
+    """Bytes that the session's tasks have written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_without_copies_are_not_shuffled(spark):
+    rng = random.Random(12)
+    words = lambda k: " ".join(f"{rng.getrandbits(40):x}" for _ in range(k))
+    rows = [(i, words(400)) for i in range(200)]
+    rows += [(900, rows[3][1]), (901, rows[7][1] + " more"), (None, words(9)), (902, None), (903, " ")]
+    out = ngram_join.distinct(store.written(spark.createDataFrame(rows, "doc_id long, text string"), "docs"))
+    before = shuffled(spark)
+    kept = [tuple(r) for r in out.collect()]
+    assert sorted(kept, key=repr) == sorted((r for r in rows if r[0] not in (900, 901)), key=repr)
+    assert shuffled(spark) - before < sum(len(t or "") for _, t in rows) / 4
+
+
+def test_tables_go_once_they_are_read(spark):
+    tables = lambda: {p.name for p in Path(store.shared_dir(spark).removeprefix("file://")).iterdir()}
+    before = tables()
+    docs = spark.createDataFrame([(d, t) for d, t in corpus(60, 2)], "doc_id long, text string")
+    ngram_join.distinct(docs).collect()
+    left = sorted({x.split("-")[0] for x in tables() - before})
+    assert not {"profiles", "lists", "candidates"} & set(left), left
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
     assert got(spark, [(1, None), (2, "")]) == [(1, 0, 1), (2, 0, 2)]
